@@ -1,0 +1,89 @@
+"""Broadcasts with a checked size, and splitting of hot groups."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 100_000
+HOT_SHARE = 10_000  # a hot key holds more than one row in this many
+TARGET_ROWS = 1_000_000  # rows aimed at per slice of a hot key
+QUANTILES = 1024
+
+
+def broadcast_if_small(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """The table with a broadcast hint if counting proves it small.
+
+    Meant for narrow dimension tables. A larger one comes back without a hint,
+    and the join then shuffles, with skewed partitions split at run time.
+    """
+    if table.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(table)
+    return table
+
+
+def slice_hot_keys(
+    df: DataFrame,
+    key: str,
+    order: Column,
+    target_rows: int = TARGET_ROWS,
+    hot_share: int = HOT_SHARE,
+) -> DataFrame:
+    """Add ``slice``: NULL for ordinary keys, else an order-preserving slice number.
+
+    For one hot key a smaller ``order`` never gets a larger slice, and equal
+    values share a slice, so ordered work can run per (key, slice) and be
+    stitched together exactly.  At most ``hot_share`` keys can each hold more
+    than 1/hot_share of the rows, so what is broadcast has a fixed bound.
+    Hot keys are cut at approximate quantiles, then evenly within a quantile;
+    the approximation only moves the cuts, never the result.
+    """
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("t")).scalar()
+    hot = counts.filter(
+        (F.col("n") * F.lit(hot_share) > F.coalesce(total, F.lit(0)))
+        & (F.col("n") > F.lit(target_rows))
+    )
+    ordered = df.select(F.col(key), order.cast("double").alias("__x"))
+    cuts = (
+        ordered.join(F.broadcast(hot), key)
+        .groupBy(key)
+        .agg(
+            F.percentile_approx(
+                "__x", [i / QUANTILES for i in range(QUANTILES + 1)], 10_000
+            ).alias("__cuts"),
+            F.max("n").alias("__n"),
+        )
+        .withColumn("__per", F.ceil(F.col("__n") / F.lit(QUANTILES * target_rows)))
+    )
+    x = order.cast("double")
+    at = F.expr(_SEARCH)
+    low, high = F.get("__cuts", at), F.get("__cuts", at + 1)
+    inside = F.when(
+        (high > low) & (x > low),
+        F.least(
+            F.floor((x - low) / (high - low) * F.col("__per")), F.col("__per") - 1
+        ),
+    ).otherwise(F.lit(0))
+    return (
+        df.withColumn("__x", x)
+        .join(F.broadcast(cuts), key, "left")
+        .withColumn(
+            "slice",
+            F.when(F.col("__cuts").isNotNull(), at * F.col("__per") + inside).cast("bigint"),
+        )
+        .drop("__cuts", "__n", "__per", "__x")
+    )
+
+
+def _search_expr() -> str:
+    """Binary search for the last cut not above ``__x``, as ten halving steps."""
+    steps = QUANTILES.bit_length() - 1
+    widths = ", ".join(str(1 << i) for i in reversed(range(steps)))
+    return (
+        f"aggregate(array({widths}), 0, (at, step) -> "
+        "if(get(__cuts, at + step) <= __x, at + step, at))"
+    )
+
+
+_SEARCH = _search_expr()
