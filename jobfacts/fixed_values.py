@@ -68,6 +68,36 @@ IO_PATTERNS = [
     r"\b(/dev/|/mnt/|/data/)\b",
     r"\b(parallel.*io|mpi.*io)\b",
 ]
+
+# The same patterns taken apart. Words stand alone; a phrase counts
+# where its pattern matches, and can only match where all its texts occur.
+CPU_WORDS = [
+    "mpirun", "mpiexec", "srun", "openmp", "omp_num_threads",
+    "numpy", "scipy", "tensorflow", "pytorch", "fft", "matrix",
+]
+CPU_PHRASES = [
+    (r"\bfor\s+\w+\s+in\s+", ["for", "in"]),
+    (r"\blinear algebra\b", ["linear algebra"]),
+]
+MEMORY_WORDS = [
+    "malloc", "calloc", "array", "matrix", "tensor", "sort", "merge", "hash",
+    "cache", "buffer", "heap",
+]
+MEMORY_PHRASES = [
+    (r"\bnew\s+\w+\[\b", ["new", "["]),
+    (r"\b\d+gb\b", ["gb"]),
+]
+IO_WORDS = [
+    "read", "write", "fopen", "fread", "fwrite", "dd", "rsync", "cp", "mv",
+    "database", "sql", "query",
+]
+IO_PHRASES = [
+    (r"\b/dev/\b", ["/dev/"]),
+    (r"\b/mnt/\b", ["/mnt/"]),
+    (r"\b/data/\b", ["/data/"]),
+    (r"\bparallel.*io\b", ["parallel", "io"]),
+    (r"\bmpi.*io\b", ["mpi", "io"]),
+]
 MPI_RANKS_PATTERN = r"mpirun\s+-n\s+(\d+)"
 
 # Estimates per workload class (memory, runtime, nodes, tasks).

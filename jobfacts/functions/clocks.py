@@ -18,7 +18,7 @@ def _div(a: Column, b: int) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing white space of every kind, not only spaces."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\r\x0b\f"))
 
 
 def epoch_to_ts(epoch: Column) -> Column:
@@ -35,12 +35,14 @@ def iso_utc(ts: Column) -> Column:
 
 
 def ntz_seconds(ts: Column) -> Column:
-    """Seconds since 1970 of a zone-less timestamp read as UTC."""
-    return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts)
+    """Seconds since 1970 of a zone-less timestamp read as UTC, whatever the session's zone is."""
+    day = F.unix_date(ts.cast("date")).cast("bigint")
+    return day * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
 def ntz_micros(ts: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts)
+    fraction = F.pmod(F.unix_micros(ts.cast("timestamp")), F.lit(1_000_000))
+    return ntz_seconds(ts) * 1_000_000 + fraction
 
 
 def runtime_seconds(start: Column, end: Column, as_of: Column) -> Column:
@@ -49,11 +51,17 @@ def runtime_seconds(start: Column, end: Column, as_of: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0), upto - F.unix_seconds(start)), F.lit(0)).cast("bigint")
 
 
+def two_digits(n: Column) -> Column:
+    """At least two digits. Plain text functions are far cheaper here than a format string."""
+    text = n.cast("string")
+    return F.when(n < 10, F.concat(F.lit("0"), text)).otherwise(text)
+
+
 def to_clock(seconds: Column) -> Column:
     """``HH:MM:SS``; hours may exceed 99."""
     s = _whole(seconds)
-    clock = F.format_string("%02d:%02d:%02d", _div(s, 3600), _div(s % 3600, 60), s % 60)
-    return F.when(s.isNotNull(), clock)
+    hours, minutes, secs = map(two_digits, (_div(s, 3600), _div(s % 3600, 60), s % 60))
+    return F.concat(hours, F.lit(":"), minutes, F.lit(":"), secs)
 
 
 def from_clock(text: Column) -> Column:
@@ -70,25 +78,26 @@ def time_limit_minutes(text: Column) -> Column:
     each with an optional ``D-`` in front of the clock forms, and bare minutes.
     """
     t = strip(text)
-    amount = F.regexp_extract(t, r"^(\d{1,12})[smhSMH]$", 1).try_cast("bigint")
-    unit = F.lower(F.right(t, F.lit(1)))
+    unit, amount_text = F.lower(F.right(t, F.lit(1))), F.left(t, F.length(t) - 1)
+    amount = amount_text.try_cast("bigint")
     with_unit = (
         F.when(unit == "m", amount)
         .when(unit == "h", amount * 60)
         .otherwise(F.greatest(F.lit(1), _div(amount, 60)))
     )
-    days = F.coalesce(F.regexp_extract(t, r"^(\d{1,9})-", 1).try_cast("bigint"), F.lit(0))
-    parts = F.split(F.regexp_replace(t, r"^\d+-", ""), ":")
-    p1, p2, p3 = (F.try_element_at(parts, F.lit(i)).try_cast("bigint") for i in (1, 2, 3))
-    clock = (
-        F.when(F.size(parts) == 3, p1 * 60 + p2 + _div(p3, 60))
-        .when(F.size(parts) == 2, p1 + _div(p2, 60))
-        .otherwise(p1)
+    days = F.when(t.contains("-"), F.substring_index(t, "-", 1).try_cast("bigint"))
+    parts = F.split(F.substring_index(t, "-", -1), ":")
+    p1, p2, p3 = (F.get(parts, i).try_cast("bigint") for i in range(3))
+    clock = F.when(p3.isNotNull(), p1 * 60 + p2 + _div(p3, 60)).otherwise(
+        p1 + F.coalesce(_div(p2, 60), F.lit(0))
     )
     return (
         F.when(text == "", F.lit(0))
         .when(t.rlike(r"^\d{1,12}[smhSMH]$"), with_unit)
-        .when(t.rlike(r"^(\d{1,9}-)?\d{1,12}(:\d{1,12}){0,2}$"), days * 1440 + clock)
+        .when(
+            t.rlike(r"^(\d{1,9}-)?\d{1,12}(:\d{1,12}){0,2}$"),
+            F.coalesce(days, F.lit(0)) * 1440 + clock,
+        )
         .cast("bigint")
     )
 
@@ -98,13 +107,11 @@ def flux_duration_seconds(text: Column) -> Column:
 
     A prefix of digits and dots that is no number (``1.2.3s``) is NULL.
     """
-    prefix = r"^([0-9.]+)([smhd]?)"
-    number = F.regexp_extract(text, prefix, 1)
-    value = F.when(number.rlike(r"^([0-9]+\.?[0-9]*|\.[0-9]+)$"), number.try_cast("double"))
-    unit = F.regexp_extract(text, prefix, 2)
+    number = F.regexp_extract(text, r"^[0-9.]+", 0)
+    unit = F.substr(text, F.length(number) + 1, F.lit(1))
     factor = F.when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86400).otherwise(1)
-    missing = text.isNull() | text.isin("", fv.MISSING_FLUX_FIELD) | ~text.rlike(r"^[0-9.]")
-    return F.when(missing, F.lit(0)).otherwise((value * factor).try_cast("bigint"))
+    seconds = (number.try_cast("double") * factor).try_cast("bigint")
+    return F.when(F.coalesce(number, F.lit("")) == "", F.lit(0)).otherwise(seconds)
 
 
 def duration_human(seconds: Column) -> Column:
@@ -113,11 +120,12 @@ def duration_human(seconds: Column) -> Column:
     hours, minutes, secs = _div(s, 3600), _div(s % 3600, 60), s % 60
     none = F.lit("")
     return F.concat(
-        F.when(hours != 0, F.format_string("%dh", hours)).otherwise(none),
-        F.when(minutes != 0, F.format_string("%dm", minutes))
+        F.when(hours != 0, F.concat(hours.cast("string"), F.lit("h"))).otherwise(none),
+        F.when(minutes != 0, F.concat(minutes.cast("string"), F.lit("m")))
         .when((hours != 0) & (secs != 0), F.lit("0m"))
         .otherwise(none),
-        F.when(s.isNotNull(), F.format_string("%ds", secs)),
+        secs.cast("string"),
+        F.lit("s"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobfacts import fixed_values as fv
+from jobfacts.functions.clocks import two_digits
 
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -45,7 +46,7 @@ def split_nodes(text: Column) -> Column:
 def node_names(count: Column) -> Column:
     """``node-01`` to ``node-<count>``."""
     none = F.array().cast("array<string>")
-    named = F.transform(F.sequence(F.lit(1), count), lambda i: F.format_string("node-%02d", i))
+    named = F.transform(F.sequence(F.lit(1), count), lambda i: F.concat(F.lit("node-"), two_digits(i)))
     return F.when(count >= 1, named).otherwise(none)
 
 

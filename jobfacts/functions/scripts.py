@@ -1,4 +1,4 @@
-"""Patterns in script text. Text is lower-cased once and scanned once per class."""
+"""Patterns in script text. Text is lower-cased once and split into words once."""
 
 from __future__ import annotations
 
@@ -15,16 +15,26 @@ def any_of(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
-def cpu_intensive(lowered: Column) -> Column:
-    return lowered.rlike(_FLAGS + any_of(fv.CPU_PATTERNS))
+def words(lowered: Column) -> Column:
+    """All words of a text: the runs of word characters."""
+    return F.split(lowered, r"(?U)\W+")
 
 
-def memory_intensive(lowered: Column) -> Column:
-    return lowered.rlike(_FLAGS + any_of(fv.MEMORY_PATTERNS))
+def intensive(
+    lowered: Column, found: Column, of_class: list[str], phrases: list[tuple[str, list[str]]]
+) -> Column:
+    """Whether a text has a word or a phrase of a class.
 
-
-def io_intensive(lowered: Column) -> Column:
-    return lowered.rlike(_FLAGS + any_of(fv.IO_PATTERNS))
+    ``found`` are the words of the text, split once for all classes. A phrase's
+    pattern only runs on texts that hold everything it needs.
+    """
+    listed = F.expr(f"array({', '.join(map(repr, of_class))})")
+    hit = F.arrays_overlap(found, listed)
+    for pattern, needed in phrases:
+        for text in needed:
+            gate = lowered.contains(text) if text is needed[0] else gate & lowered.contains(text)
+        hit = hit | (gate & lowered.rlike(_FLAGS + pattern))
+    return hit
 
 
 def mpi_ranks(lowered: Column) -> Column:

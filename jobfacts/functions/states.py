@@ -8,22 +8,23 @@ from pyspark.sql import functions as F
 from jobfacts import fixed_values as fv
 
 
-def _lookup(table: dict[str, str], key: Column) -> Column:
-    pairs = F.create_map(*[F.lit(x) for item in table.items() for x in item])
-    return F.try_element_at(pairs, key)
+def lookup(table: dict[str, str], key: Column) -> Column:
+    """The entry of a literal table, NULL for a key without one."""
+    pairs = ", ".join(repr(x) for item in table.items() for x in item)
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
 def slurm_state(native: Column) -> Column:
     """Unified state of a Slurm job; a state without an entry stays as it is."""
-    return F.coalesce(_lookup(fv.SLURM_STATES, native), native)
+    return F.coalesce(lookup(fv.SLURM_STATES, native), native)
 
 
 def flux_state(native: Column, result: Column | None = None) -> Column:
     """Unified state of a Flux job; INACTIVE is resolved by the job's result."""
-    by_state = F.coalesce(_lookup(fv.FLUX_STATES, native), native)
+    by_state = F.coalesce(lookup(fv.FLUX_STATES, native), native)
     if result is None:
         return by_state
-    resolved = F.coalesce(_lookup(fv.FLUX_RESULTS, result), by_state)
+    resolved = F.coalesce(lookup(fv.FLUX_RESULTS, result), by_state)
     return F.when(native == "INACTIVE", resolved).otherwise(by_state)
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobfacts.operators.sizing import broadcast_if_small
 
 _SPEC = r"^\s*(\d{1,15})\s*-\s*(\d{1,15})\s*(?::\s*(\d{1,15})\s*)?(?:-.*)?$"
 BLOCK = 10_000  # tasks expanded from one intermediate row
@@ -141,7 +140,7 @@ def sweep(tasks: DataFrame, parameters: DataFrame) -> DataFrame:
     """
     position = F.greatest(F.col("task_id") - 1, F.lit(0))
     joined = tasks.withColumn("position", position.cast("bigint")).join(
-        broadcast_if_small(parameters), "position", "left"
+        parameters, "position", "left"
     )
     return joined.select(
         *tasks.columns,

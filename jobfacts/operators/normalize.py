@@ -12,7 +12,8 @@ from jobfacts.functions import clocks, fields, states
 
 def parse_slurm_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Text rows holding one Slurm job as JSON each, as typed columns."""
-    return lines.select(F.from_json(column, schemas.SLURM_JOB).alias("job")).select("job.*")
+    # a one-row generator, so that a line is parsed once and not once per field used
+    return lines.select(F.inline(F.array(F.from_json(column, schemas.SLURM_JOB))))
 
 
 def normalize_slurm(native: DataFrame, as_of: Column) -> DataFrame:
@@ -48,30 +49,36 @@ def normalize_slurm(native: DataFrame, as_of: Column) -> DataFrame:
 
 
 def split_flux_lines(lines: DataFrame, names: list[str], column: str = "value") -> DataFrame:
-    """Positional text rows as named text columns plus ``reject`` saying why a row is unusable.
+    """Positional text rows as typed columns plus ``reject`` saying why a row is unusable.
 
     A name with a comma shifts the columns, so both fewer and more fields reject.
     """
-    parts = F.split(F.col(column), ",")
-    times = [n for n in names if n.startswith("t_")]
-    durations = [n for n in names if n in ("duration", "runtime")]
-    wide = lines.filter(F.col(column) != "").select(
-        F.col(column).alias("line"),
-        F.size(parts).alias("n_fields"),
-        *[F.get(parts, i).alias(n) for i, n in enumerate(names)],
+    parts = lines.select(F.col(column).alias("line"), F.split(column, ",").alias("parts"))
+    typed, numbers_ok = [], F.lit(True)
+    for i, name in enumerate(names):
+        value = F.get("parts", i)
+        if name.startswith("t_"):
+            missing = value == fv.MISSING_FLUX_FIELD
+            value = F.when(value.rlike(fields.NUMBER), value.try_cast("double"))
+            numbers_ok = numbers_ok & (missing | value.isNotNull())
+        elif name in ("duration", "runtime"):
+            value = clocks.flux_duration_seconds(value)
+            numbers_ok = numbers_ok & value.isNotNull()
+        elif name in ("nnodes", "ntasks"):
+            value = F.when(value.rlike("^[0-9]+$"), value.try_cast("int"))
+        typed.append(value.alias(name))
+    read = parts.select(
+        "line", F.size("parts").alias("n_fields"), numbers_ok.alias("numbers_ok"), *typed
     )
-    bad_number = F.lit(False)
-    for name in times:
-        known = F.col(name) != fv.MISSING_FLUX_FIELD
-        bad_number = bad_number | (known & ~F.col(name).rlike(fields.NUMBER))
-    for name in durations:
-        bad_number = bad_number | clocks.flux_duration_seconds(F.col(name)).isNull()
+    # a one-row generator: each line is split and read once, and filters on the
+    # results are not turned into repeated splits of the line
+    wide = read.select(F.inline(F.array(F.struct("*")))).filter(F.col("line") != "")
     return wide.withColumn(
         "reject",
         F.when(F.col("n_fields") < len(names), F.lit("too few fields"))
         .when(F.col("n_fields") > len(names), F.lit("too many fields"))
         .when(F.col("id") == "", F.lit("no job id"))
-        .when(bad_number, F.lit("unparsable number")),
+        .when(~F.col("numbers_ok"), F.lit("unparsable number")),
     )
 
 
@@ -90,11 +97,10 @@ def normalize_flux(split: DataFrame) -> DataFrame:
         if name not in split.columns:
             return F.lit(None).cast("timestamp")
         # whole seconds, cut toward zero like the integer part of the epoch text
-        return F.timestamp_seconds(F.col(name).try_cast("double").cast("bigint"))
+        return F.timestamp_seconds(F.col(name).cast("bigint"))
 
     def count(name: str) -> Column:
-        digits = F.when(F.col(name).rlike("^[0-9]+$"), F.col(name).try_cast("int"))
-        return F.coalesce(digits, F.lit(0))
+        return F.coalesce(name, F.lit(0))
 
     result = F.col("result") if long_form else None
     common = [
@@ -102,7 +108,7 @@ def normalize_flux(split: DataFrame) -> DataFrame:
         fields.or_default(F.col("name"), fv.UNNAMED_JOB).alias("name"),
         states.flux_state(F.col("state"), result).alias("state"),
         time("t_submit").alias("submitted"),
-        clocks.flux_duration_seconds(F.col("runtime")).alias("runtime_seconds"),
+        F.col("runtime").alias("runtime_seconds"),
     ]
     usable = split.filter(F.col("reject").isNull())
     if not long_form:
@@ -114,7 +120,7 @@ def normalize_flux(split: DataFrame) -> DataFrame:
         F.lit(fv.DEFAULT_PARTITION).alias("partition"),
         time("t_run").alias("started"),
         time("t_inactive").alias("ended"),
-        clocks.flux_duration_seconds(F.col("duration")).alias("time_limit_seconds"),
+        F.col("duration").alias("time_limit_seconds"),
         F.struct(
             count("nnodes").alias("nodes"),
             count("ntasks").alias("tasks"),

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobfacts.operators.sizing import broadcast_if_small
-
 
 def _in_state(state: str) -> Column:
     return F.count_if(F.col("state") == state)
@@ -51,6 +49,6 @@ def with_backend(table: DataFrame, clusters: DataFrame) -> DataFrame:
     types = clusters.select(
         F.col("name").alias("cluster"), F.coalesce("type", F.lit("unknown")).alias("backend")
     )
-    return table.join(broadcast_if_small(types), "cluster", "left").withColumn(
+    return table.join(types, "cluster", "left").withColumn(
         "backend", F.coalesce("backend", F.lit("unknown"))
     )

@@ -64,10 +64,23 @@ def partition_names(partitions: DataFrame) -> DataFrame:
     )
 
 
-def cluster_capacity(nodes: DataFrame) -> DataFrame:
-    """What a request is checked against: total and idle nodes, largest node memory."""
-    return nodes.groupBy("cluster").agg(
+def cluster_profile(clusters: DataFrame, nodes: DataFrame, partitions: DataFrame) -> DataFrame:
+    """One row per registered cluster with all a request is checked against.
+
+    Backend, total and idle nodes, largest node memory, and its partitions as a
+    map from name to state and time limit. Registries are small, and one such
+    row serves every request of the cluster.
+    """
+    capacity = nodes.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("nodes_total"),
         F.count_if(F.col("state") == "IDLE").alias("nodes_idle"),
         F.max(fields.memory_bytes(F.col("memory"))).alias("node_memory_bytes"),
     )
+    entry = F.struct("name", F.struct("state", "max_time_limit"))
+    listed = partitions.groupBy("cluster").agg(
+        F.map_from_entries(F.collect_list(entry)).alias("partitions")
+    )
+    types = clusters.select(
+        F.col("name").alias("cluster"), F.coalesce("type", F.lit("unknown")).alias("backend")
+    )
+    return types.join(capacity, "cluster", "left").join(listed, "cluster", "left")

@@ -19,14 +19,20 @@ def classify(requests: DataFrame) -> DataFrame:
     Everything that needs the text is computed here, so later joins and
     exchanges move only a few narrow columns per script.
     """
-    lowered = F.lower("script")
     kept = [c for c in requests.columns if c != "script"]
-    return requests.select(
-        *kept,
-        text.cpu_intensive(lowered).alias("cpu_intensive"),
-        text.memory_intensive(lowered).alias("memory_intensive"),
-        text.io_intensive(lowered).alias("io_intensive"),
-        text.mpi_ranks(lowered).alias("mpi_ranks"),
+    lowered, found = F.col("__lowered"), F.col("__words")
+    return (
+        requests.select(*kept, F.lower("script").alias("__lowered"))
+        .withColumn("__words", text.words(lowered))
+        .select(
+            *kept,
+            text.intensive(lowered, found, fv.CPU_WORDS, fv.CPU_PHRASES).alias("cpu_intensive"),
+            text.intensive(lowered, found, fv.MEMORY_WORDS, fv.MEMORY_PHRASES).alias(
+                "memory_intensive"
+            ),
+            text.intensive(lowered, found, fv.IO_WORDS, fv.IO_PHRASES).alias("io_intensive"),
+            F.when(lowered.contains("mpirun"), text.mpi_ranks(lowered)).alias("mpi_ranks"),
+        )
     )
 
 
@@ -109,6 +115,11 @@ def recommend(estimated: DataFrame) -> DataFrame:
     return estimated.withColumn("recommendations", F.filter(advice, lambda a: a.isNotNull()))
 
 
+def recommendation_rows(recommended: DataFrame, key: str = "request_id") -> DataFrame:
+    """One row per recommendation; every script has some, so the outer form loses nothing."""
+    return recommended.select(key, F.explode_outer("recommendations").alias("r")).select(key, "r.*")
+
+
 def analyze(requests: DataFrame, clusters: DataFrame, jobs: DataFrame) -> DataFrame:
     """Classes, estimates, recommendations, backend and history of every script.
 

@@ -42,20 +42,21 @@ def _facts(
         text.only_comments(script).alias("only_comments"),
         text.loads_modules(lowered).alias("loads_modules"),
     )
-    types = clusters.select(
-        F.col("name").alias("cluster"), F.coalesce("type", F.lit("unknown")).alias("backend")
-    )
-    named = partitions.select(
-        "cluster",
-        F.col("name").alias("partition"),
-        F.col("state").alias("partition_state"),
-        "max_time_limit",
-    )
+    profile = resources.cluster_profile(clusters, nodes, partitions)
+    names = F.array_join(F.array_sort(F.map_keys("partitions")), ", ")
     return (
-        narrow.join(broadcast_if_small(types), "cluster")
-        .join(broadcast_if_small(resources.cluster_capacity(nodes)), "cluster", "left")
-        .join(broadcast_if_small(resources.partition_names(partitions)), "cluster", "left")
-        .join(broadcast_if_small(named), ["cluster", "partition"], "left")
+        narrow.join(broadcast_if_small(profile), "cluster")
+        .withColumn("__found", F.try_element_at("partitions", F.col("partition")))
+        .select(
+            *narrow.columns,
+            "backend",
+            "nodes_total",
+            "nodes_idle",
+            "node_memory_bytes",
+            names.alias("partition_names"),
+            F.col("__found.state").alias("partition_state"),
+            F.col("__found.max_time_limit").alias("max_time_limit"),
+        )
     )
 
 
@@ -148,15 +149,25 @@ def validate(
 
 
 def issue_rows(validated: DataFrame) -> DataFrame:
-    """One row per issue, numbered within its request."""
-    return validated.select(
-        "request_id", "cluster", F.posexplode("issues").alias("position", "issue")
-    ).select("request_id", "cluster", "position", "issue.*")
+    """One row per issue, numbered within its request.
+
+    The outer form keeps the optimizer from testing the list for emptiness below
+    the projection, which would run every check on the script text twice.
+    """
+    return (
+        validated.select(
+            "request_id", "cluster", F.posexplode_outer("issues").alias("position", "issue")
+        )
+        .filter(F.col("issue").isNotNull())
+        .select("request_id", "cluster", "position", "issue.*")
+    )
 
 
 def recommendation_rows(validated: DataFrame) -> DataFrame:
-    return validated.select("request_id", "cluster", F.explode("recommendations").alias("r")).select(
-        "request_id", "cluster", "r.*"
+    return (
+        validated.select("request_id", "cluster", F.explode_outer("recommendations").alias("r"))
+        .filter(F.col("r").isNotNull())
+        .select("request_id", "cluster", "r.*")
     )
 
 

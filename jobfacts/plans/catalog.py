@@ -343,9 +343,7 @@ def script_estimates(spark, sf):
 @query
 def script_recommendations(spark, sf):
     advised = scripts.recommend(scripts.estimate(scripts.classify(views.requests(spark, sf))))
-    return advised.select("request_id", F.explode("recommendations").alias("r")).select(
-        "request_id", "r.*"
-    )
+    return scripts.recommendation_rows(advised)
 
 
 @query

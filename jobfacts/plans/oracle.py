@@ -113,7 +113,7 @@ _CTES["jobs"] = f"""jobs AS (
   FROM native)"""
 
 _NODE_NAMES = (
-    "array_to_string(list_transform(range(1, nodes + 1), i -> printf('node-%02d', i)), ',')"
+    "array_to_string(list_transform(range(1, nodes + 1), lambda i: printf('node-%02d', i)), ',')"
 )
 
 _CTES["nodes"] = f"""nodes AS (
@@ -224,7 +224,7 @@ issues AS (
   FROM facts WHERE mem_bytes > mem_gb::BIGINT << 30
   UNION ALL SELECT request_id, cluster, 'warning', 'syntax',
          'Script contains no executable commands (only comments or whitespace)', NULL
-  FROM facts WHERE len(list_filter(string_split(script, chr(10)), x -> regexp_matches(x, '^\\s*[^\\s#]'))) = 0
+  FROM facts WHERE len(list_filter(string_split(script, chr(10)), lambda x: regexp_matches(x, '^\\s*[^\\s#]'))) = 0
   UNION ALL SELECT request_id, cluster, 'info', 'compatibility',
          'Script uses ''module load'' - ensure modules are available on target cluster', NULL
   FROM facts WHERE contains(lower(script), 'module load'))"""
@@ -357,7 +357,7 @@ _REQUEST_REASONS = """array_to_string(list_filter([
     CASE WHEN memory = '  ' THEN 'empty memory' END,
     CASE WHEN memory = 'invalid' THEN 'memory format' END,
     CASE WHEN time_limit = ' ' THEN 'empty time limit' END,
-    CASE WHEN time_limit = 'invalid' THEN 'time limit format' END], x -> x IS NOT NULL), '; ')"""
+    CASE WHEN time_limit = 'invalid' THEN 'time limit format' END], lambda x: x IS NOT NULL), '; ')"""
 
 _ADVICE = """SELECT request_id, 'nodes' AS parameter, recommended_nodes::VARCHAR AS value,
   CASE WHEN cpu_intensive THEN 'high' ELSE 'medium' END AS confidence,
@@ -554,7 +554,7 @@ WHERE "user" = 'user-7' AND submit_epoch >= epoch_us(TIMESTAMP '1997-01-01') //
     CASE WHEN p_partkey % 6 = 0 THEN 'negative tasks' END,
     CASE WHEN p_partkey % 13 = 0 OR p_partkey % 17 = 0 THEN 'image' END,
     CASE WHEN p_partkey % 3 = 0 AND (p_partkey % 5 = 0 OR p_partkey % 4 = 0) THEN 'batch needs command and tasks' END
-  ], x -> x IS NOT NULL), '; ') AS reasons FROM part WHERE p_partkey % 7 IN (1, 2, 5))""",
+  ], lambda x: x IS NOT NULL), '; ') AS reasons FROM part WHERE p_partkey % 7 IN (1, 2, 5))""",
     "unknown_clusters": "SELECT doc_id AS request_id, 'nowhere' AS cluster FROM documents WHERE doc_id % 6 = 5",
     "script_classes": _with(
         _CLASSES, "SELECT request_id, cpu_intensive, memory_intensive, io_intensive, mpi_ranks FROM classes"

@@ -59,9 +59,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pick(values: list, index: Column) -> Column:
-    """The list's entry at a 0-based index that wraps around."""
-    return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(index, F.lit(len(values))).cast("int"))
+def pick(values: list, index: str) -> Column:
+    """The list's entry at a 0-based index (an SQL expression) that wraps around."""
+    listed = ", ".join("NULL" if v is None else repr(v) for v in values)
+    return F.expr(f"get(array({listed}), cast(pmod({index}, {len(values)}) as int))")
 
 
 # ----------------------------------------------------------------------- jobs
@@ -91,11 +92,11 @@ def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jobs_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs of both schedulers with native states, epochs and texts."""
     key = F.col("o_orderkey")
-    phase = F.call_function("div", key, F.lit(40))
-    submit = clocks.ntz_seconds(F.col("o_orderdate")) + key % 86_400
+    phase = "o_orderkey div 40"
+    submit = F.col("submit_epoch")
     ended, queued = F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "P"
     start = F.when(~queued, submit + key % 7_200 + 1)
-    end = F.when(ended, start + F.floor("o_totalprice").cast("bigint") % 90_000)
+    end = F.when(ended, F.col("start_epoch") + F.floor("o_totalprice").cast("bigint") % 90_000)
     slurm = F.col("type") == "slurm"
 
     def state(of_ended: list, of_queued: list, of_started: list) -> Column:
@@ -105,7 +106,12 @@ def jobs_native(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(pick(of_started, phase))
         )
 
-    orders = table(spark, sf_dir, "orders").withColumn("cluster_key", F.col("o_custkey") % 5)
+    orders = (
+        table(spark, sf_dir, "orders")
+        .withColumn("cluster_key", F.col("o_custkey") % 5)
+        .withColumn("submit_epoch", clocks.ntz_seconds(F.col("o_orderdate")) + key % 86_400)
+        .withColumn("start_epoch", start)
+    )
     nodes = F.greatest(F.lit(1), F.coalesce("line_count", F.lit(0))).cast("int")
     return (
         orders.join(clusters(spark, sf_dir), "cluster_key")
@@ -124,15 +130,15 @@ def jobs_native(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(state(FLUX_ENDED, FLUX_QUEUED, FLUX_STARTED))
             .alias("native_state"),
             F.when(~slurm & ended, pick(FLUX_RESULTS, phase)).alias("result"),
-            submit.alias("submit_epoch"),
-            start.alias("start_epoch"),
+            "submit_epoch",
+            "start_epoch",
             end.alias("end_epoch"),
-            pick(TIME_LIMITS, key).alias("time_limit"),
-            pick(FLUX_DURATIONS, key).alias("flux_duration"),
+            pick(TIME_LIMITS, "o_orderkey").alias("time_limit"),
+            pick(FLUX_DURATIONS, "o_orderkey").alias("flux_duration"),
             nodes.alias("nodes"),
             (nodes * (1 + key % 4)).cast("int").alias("tasks"),
             (1 + key % 3).cast("int").alias("cpus_per_task"),
-            pick(MEMORY, key).alias("memory"),
+            pick(MEMORY, "o_orderkey").alias("memory"),
             "memory_used_bytes",
             F.when(key % 3 != 0, F.col("quantity") * 60).alias("cpu_seconds"),
         )
@@ -279,13 +285,13 @@ def _node_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
-    first, second = pick(PARTITIONS, key), pick(PARTITIONS, key + 2)
+    first, second = pick(PARTITIONS, "s_suppkey"), pick(PARTITIONS, "s_suppkey + 2")
     return _node_rows(spark, sf_dir).select(
         F.col("name").alias("cluster"),
         F.concat(F.lit("node-"), key.cast("string")).alias("name"),
-        pick(NODE_STATES, key).alias("state"),
+        pick(NODE_STATES, "s_suppkey").alias("state"),
         (4 + key % 5).cast("int").alias("cpus"),
-        pick(NODE_MEMORY, F.call_function("div", key, F.lit(4))).alias("memory"),
+        pick(NODE_MEMORY, "s_suppkey div 4").alias("memory"),
         F.when(key % 3 == 0, F.array(first)).otherwise(F.array(first, second)).alias("partitions"),
     )
 
@@ -301,10 +307,10 @@ def partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     down = (F.col("cluster_key") + F.col("slot")) % 4 == 3
     return found.select(
         "cluster",
-        pick(PARTITIONS, F.col("slot")).alias("name"),
+        pick(PARTITIONS, "slot").alias("name"),
         F.when(down, F.lit("DOWN")).otherwise(F.lit("UP")).alias("state"),
         "nodes",
-        pick(PARTITION_LIMITS, F.col("slot")).alias("max_time_limit"),
+        pick(PARTITION_LIMITS, "slot").alias("max_time_limit"),
         F.concat((2 + F.col("slot")).cast("string"), F.lit("GB")).alias("default_memory_per_cpu"),
     )
 
@@ -345,20 +351,19 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.coalesce("cluster", F.lit("nowhere")).alias("cluster"),
             _script(key).alias("script"),
             F.concat(F.lit("app-"), (key % 40).cast("string")).alias("job_name"),
-            pick(REQUEST_NODES, key).alias("nodes"),
-            pick(REQUEST_TASKS, key).alias("tasks_per_node"),
-            pick(REQUEST_CPUS, key).alias("cpus_per_task"),
-            pick(REQUEST_MEMORY, key).alias("memory"),
-            pick(REQUEST_LIMITS, key).alias("time_limit"),
-            pick(REQUEST_PARTITIONS, key).alias("partition"),
+            pick(REQUEST_NODES, "doc_id").alias("nodes"),
+            pick(REQUEST_TASKS, "doc_id").alias("tasks_per_node"),
+            pick(REQUEST_CPUS, "doc_id").alias("cpus_per_task"),
+            pick(REQUEST_MEMORY, "doc_id").alias("memory"),
+            pick(REQUEST_LIMITS, "doc_id").alias("time_limit"),
+            pick(REQUEST_PARTITIONS, "doc_id").alias("partition"),
         )
     )
 
 
 # ------------------------------------------------------------ status and output
 def event_state() -> Column:
-    pairs = F.create_map(*[F.lit(x) for item in EVENT_STATES.items() for x in item])
-    return F.try_element_at(pairs, F.col("event_type"))
+    return states.lookup(EVENT_STATES, F.col("event_type"))
 
 
 def event_status(events: DataFrame) -> DataFrame:
@@ -447,7 +452,7 @@ def cancels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches from parts: array specs by residue, the words of the type as commands."""
     key = F.col("p_partkey")
-    spec = pick(ARRAY_SPECS, key)
+    spec = pick(ARRAY_SPECS, "p_partkey")
     return table(spark, sf_dir, "part").select(
         key.alias("batch_id"),
         spec.alias("array_spec"),
