@@ -575,6 +575,11 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+def _mean_rounded(df: DataFrame) -> DataFrame:
+    """More digits for means: halves of two-digit values would be ties at six."""
+    return df.withColumn("value", F.round("value", 8))
+
+
 @query
 def range_rejects(spark, sf):
     checked = prep.check_ranges(views.readings(spark, sf), _LOW, _HIGH)
@@ -584,7 +589,7 @@ def range_rejects(spark, sf):
 @query
 def impute(spark, sf):
     filled = prep.impute(views.unique_readings(spark, sf))
-    return _rounded(filled.select("reading_id", "sensor_id", "value", "imputed"), "value")
+    return _mean_rounded(filled.select("reading_id", "sensor_id", "value", "imputed"))
 
 
 @query
@@ -651,10 +656,8 @@ def one_hot(spark, sf):
 @query
 def clean_readings(spark, sf):
     cleaned = prep.clean(views.readings(spark, sf), _LOW, _HIGH)
-    return _rounded(
-        cleaned.select("reading_id", "sensor_id", "value", "imputed", "outlier", "scaled"),
-        "value", "scaled",
-    )
+    columns = ["reading_id", "sensor_id", "value", "imputed", "outlier", "scaled"]
+    return _rounded(_mean_rounded(cleaned.select(*columns)), "scaled")
 
 
 @query

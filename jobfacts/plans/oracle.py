@@ -712,7 +712,7 @@ FROM (SELECT *, native_id IN (SELECT event_id // 2 * 3 FROM events WHERE event_t
 FROM readings WHERE value < 0.05 OR value > 200"""
     ),
     "impute": _prep(
-        """SELECT reading_id, sensor_id, round(coalesce(value, mean), 6) AS value, value IS NULL AS imputed
+        """SELECT reading_id, sensor_id, round(coalesce(value, mean), 8) AS value, value IS NULL AS imputed
 FROM uniq JOIN stats USING (sensor_id)"""
     ),
     "outliers": _prep(
@@ -753,7 +753,7 @@ FROM uniq WHERE value IS NOT NULL"""
     + _CTES["readings"]
     + ", kept AS (SELECT * FROM uniq WHERE value IS NULL OR value BETWEEN 0.05 AND 200),\n"
     + _STATS.format(source="kept")
-    + """ SELECT reading_id, sensor_id, round(coalesce(value, mean), 6) AS value, value IS NULL AS imputed,
+    + """ SELECT reading_id, sensor_id, round(coalesce(value, mean), 8) AS value, value IS NULL AS imputed,
   coalesce(abs(coalesce(value, mean) - mean) > 3 * std, false) AS outlier,
   round(CASE WHEN high > low THEN (coalesce(value, mean) - low) / (high - low)
         WHEN coalesce(value, mean) IS NOT NULL THEN 0 END, 6) AS scaled

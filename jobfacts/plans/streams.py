@@ -12,10 +12,8 @@ from jobfacts.streaming import changes, timeouts
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = views.table(spark, sf_dir, "events").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    )
+    events = spark.readStream.schema(schemas.GIVEN["events"])
+    return events.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def _run(spark: SparkSession, name: str, start) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from jobfacts.functions import clocks, fields, states
 from jobfacts.operators import normalize
-from jobfacts.schemas import FLUX_LONG_FIELDS
+from jobfacts.schemas import FLUX_LONG_FIELDS, GIVEN
 
 AS_OF = 978_307_200  # 2001-01-01T00:00:00Z, the "now" of running jobs
 
@@ -56,7 +56,7 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(GIVEN[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pick(values: list, index: str) -> Column:

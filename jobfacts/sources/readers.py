@@ -90,7 +90,8 @@ def read_job_output(spark: SparkSession, path: str, layout: str = "files") -> Da
 
     ``files``: a file is read whole, and a final newline makes an empty last
     line. ``lines``: files of any size, split over tasks; a final newline is then
-    no line of its own. Lines are ordered by (block, line_no) in both.
+    no line of its own. Lines are ordered by (block, line_no) in both. An empty
+    file gives no row, and reads as empty output after ``output.with_output``.
     """
     if layout == "files":
         texts = spark.read.text(path, wholetext=True)
