@@ -55,15 +55,6 @@ def outcomes(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
     ).write.parquet(f"{folder}/heartbeat")
     beat = spark.readStream.schema(schemas.STATUS).parquet(f"{folder}/heartbeat")
     status = views.event_status(_events(spark, sf_dir)).union(beat)
-    query = (
-        timeouts.job_outcomes(status, minutes)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    found = spark.read.schema(schemas.STATUS + ", success boolean").parquet(f"{folder}/out")
-    return found.filter(F.col("job_id") != "heartbeat")
+    out = f"{folder}/out"
+    timeouts.stream_outcomes(status, out, f"{folder}/checkpoint", minutes).awaitTermination()
+    return timeouts.read_outcomes(spark, out).filter(F.col("job_id") != "heartbeat")

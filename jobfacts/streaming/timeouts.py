@@ -1,102 +1,108 @@
 """Outcome of waiting for each job: its first terminal state in time, else TIMEOUT.
 
-The batch twin is ``operators.status.outcomes``. An outcome is emitted exactly
-once, when the watermark shows that nothing earlier can still arrive.
+The batch twin is ``operators.status.outcomes``. Each outcome is written exactly
+once, as soon as the statuses seen so far show that nothing earlier can still
+arrive. State is one small row per job that is open or was decided lately, kept
+as a table below the output path; a trigger combines it with its own statuses by
+one aggregation, so everything stays in built-in operators, a job with most of
+the statuses is reduced in each task first, and a repeated trigger starts from
+the same state and replaces what it wrote.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from jobfacts import fixed_values as fv
 from jobfacts.functions import states
 
-_OUTCOME = "job_id string, state string, ts timestamp, success boolean"
-_FACTS = "job_id string, first_us long, end_us long, end_state string, last_ts timestamp"
-# first_us: first status; end_us, end_state: first terminal status; decided: outcome sent
-_STATE = "first_us long, end_us long, end_state string, decided boolean"
-_NEVER = 1 << 62
+_MINUTE = 60_000_000
+# All times are epoch microseconds; decided is when the outcome became final.
+_STATE = "job_id string, first bigint, end bigint, end_state string, decided bigint, seen bigint"
+_SLOTS = 3
 
 
-def _per_task_facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per job and Arrow batch, so a job with most of the statuses stays small."""
-    for rows in batches:
-        rows = rows.sort_values("us", kind="stable")
-        ends = rows[rows["ended"]].groupby("job_id").agg(
-            end_us=("us", "first"), end_state=("state", "first")
-        )
-        facts = rows.groupby("job_id").agg(first_us=("us", "first"), last_ts=("ts", "last"))
-        facts = facts.join(ends).reset_index()
-        facts["end_us"] = facts["end_us"].fillna(_NEVER).astype("int64")
-        yield facts[["job_id", "first_us", "end_us", "end_state", "last_ts"]]
-
-
-def _decider(wait_us: int, retain_us: int):
-    def decide(
-        key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        first, end, name, decided = state.get if state.exists else (_NEVER, _NEVER, None, False)
-        if state.hasTimedOut:
-            if decided:
-                state.remove()
-                return
-            in_time = end <= first + wait_us
-            at = end if in_time else first + wait_us
-            outcome = name if in_time else "TIMEOUT"
-            state.update((first, end, name, True))
-            state.setTimeoutTimestamp(
-                max(at + retain_us, state.getCurrentWatermarkMs() * 1000) // 1000 + 1
-            )
-            yield pd.DataFrame(
-                {
-                    "job_id": [key[0]],
-                    "state": [outcome],
-                    "ts": [pd.Timestamp(at, unit="us")],
-                    "success": [outcome == "COMPLETED"],
-                }
-            )
-            return
-        for rows in batches:
-            first = min(first, int(rows["first_us"].min()))
-            best = rows["end_us"].idxmin()
-            if int(rows.at[best, "end_us"]) < end:
-                end, name = int(rows.at[best, "end_us"]), rows.at[best, "end_state"]
-        state.update((first, end, name, decided))
-        if decided:
-            due = min(end, first + wait_us) + retain_us
-        else:
-            due = min(end, first + wait_us)
-        # a timer must lie after the watermark
-        state.setTimeoutTimestamp(max(due // 1000, state.getCurrentWatermarkMs()) + 1)
-
-    return decide
-
-
-def job_outcomes(
+def _facts(statuses: DataFrame) -> DataFrame:
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    end = F.when(states.is_terminal(F.col("state")), us)
+    return statuses.groupBy("job_id").agg(
+        F.min(us).alias("first"),
+        F.min(end).alias("end"),
+        F.min_by("state", end).alias("end_state"),
+        F.lit(None).cast("bigint").alias("decided"),
+        F.max(us).alias("seen"),
+    )
+
+
+def _combined(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("job_id").agg(
+        F.min("first").alias("first"),
+        F.min("end").alias("end"),
+        F.min_by("end_state", "end").alias("end_state"),
+        F.max("decided").alias("decided"),
+        F.max("seen").alias("seen"),
+    )
+
+
+def _outcome(state: DataFrame, wait: int) -> DataFrame:
+    in_time = F.coalesce(F.col("end") <= F.col("first") + wait, F.lit(False))
+    return state.select(
+        "job_id",
+        F.when(in_time, F.col("end_state")).otherwise(F.lit("TIMEOUT")).alias("state"),
+        F.timestamp_micros("decided").alias("ts"),
+        (in_time & (F.col("end_state") == "COMPLETED")).alias("success"),
+    )
+
+
+def stream_outcomes(
     stream: DataFrame,
+    path: str,
+    checkpoint: str,
     timeout_minutes: int = fv.WAIT_TIMEOUT_MINUTES,
-    delay: str = "10 minutes",
+    delay_minutes: int = 10,
     retain_minutes: int = 2 * 24 * 60,
-) -> DataFrame:
-    """Streaming ``(job_id, state, ts, success)`` from a status stream.
+) -> StreamingQuery:
+    """Write the outcome of every job in a status stream ``(job_id, state, ts)``.
 
-    ``delay`` bounds how late a status may arrive. A decided job is remembered
-    for ``retain_minutes`` so later statuses of it start nothing new.
+    ``delay_minutes`` bounds how late a status may arrive. A decided job is
+    remembered for ``retain_minutes``, so its later statuses start nothing new.
     """
-    timed = stream.select(
-        "job_id",
-        "state",
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
-        states.is_terminal(F.col("state")).alias("ended"),
-    )
-    facts = timed.mapInPandas(_per_task_facts, _FACTS).withWatermark("last_ts", delay)
-    decide = _decider(timeout_minutes * 60_000_000, retain_minutes * 60_000_000)
-    return facts.groupBy("job_id").applyInPandasWithState(
-        decide, _OUTCOME, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+    wait, delay, retain = (m * _MINUTE for m in (timeout_minutes, delay_minutes, retain_minutes))
+    due = F.least(F.col("end"), F.col("first") + wait)  # least skips a missing end
+
+    def slot(epoch: int) -> str:
+        return f"{path}/state/slot={epoch % _SLOTS}"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        rows = _facts(batch)
+        if epoch > 0:
+            rows = batch.sparkSession.read.schema(_STATE).parquet(slot(epoch - 1)).union(rows)
+        combined = _combined(rows).persist()
+        newest = combined.agg(F.max("seen")).first()[0]
+        settled = F.lit(newest).cast("bigint") - delay
+        newly: Column = F.col("decided").isNull() & (due <= settled)
+        state = combined.withColumn("decided", F.when(newly, due).otherwise(F.col("decided")))
+        fresh = combined.filter(newly).withColumn("decided", due)
+        _outcome(fresh, wait).write.mode("overwrite").parquet(f"{path}/outcomes/version={epoch}")
+        # the newest job always stays, and with it the time reached so far
+        kept = (
+            F.col("decided").isNull()
+            | (F.col("decided") + retain > settled)
+            | (F.col("seen") == F.lit(newest))
+        )
+        state.filter(kept).write.mode("overwrite").parquet(slot(epoch))
+        combined.unpersist()
+
+    return (
+        stream.writeStream.outputMode("append")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(write)
+        .start()
     )
+
+
+def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/outcomes").select("job_id", "state", "ts", "success")
