@@ -15,6 +15,9 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A skewed join is split even when a later step then needs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Wide projections make generated methods the JVM would otherwise only interpret.
+    "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+    "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
 }
 
 
