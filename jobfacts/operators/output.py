@@ -49,12 +49,13 @@ def tail_output(lines: DataFrame, n: int, key: list[str], order: list[str]) -> D
 
 
 def jobs_with_output(jobs: DataFrame, output: DataFrame, key: str = "job_id") -> DataFrame:
-    return jobs.join(output.select(key), key, "left_semi")
+    """Jobs that wrote anything. Each task reduces a job's rows to one first."""
+    return jobs.join(output.select(key).distinct(), key, "left_semi")
 
 
 def jobs_without_output(jobs: DataFrame, output: DataFrame, key: str = "job_id") -> DataFrame:
     """Jobs of which only the output paths are known."""
-    return jobs.join(output.select(key), key, "left_anti")
+    return jobs.join(output.select(key).distinct(), key, "left_anti")
 
 
 def with_output(jobs: DataFrame, tails: DataFrame, key: str = "job_id") -> DataFrame:

@@ -131,7 +131,7 @@ def native_state_pushdown(spark, sf):
     wanted = states.native_state_filter(
         "FAILED", F.col("backend"), F.col("native_state"), F.col("result")
     )
-    found = views.jobs(spark, sf, only=wanted)
+    found = views.unified_jobs(views.jobs_native(spark, sf).filter(wanted))
     return found.groupBy("cluster", "state").agg(F.count(F.lit(1)).alias("jobs"))
 
 
@@ -508,15 +508,13 @@ def job_results(spark, sf):
 
 @query
 def jobs_with_output(spark, sf):
-    found = output.jobs_with_output(views.jobs(spark, sf), views.output_lines(spark, sf), "native_id")
+    found = output.jobs_with_output(views.jobs(spark, sf), views.outputs(spark, sf), "native_id")
     return found.select("job_id", "state")
 
 
 @query
 def jobs_without_output(spark, sf):
-    found = output.jobs_without_output(
-        views.jobs(spark, sf), views.output_lines(spark, sf), "native_id"
-    )
+    found = output.jobs_without_output(views.jobs(spark, sf), views.outputs(spark, sf), "native_id")
     return found.select("job_id", "stdout_path", "stderr_path")
 
 

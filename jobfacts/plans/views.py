@@ -5,6 +5,8 @@ No clock and no random numbers, so the SQL twins can repeat every derivation.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from jobfacts.functions import clocks, fields, states
 from jobfacts.operators import normalize
 from jobfacts.schemas import FLUX_LONG_FIELDS, GIVEN
 
+# The lazy plan of a derived table is built once per session and folder; no data is kept.
+plan_once = lru_cache(maxsize=64)
+
 AS_OF = 978_307_200  # 2001-01-01T00:00:00Z, the "now" of running jobs
 
 SLURM_ENDED = [
@@ -55,6 +60,7 @@ EVENT_STATES = {
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
+@plan_once
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(GIVEN[name]).parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,6 +72,7 @@ def pick(values: list, index: str) -> Column:
 
 
 # ----------------------------------------------------------------------- jobs
+@plan_once
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cluster registry: one per region, Slurm and Flux in turn."""
     even = F.col("r_regionkey") % 2 == 0
@@ -89,6 +96,7 @@ def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@plan_once
 def jobs_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs of both schedulers with native states, epochs and texts."""
     key = F.col("o_orderkey")
@@ -145,11 +153,13 @@ def jobs_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def jobs(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:
-    """The unified job table with cluster and backend; ``only`` filters native columns first."""
-    native = jobs_native(spark, sf_dir)
-    if only is not None:
-        native = native.filter(only)
+@plan_once
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unified job table with cluster and backend."""
+    return unified_jobs(jobs_native(spark, sf_dir))
+
+
+def unified_jobs(native: DataFrame) -> DataFrame:
     start = F.timestamp_seconds("start_epoch")
     end = F.timestamp_seconds("end_epoch")
     state = states.unified_state(F.col("backend"), F.col("native_state"), F.col("result"))
@@ -190,6 +200,7 @@ def queued_state() -> Column:
     return F.col("start_epoch").isNull()
 
 
+@plan_once
 def slurm_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Slurm jobs in the scheduler's own wrapped shape, both JSON shapes of the state in turn."""
 
@@ -241,6 +252,7 @@ def slurm_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@plan_once
 def flux_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Flux jobs as comma-separated text rows, some of them broken."""
     native = jobs_native(spark, sf_dir).filter(F.col("backend") == "flux")
@@ -272,6 +284,7 @@ def flux_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return native.select(F.when(key % 103 == 0, cut).otherwise(whole).alias("value"))
 
 
+@plan_once
 def flux_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.split_flux_lines(flux_lines(spark, sf_dir), FLUX_LONG_FIELDS)
 
@@ -283,6 +296,7 @@ def _node_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).join(clusters(spark, sf_dir), "cluster_key")
 
 
+@plan_once
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
     first, second = pick(PARTITIONS, "s_suppkey"), pick(PARTITIONS, "s_suppkey + 2")
@@ -296,6 +310,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@plan_once
 def partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A partition per cluster and first partition of its nodes."""
     slot = F.col("s_suppkey") % 5
@@ -338,6 +353,7 @@ def _script(key: Column) -> Column:
     )
 
 
+@plan_once
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job requests with whole scripts; some name a cluster that does not exist."""
     key = F.col("doc_id")
@@ -432,6 +448,11 @@ def minicluster_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which jobs have output, without reading it."""
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("native_id"))
+
+
 def output_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as output, line by line: assistant turns are stdout."""
     return table(spark, sf_dir, "conversations").select(
@@ -449,6 +470,7 @@ def cancels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -------------------------------------------------------------- batches, readings
+@plan_once
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches from parts: array specs by residue, the words of the type as commands."""
     key = F.col("p_partkey")
