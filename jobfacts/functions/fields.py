@@ -26,10 +26,19 @@ def numeric_text(text: Column) -> Column:
 
 
 def slurm_exit_code(text: Column) -> Column:
-    """Exit code from the JSON of ``exit_code``; anything but digits is NULL."""
-    code = F.when(text.startswith("{"), F.get_json_object(text, "$.return_code")).otherwise(text)
-    wrapped = F.from_json(code, "set boolean, number bigint")
-    code = F.when(code.startswith("{"), unwrap_number(wrapped).cast("string")).otherwise(code)
+    """Exit code from the JSON of ``exit_code``; anything but digits is NULL.
+
+    The code is plain, or the ``return_code`` of an object, which may itself be a
+    wrapped number.
+    """
+
+    def part(path: str) -> Column:
+        return F.get_json_object(text, "$.return_code" + path)
+
+    is_set = F.coalesce(part(".set"), F.lit("true")) == "true"
+    code = F.when(
+        text.startswith("{"), F.coalesce(F.when(is_set, part(".number")), part(""))
+    ).otherwise(text)
     return F.when(code.rlike("^[0-9]+$"), code.try_cast("int"))
 
 

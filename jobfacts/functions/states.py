@@ -65,8 +65,7 @@ def is_terminal(state: Column) -> Column:
 
 def first_state(text: Column) -> Column:
     """First entry when the state came as a JSON list, else the text itself."""
-    listed = F.from_json(text, "array<string>")
-    return F.when(text.startswith("["), F.get(listed, 0)).otherwise(text)
+    return F.when(text.startswith("["), F.get_json_object(text, "$[0]")).otherwise(text)
 
 
 def joined_state(text: Column) -> Column:

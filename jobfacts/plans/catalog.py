@@ -24,6 +24,7 @@ from jobfacts.operators import (
     validate,
 )
 from jobfacts.plans import streams, views
+from jobfacts.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,6 +82,12 @@ def cluster_types(spark, sf):
     return normalize.cluster_types(views.clusters(spark, sf))
 
 
+@query
+def clusters_redacted(spark, sf):
+    shown = normalize.redacted_clusters(views.cluster_auth(spark, sf))
+    return shown.select("name", F.explode("auth").alias("setting", "value"))
+
+
 @query
 def jobs_by_backend(spark, sf):
     jobs = views.jobs(spark, sf).drop("backend")
@@ -105,6 +112,14 @@ def list_total(spark, sf):
     return lists.list_total(views.jobs(spark, sf), state="FAILED")
 
 
+@query
+def list_envelope(spark, sf):
+    """A page and its count before the limit as one JSON answer."""
+    jobs = views.jobs(spark, sf)
+    page = normalize.concise(lists.list_jobs(jobs, cluster="europe", state="FAILED", limit=25))
+    return sinks.list_envelope(page, lists.list_total(jobs, "europe", state="FAILED"))
+
+
 @query
 def list_sample(spark, sf):
     return normalize.recent_projection(lists.sample(views.jobs(spark, sf)))
@@ -198,6 +213,15 @@ def flux_rejects(spark, sf):
     return normalize.flux_rejects(views.flux_split(spark, sf))
 
 
+@query
+def flux_short_listing(spark, sf):
+    """The five-field listing; what it lacks is NULL in the union with full records."""
+    short = normalize.normalize_flux(views.flux_short_split(spark, sf))
+    return short.select(
+        "job_id", "name", "state", F.unix_seconds("submitted").alias("submitted"), "runtime_seconds"
+    )
+
+
 @query
 def all_jobs(spark, sf):
     """Both schedulers' records in one table, counted by partition and state."""
@@ -666,3 +690,13 @@ def split_counts(spark, sf):
 @query
 def quality_report(spark, sf):
     return prep.quality_report(prep.quality_counters(views.readings(spark, sf), ["reading_id"]))
+
+
+@query
+def run_metadata(spark, sf):
+    source = views.readings(spark, sf)
+    split = prep.assign_split(prep.deduplicate(source, ["reading_id"]), "reading_id")
+    counters = prep.quality_counters(source, ["reading_id"])
+    return sinks.run_metadata("run", counters, prep.split_counts(split), 12).select(
+        "pipeline_id", "input_records", "output_records", "splits.*", "features", "quality_metrics.*"
+    )

@@ -286,7 +286,6 @@ _CONCISE = f"""SELECT job_id, name, state, {_iso('submit_epoch')} AS submitted,
 _CPU = "coalesce(cpu_seconds, CAST(trunc(runtime_seconds * 0.8::DOUBLE) AS BIGINT))"
 _CPUS = "(CAST(tasks AS BIGINT) * cpus_per_task)"
 _EFFICIENCY = f"CASE WHEN runtime_seconds * {_CPUS} > 0 THEN {_CPU} / (runtime_seconds * {_CPUS}) END"
-_FLAT_TAIL = """nodes, tasks, cpus_per_task, memory, n_allocated"""
 
 _SLURM_FLAT = f"""SELECT native_id::VARCHAR AS job_id, job_name AS name,
   {_case('native_state', fv.SLURM_STATES, 'native_state')} AS state,
@@ -301,8 +300,7 @@ _SLURM_FLAT = f"""SELECT native_id::VARCHAR AS job_id, job_name AS name,
   CAST(CASE WHEN start_epoch IS NULL THEN 0 ELSE nodes END AS INT) AS n_allocated
 FROM native WHERE backend = 'slurm' AND native_id % 101 <> 0"""
 
-_FLUX_REJECT = """CASE WHEN native_id % 103 = 0 THEN
-    CASE WHEN native_id % 89 = 0 THEN 'too few fields' ELSE 'too few fields' END
+_FLUX_REJECT = """CASE WHEN native_id % 103 = 0 THEN 'too few fields'
   WHEN native_id % 89 = 0 THEN 'too many fields'
   WHEN native_id % 83 = 0 OR flux_duration = '1.2.3s' THEN 'unparsable number' END"""
 _FLUX_FLAT = f"""SELECT 'ƒ' || native_id AS job_id, CASE WHEN job_name = '' THEN 'unnamed' ELSE job_name END AS name,
@@ -339,7 +337,6 @@ def _human(s: str) -> str:
 
 _STATS = """stats AS (SELECT sensor_id, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS low,
   max(value) AS high FROM {source} GROUP BY sensor_id)"""
-_UNIQ_STATS = ["readings"]
 
 
 def _prep(body: str, source: str = "uniq") -> str:
@@ -431,6 +428,11 @@ LEFT JOIN (SELECT cluster, CAST(sum(nodes) AS BIGINT) AS held, CAST(sum({_CPUS})
     ),
     "node_partitions": _with(["clusters", "nodes"], "SELECT cluster, node, node_state, cpus, name FROM node_parts"),
     "cluster_types": _with(["clusters"], 'SELECT cluster AS name, backend AS "type" FROM clusters'),
+    "clusters_redacted": _with(
+        ["clusters"],
+        """SELECT cluster AS name, 'user' AS setting, cluster AS value FROM clusters
+UNION ALL SELECT cluster, 'jwt_token', '***' FROM clusters""",
+    ),
     "jobs_by_backend": _with(
         _JOBS, "SELECT backend, state, count(*) AS jobs FROM jobs GROUP BY backend, state"
     ),
@@ -439,6 +441,13 @@ LEFT JOIN (SELECT cluster, CAST(sum(nodes) AS BIGINT) AS held, CAST(sum({_CPUS})
         _JOBS, f"{_CONCISE} WHERE cluster = 'asia' AND state = 'RUNNING' ORDER BY job_id DESC LIMIT 50"
     ),
     "list_total": _with(_JOBS, "SELECT count(*) AS total, true AS filtered FROM jobs WHERE state = 'FAILED'"),
+    "list_envelope": _with(
+        _JOBS,
+        f"""SELECT CAST(to_json({{'success': true, 'jobs': (SELECT list(j ORDER BY j.job_id DESC) FROM (
+    {_CONCISE} WHERE cluster = 'europe' AND state = 'FAILED' ORDER BY job_id DESC LIMIT 25) j),
+  'total': (SELECT count(*) FROM jobs WHERE cluster = 'europe' AND state = 'FAILED'), 'filtered': true}}) AS VARCHAR)
+  AS response""",
+    ),
     "list_sample": _with(
         _JOBS,
         f"SELECT job_id, name, state, {_clock('runtime_seconds')} AS runtime FROM jobs ORDER BY job_id DESC LIMIT 20",
@@ -475,6 +484,12 @@ LEFT JOIN (SELECT cluster, CAST(sum(nodes) AS BIGINT) AS held, CAST(sum({_CPUS})
           native_state, CASE WHEN native_id % 83 = 0 THEN 'soon' ELSE submit_epoch || '.25' END) AS head
         FROM native WHERE backend = 'flux')) WHERE reject IS NOT NULL""",
     ),
+    "flux_short_listing": _with(
+        ["clusters", "native"],
+        f"""SELECT 'ƒ' || native_id AS job_id, CASE WHEN job_name = '' THEN 'unnamed' ELSE job_name END AS name,
+  {_case('native_state', fv.FLUX_STATES, 'native_state')} AS state, submit_epoch AS submitted,
+  coalesce(end_epoch - start_epoch, 0) AS runtime_seconds FROM native WHERE backend = 'flux'""",
+    ),
     "all_jobs": _with(
         ["clusters", "native"],
         f"""SELECT "partition", state, count(*) AS jobs, CAST(sum(runtime_seconds) AS BIGINT) AS runtime_seconds
@@ -771,4 +786,16 @@ FROM readings JOIN stats USING (sensor_id)) UNPIVOT (value FOR metric IN (input_
   missing_values_imputed, outliers_detected, duplicates_removed))""",
         "readings",
     ),
+    "run_metadata": "WITH "
+    + _CTES["readings"]
+    + ",\n"
+    + _STATS.format(source="readings")
+    + """, cut AS (SELECT CAST('0x' || substr(md5(reading_id::VARCHAR), 1, 8) AS BIGINT) % 100 AS b FROM uniq)
+SELECT 'run' AS pipeline_id, count(*) AS input_records, (SELECT count(*) FROM uniq) AS output_records,
+  (SELECT count(*) FROM cut WHERE b < 70) AS train, (SELECT count(*) FROM cut WHERE b BETWEEN 70 AND 84) AS validation,
+  (SELECT count(*) FROM cut WHERE b >= 85) AS test, 12 AS features,
+  count(*) FILTER (value IS NULL) AS missing_values_imputed,
+  count(*) FILTER (abs(value - mean) > 3 * std) AS outliers_detected,
+  count(*) - (SELECT count(*) FROM uniq) AS duplicates_removed
+FROM readings JOIN stats USING (sensor_id)""",
 }

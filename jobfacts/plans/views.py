@@ -10,9 +10,10 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobfacts.fixed_values import SWEEP_PARAMETERS
 from jobfacts.functions import clocks, fields, states
 from jobfacts.operators import normalize
-from jobfacts.schemas import FLUX_LONG_FIELDS, GIVEN
+from jobfacts.schemas import FLUX_LONG_FIELDS, FLUX_SHORT_FIELDS, GIVEN
 
 # The lazy plan of a derived table is built once per session and folder; no data is kept.
 plan_once = lru_cache(maxsize=64)
@@ -83,6 +84,14 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cluster_auth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry with a user and a token per cluster."""
+    auth = F.create_map(
+        F.lit("user"), F.col("name"), F.lit("jwt_token"), F.concat(F.lit("secret-"), "name")
+    )
+    return clusters(spark, sf_dir).withColumn("auth", auth)
+
+
 def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measured use per job: lines as nodes, peak memory and CPU seconds."""
     return (
@@ -223,7 +232,10 @@ def slurm_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.when(
         F.col("start_epoch").isNotNull(), F.array_join(fields.node_names(F.col("nodes")), ",")
     ).otherwise(F.lit(""))
-    out = F.concat(F.lit("/tmp/slurm-"), key.cast("string"), F.lit(".out"))
+
+    def path(name: str, ending: str) -> Column:
+        return F.concat(F.lit(f"/tmp/{name}-"), key.cast("string"), F.lit(ending))
+
     return native.select(
         F.when(key % 101 != 0, key.cast("string")).alias("job_id"),
         F.col("job_name").alias("name"),
@@ -245,9 +257,9 @@ def slurm_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 4 != 0, F.col("memory")).alias("memory_per_node"),
         F.concat(F.lit("mem="), F.col("memory")).alias("memory_per_tres"),
         F.lit("/home/work").alias("current_working_directory"),
-        out.alias("standard_output"),
-        F.regexp_replace(out, "out$", "err").alias("standard_error"),
-        F.when(key % 5 == 0, F.regexp_replace(out, "slurm", "expanded")).alias("stdout_expanded"),
+        path("slurm", ".out").alias("standard_output"),
+        path("slurm", ".err").alias("standard_error"),
+        F.when(key % 5 == 0, path("expanded", ".out")).alias("stdout_expanded"),
         F.lit(None).cast("string").alias("stderr_expanded"),
     )
 
@@ -289,6 +301,21 @@ def flux_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.split_flux_lines(flux_lines(spark, sf_dir), FLUX_LONG_FIELDS)
 
 
+def flux_short_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Flux jobs as five-field rows."""
+    native = jobs_native(spark, sf_dir).filter(F.col("backend") == "flux")
+    ran = F.col("end_epoch") - F.col("start_epoch")
+    line = F.concat_ws(
+        ",",
+        fields.job_id_for(F.col("backend"), F.col("native_id")),
+        "job_name",
+        "native_state",
+        F.col("submit_epoch").cast("string"),
+        F.coalesce(F.concat(ran.cast("string"), F.lit("s")), F.lit("-")),
+    )
+    return normalize.split_flux_lines(native.select(line.alias("value")), FLUX_SHORT_FIELDS)
+
+
 # ------------------------------------------------------------- nodes, partitions
 def _node_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").withColumn(
@@ -484,9 +511,7 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sweep_parameters(spark: SparkSession) -> DataFrame:
-    from jobfacts.fixed_values import SWEEP_PARAMETERS
-
-    rows = [(i, p) for i, p in enumerate(SWEEP_PARAMETERS)]
+    rows = list(enumerate(SWEEP_PARAMETERS))
     return spark.createDataFrame(rows, "position bigint, parameter string").withColumn(
         "parameter", F.col("parameter").cast("decimal(10,3)")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobfacts import fixed_values as fv
 from jobfacts.operators import prep
 
 
@@ -17,7 +18,8 @@ def list_envelope(page: DataFrame, total: DataFrame) -> DataFrame:
     row = F.struct(*page.columns)
     newest_first = F.reverse(F.sort_array(F.collect_list(row)))
     jobs = page.agg(newest_first.alias("jobs"))
-    counted = [total.select(c).scalar().alias(c) for c in total.columns]
+    once = total.select(F.struct("*")).scalar()
+    counted = [once[c].alias(c) for c in total.columns]
     return jobs.select(
         F.to_json(
             F.struct(F.lit(True).alias("success"), "jobs", *counted),
@@ -31,18 +33,25 @@ def write_splits(table: DataFrame, path: str, mode: str = "errorifexists") -> No
     table.write.mode(mode).partitionBy("split").parquet(path)
 
 
-def run_metadata(pipeline_id: str, counters: DataFrame, splits: DataFrame, features: int) -> DataFrame:
+def run_metadata(
+    pipeline_id: str, counters: DataFrame, splits: DataFrame, features: int
+) -> DataFrame:
     """One row with counts, split sizes and quality metrics."""
-    sizes = splits.groupBy().pivot("split", ["train", "validation", "test"]).agg(F.first("records"))
+    names = [name for name, _ in fv.SPLIT_SHARES]
     zero = F.lit(0).cast("bigint")
-    split_struct = F.struct(
-        *[F.coalesce(sizes.select(n).scalar(), zero).alias(n) for n in ("train", "validation", "test")]
+    sizes = splits.agg(
+        F.struct(
+            *[
+                F.coalesce(F.max(F.when(F.col("split") == n, F.col("records"))), zero).alias(n)
+                for n in names
+            ]
+        )
     )
     return counters.select(
         F.lit(pipeline_id).alias("pipeline_id"),
         "input_records",
         "output_records",
-        split_struct.alias("splits"),
+        sizes.scalar().alias("splits"),
         F.lit(features).alias("features"),
         F.struct("missing_values_imputed", "outliers_detected", "duplicates_removed").alias(
             "quality_metrics"
@@ -60,7 +69,9 @@ def write_quality_report(counters: DataFrame, path: str, mode: str = "errorifexi
     lines.write.mode(mode).text(path)
 
 
-def write_sweep_results(results: DataFrame, path: str, format: str = "parquet", mode: str = "errorifexists") -> None:
+def write_sweep_results(
+    results: DataFrame, path: str, format: str = "parquet", mode: str = "errorifexists"
+) -> None:
     """One record per sweep task."""
     if format not in ("json", "parquet"):
         raise ValueError(f"format must be json or parquet, got {format!r}")
