@@ -110,6 +110,19 @@ ESTIMATES = {
 RANKS_PER_NODE = 4
 IO_PARTITION = "io-optimized"
 
+# Recommendation texts; %s marks are filled in order, and of each pair
+# the first applies when the class is found.
+NODES_REASON = "Based on %s, %s node(s) recommended"
+NODES_BASIS = ("parallel workload detection", "workload analysis")
+TASKS_REASON = "Optimal task count for %s workload"
+TASKS_BASIS = ("CPU-intensive", "standard")
+MEMORY_REASON = "Estimated based on %s"
+MEMORY_BASIS = ("memory-intensive patterns", "typical workload requirements")
+TIME_REASON = "Estimated runtime with 20% buffer. Monitor first run and adjust."
+PARTITION_REASON = (
+    "I/O-intensive workload detected. Consider using I/O-optimized partition if available."
+)
+
 # Request checks.
 MEMORY_FORMAT = r"^\d+\s*(MB|GB|TB|M|G|T)$"
 REQUEST_TIME_FORMATS = [r"^\d+(\.\d+)?[hmsHMS]$", r"^\d+:\d+$", r"^\d+:\d+:\d+$"]

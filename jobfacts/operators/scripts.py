@@ -85,25 +85,10 @@ def recommend(estimated: DataFrame) -> DataFrame:
         return F.when(flag, F.lit(yes)).otherwise(F.lit(no))
 
     nodes = F.col("recommended_nodes")
-    why_nodes = F.concat(
-        F.lit("Based on "),
-        pick(cpu, "parallel workload detection", "workload analysis"),
-        F.lit(", "),
-        nodes.cast("string"),
-        F.lit(" node(s) recommended"),
-    )
-    why_tasks = F.concat(
-        F.lit("Optimal task count for "), pick(cpu, "CPU-intensive", "standard"), F.lit(" workload")
-    )
-    why_memory = F.concat(
-        F.lit("Estimated based on "),
-        pick(memory, "memory-intensive patterns", "typical workload requirements"),
-    )
-    why_time = F.lit("Estimated runtime with 20% buffer. Monitor first run and adjust.")
-    why_partition = F.lit(
-        "I/O-intensive workload detected. "
-        "Consider using I/O-optimized partition if available."
-    )
+    why_nodes = F.format_string(fv.NODES_REASON, pick(cpu, *fv.NODES_BASIS), nodes)
+    why_tasks = F.format_string(fv.TASKS_REASON, pick(cpu, *fv.TASKS_BASIS))
+    why_memory = F.format_string(fv.MEMORY_REASON, pick(memory, *fv.MEMORY_BASIS))
+    why_time, why_partition = F.lit(fv.TIME_REASON), F.lit(fv.PARTITION_REASON)
     medium, low = F.lit("medium"), F.lit("low")
     advice = F.array(
         _advice("nodes", nodes, pick(cpu, "high", "medium"), why_nodes),

@@ -1,8 +1,6 @@
 import random
 import re
 
-from pyspark.sql import functions as F
-
 from jobfacts import fixed_values as fv
 from jobfacts.functions import scripts as text
 from jobfacts.operators import filters, scripts, validate
