@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobfacts.llm import exact, lengths, packing
+from jobfacts.llm import decontam, exact, lengths, packing
 from jobfacts.llm.common import table
 
 LIMIT, END_ID = 2048, 1
@@ -26,6 +26,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return rows.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.limits(lengths.histogram(table(spark, sf_dir, "documents"), vocabulary()))
 
@@ -36,11 +49,33 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op7_decontamination": op7_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE = {
+    "op7_decontamination": r"""
+        WITH d AS (SELECT doc_id, text, row_number() OVER () AS k FROM documents),
+        dw AS (SELECT k, doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+        bw AS (SELECT item_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        bn AS (SELECT item_id, w, least(len(w), 10) AS n FROM bw WHERE len(w) > 0),
+        win AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS phrase
+            FROM bn, unnest(range(1, len(w) - n + 2)) AS u(s)),
+        sizes AS (SELECT DISTINCT n FROM win),
+        dwin AS (SELECT k, n, s, array_to_string(w[s:s + n - 1], ' ') AS phrase
+            FROM dw, sizes, unnest(range(1, len(w) - n + 2)) AS u(s) WHERE len(w) >= n),
+        hit AS (SELECT k, s, n, item_id FROM dwin JOIN win USING (n, phrase)),
+        words AS (SELECT k, count(DISTINCT p) AS n_hit FROM hit, unnest(range(s, s + n)) AS u(p) GROUP BY k),
+        items AS (SELECT k, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names
+            FROM (SELECT DISTINCT k, item_id::VARCHAR AS i FROM hit) GROUP BY k)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM dw LEFT JOIN words USING (k) LEFT JOIN items USING (k)""",
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
