@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobfacts.llm import decontam, exact, lengths, packing
+from jobfacts.llm import decontam, exact, lengths, neardup, packing
 from jobfacts.llm.common import table
 
 LIMIT, END_ID = 2048, 1
@@ -26,6 +26,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), 85, 5)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
     names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
@@ -49,6 +53,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op4_near_dedup": op4_near_dedup,
     "op7_decontamination": op7_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
