@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobfacts.llm import decontam, exact, lengths, neardup, packing
+from jobfacts.llm import decontam, exact, lengths, neardup, ngram, packing
 from jobfacts.llm.common import table
 
 LIMIT, END_ID = 2048, 1
@@ -43,6 +43,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.limits(lengths.histogram(table(spark, sf_dir, "documents"), vocabulary()))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op4_near_dedup": op4_near_dedup,
     "op7_decontamination": op7_decontamination,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
 }
