@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobfacts.llm import decontam, exact, lengths, neardup, ngram, packing
+from jobfacts.llm import decontam, exact, lengths, linededup, neardup, ngram, packing, sharding
 from jobfacts.llm.common import table
 
-LIMIT, END_ID = 2048, 1
+LIMIT, END_ID, SHARDS = 2048, 1, 40
 
 
 def vocabulary() -> str:
@@ -26,10 +26,22 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), SHARDS)
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), 85, 5)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linededup.without_repeated_lines(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", "owners", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
     names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
@@ -57,7 +69,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_sharding": op2_sharding,
     "op4_near_dedup": op4_near_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_token_counts": op9_token_counts,
