@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobfacts.llm import decontam, exact, lengths, linededup, neardup, ngram, packing, sharding
+from jobfacts.llm import decontam, exact, langid, lengths, linededup, neardup, ngram, packing, sharding
 from jobfacts.llm.common import table
 
 LIMIT, END_ID, SHARDS = 2048, 1, 40
@@ -33,6 +33,17 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out(part: int) -> Column:
+    """Documents that a model must not learn from: those whose CRC of the id leaves 2."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % part == 2, F.lit(False))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = langid.identify(docs, langid.fit(docs.filter(~held_out(4))))
+    return rows.select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), 85, 5)
 
@@ -56,7 +67,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram.score(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+    return ngram.score(table(spark, sf_dir, "documents"), held_out(7))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +81,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
+    "op3_language_id": op3_language_id,
     "op4_near_dedup": op4_near_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
