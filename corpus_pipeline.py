@@ -3,34 +3,69 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from jobfacts.llm import exact, packing, queries
+from jobfacts.llm import decontam, exact, langid, neardup, packing, queries
 from jobfacts.llm.common import table, written
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id stays."""
-    kept = exact.exact_owners(docs, largest=True).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of `docs` whose id is in `kept` (doc_id), a null id too."""
+    same = docs["doc_id"].eqNullSafe(kept["doc_id"])
+    return docs.join(kept.distinct(), same, "left_semi").select(docs.columns)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that are left, with their token ids."""
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language can be told: a null text and one without a letter go."""
+    model = langid.fit(docs.filter(~queries.held_out(4)))
+    known = langid.identify(docs, model).filter(F.col("lang_pred") != langid.UNKNOWN)
+    return _only(docs, known.select("doc_id"))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest doc_id stays, once."""
+    kept = exact.exact_owners(docs, largest=True).filter("kept").select("doc_id", "text_sha256").distinct()
+    marked = docs.withColumn("text_digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    same = (marked["text_digest"] == kept["text_sha256"]) & marked["doc_id"].eqNullSafe(kept["doc_id"])
+    left = marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_digest"])
+    return left.select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of 0.85 or more join, the one with the smallest doc_id stays."""
+    return _only(docs, neardup.near_duplicates(docs, 85, 5).filter("kept").select("doc_id"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a run of ten words of any benchmark item."""
+    clean = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), 10).filter(~F.col("contaminated"))
+    return _only(docs, clean.select("doc_id"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left: where they stand in which sequence, with their token ids."""
     return packing.pack(docs, queries.vocabulary(), queries.LIMIT, queries.END_ID)
 
 
 STAGES = [
-    ("exact dedup", exact_dedup),
-    ("packing", pack),
+    ("language ID", language),
+    ("exact dedup", exact_copies),
+    ("MinHash near-dedup", near_copies),
+    ("benchmark decontamination", decontaminated),
+    ("packing", packed),
 ]
 
-#: Language identification, near copies and packing have no SQL form; tests hold run() against brute force.
+#: A learnt language model and token ids have no SQL form; a test holds run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; every one but the last is written as Parquet and read again."""
+    """All stages over `documents`; every one but the last is written as Parquet and read again.
+
+    doc_id names a document: rows that share one are kept or dropped together, but for equal rows, of which one
+    stays. Nulls, empty texts, ties and other columns are treated as each stage's operator says.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = written(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobfacts.llm import decontam, exact, langid, lengths, linededup, neardup, ngram, packing, sharding
+from jobfacts.llm import decontam, exact, langid, lengths, linededup, neardup, ngram, packing, sharding, warc
 from jobfacts.llm.common import table
 
 LIMIT, END_ID, SHARDS = 2048, 1, 40
@@ -48,6 +48,12 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), 85, 5)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captured = F.timestamp_seconds(F.lit(1704067200) + F.coalesce(F.pmod("page_id", F.lit(1 << 28)), F.lit(0)))
+    index = warc.capture_index(table(spark, sf_dir, "pages"), 0, captured)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp", "archive", "offset", "length")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = linededup.without_repeated_lines(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_removed", "owners", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
@@ -83,6 +89,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_language_id": op3_language_id,
     "op4_near_dedup": op4_near_dedup,
+    "op5_warc": op5_warc,
     "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_lm_scoring": op8_lm_scoring,
