@@ -25,9 +25,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id stays, once."""
     kept = exact.exact_owners(docs, largest=True).filter("kept").select("doc_id", "text_sha256").distinct()
-    marked = docs.withColumn("text_digest", F.sha2(F.coalesce("text", F.lit("")), 256))
-    same = (marked["text_digest"] == kept["text_sha256"]) & marked["doc_id"].eqNullSafe(kept["doc_id"])
-    left = marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_digest"])
+    digest = "digest_" + "_".join(docs.columns)
+    marked = docs.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256))
+    same = (marked[digest] == kept["text_sha256"]) & marked["doc_id"].eqNullSafe(kept["doc_id"])
+    left = marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", digest])
     return left.select(docs.columns)
 
 

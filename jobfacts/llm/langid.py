@@ -107,7 +107,7 @@ class OneVersusOne:
         for a, b in self.pairs:
             use = (labels == self.classes[a]) | (labels == self.classes[b])
             machines.append(train_svm(x[use], labels[use] == self.classes[a]))
-        self.weights = np.array(machines, np.float32).reshape(len(self.pairs), -1)
+        self.weights = np.array(machines, np.float32).reshape(len(self.pairs), x.shape[1] + 1)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of the class in `classes`, and the least margin by which it won a duel (infinite without rivals)."""

@@ -51,7 +51,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captured = F.timestamp_seconds(F.lit(1704067200) + F.coalesce(F.pmod("page_id", F.lit(1 << 28)), F.lit(0)))
     index = warc.capture_index(table(spark, sf_dir, "pages"), 0, captured)
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp", "archive", "offset", "length")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +98,31 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_near_dedup": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle
+            FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS u(i) WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i
+            FROM s AS a JOIN s AS b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n AS x ON a = x.doc_id JOIN n AS y ON b = y.doc_id
+            WHERE 100 * i >= 85 * (x.n + y.n - i)),
+        r(doc_id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id),
+        c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)""",
+    "op5_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        o AS (SELECT html, max(page_id) AS owner, sha1(html) AS hex FROM p GROUP BY html),
+        b AS (SELECT html, owner, array_to_string(list_transform(range(0, 32), lambda j:
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || hex[j // 4 * 5 + 1:j // 4 * 5 + 5])::BIGINT
+                >> (15 - 5 * (j % 4))) & 31)]), '') AS payload_digest FROM o)
+        SELECT page_id, strlen(html) AS payload_bytes, payload_digest,
+            CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> owner THEN owner END AS refers_to
+        FROM p JOIN b USING (html)""",
     "op7_decontamination": r"""
         WITH d AS (SELECT doc_id, text, row_number() OVER () AS k FROM documents),
         dw AS (SELECT k, doc_id, regexp_extract_all(
