@@ -138,10 +138,8 @@ def _families(sets: DataFrame, share: float) -> DataFrame:
                 if len(near):
                     above, below = (regs[i] > regs[near]).sum(1), (regs[i] < regs[near]).sum(1)
                     sizes = np.full(len(near), float(n[i])), n[near].astype(float)
-                    best = setsketch.estimate(above, below, *sizes)
                     doubt = DOUBT * np.sqrt(share * (1 - share) / setsketch.M)
-                    near = near[best >= share - doubt]
-                    yield i, near
+                    yield i, near[setsketch.at_least(above, below, *sizes, share - doubt)]
 
         out: list[tuple[int, int]] = []
         for table in _groups(batches, ["key", "i", "j"]):

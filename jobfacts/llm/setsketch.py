@@ -69,6 +69,12 @@ def likelihood(above: np.ndarray, below: np.ndarray, size_a: np.ndarray, size_b:
     return above * np.log(p) + below * np.log(q) + (M - above - below) * np.log(np.clip(1 - p - q, 1e-12, 1))
 
 
+def at_least(above: np.ndarray, below: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the similarity of greatest likelihood is at least `similarity`: the function is concave, so its slope there says so."""
+    near = [likelihood(above, below, size_a, size_b, np.full(len(above), similarity + d)) for d in (-1e-4, 1e-4)]
+    return near[1] >= near[0]
+
+
 def estimate(above: np.ndarray, below: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     """The similarity of greatest likelihood, by halving the interval in which it must lie (the function is concave)."""
     low, high = np.zeros(len(above)), np.minimum(size_a / size_b, size_b / size_a)
