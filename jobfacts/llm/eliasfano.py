@@ -15,7 +15,8 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray) -> None:
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        self.ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
+        # Where the ones of the bit string are: made when a level is opened, not stored.
+        self.ones = np.flatnonzero(np.unpackbits(high.view(np.uint8), bitorder="little"))
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -39,16 +40,7 @@ class EliasFano:
     def __getitem__(self, index: np.ndarray) -> np.ndarray:
         """The numbers at many places at once."""
         index = np.asarray(index, np.int64)
-        word = np.searchsorted(self.ranks, index, "right") - 1
-        bits, left = self.high[word], index - self.ranks[word]
-        at = np.zeros(len(index), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            below = np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.int64)
-            up = left >= below
-            left = np.where(up, left - below, left)
-            bits = np.where(up, bits >> np.uint64(width), bits)
-            at += np.where(up, width, 0)
-        high = (word * 64 + at - index).astype(np.uint64)
+        high = (self.ones[index] - index).astype(np.uint64)
         if not self.low_bits:
             return high
         place = index * self.low_bits

@@ -94,7 +94,7 @@ def _shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _send(rows: DataFrame, shards: int) -> DataFrame:
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard")
+    return rows.repartitionById(shards, F.col("shard"))
 
 
 def word_counts(all_chunks: DataFrame, shards: int) -> DataFrame:
@@ -205,19 +205,11 @@ def bigram_weight(total: np.ndarray) -> np.ndarray:
 
 
 def build_trie(context: np.ndarray, word: np.ndarray, seen: np.ndarray, total: np.ndarray) -> Trie:
-    """The trie of the bigrams seen in training, from requests with counts: equal ones are added up."""
-    firsts, at = np.unique(context, return_inverse=True)
-    span = int(word.max()) + 1
-    keys, back = np.unique(at * span + word, return_inverse=True)
-    counts = np.bincount(back, seen, len(keys))
-    totals = np.zeros(len(firsts), np.int64)
-    totals[at] = total
-    keep = counts > 0
-    keys, counts = keys[keep], counts[keep]
-    which = keys // span
-    of = totals[which].astype(float)
-    codes = np.minimum(np.round(-np.log10(bigram_weight(of) * counts / of) * STEPS), ABSENT - 1)
-    return Trie.of(firsts[which], keys % span, codes)
+    """The trie of the bigrams seen in training, from different bigrams sorted by context and word, with their counts."""
+    keep = seen > 0
+    context, word, seen, total = context[keep], word[keep], seen[keep], total[keep].astype(float)
+    codes = np.minimum(np.round(-np.log10(bigram_weight(total) * seen / total) * STEPS), ABSENT - 1)
+    return Trie.of(context, word, codes)
 
 
 def pair_answers(requests: DataFrame, shards: int) -> DataFrame:
@@ -231,8 +223,15 @@ def pair_answers(requests: DataFrame, shards: int) -> DataFrame:
             widths = every("widths")
             context, total = np.repeat(every("contexts"), widths), np.repeat(every("totals"), widths)
             word = every("words")
-            trie = Trie.from_buffer(build_trie(context, word, every("seen"), total).to_bytes())
-            codes = trie.lookup(context, word, ABSENT)
+            order = np.lexsort((word, context))
+            first = np.ones(len(order), bool)
+            first[1:] = (context[order][1:] != context[order][:-1]) | (word[order][1:] != word[order][:-1])
+            which = np.empty(len(order), np.int64)
+            which[order] = np.cumsum(first) - 1
+            one = order[first]
+            seen = np.bincount(which, every("seen"))
+            trie = Trie.from_buffer(build_trie(context[one], word[one], seen, total[one]).to_bytes())
+            codes = trie.lookup(context[one], word[one], ABSENT)[which]
             cuts = np.cumsum([0, *(len(unpack_ints(m["words"])) for m in messages)])
             yield pa.record_batch(
                 [
