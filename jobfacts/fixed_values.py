@@ -119,6 +119,8 @@ TASKS_BASIS = ("CPU-intensive", "standard")
 MEMORY_REASON = "Estimated based on %s"
 MEMORY_BASIS = ("memory-intensive patterns", "typical workload requirements")
 TIME_REASON = "Estimated runtime with 20% buffer. Monitor first run and adjust."
+# Our own text: the reference names no wording for it.
+HISTORY_REASON = "Average of %s similar finished jobs plus a quarter"
 PARTITION_REASON = (
     "I/O-intensive workload detected. Consider using I/O-optimized partition if available."
 )

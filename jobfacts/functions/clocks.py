@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from jobfacts import fixed_values as fv
 
 
+#: More minutes than any limit has, yet safe to multiply and add up in 64 bits.
+BEYOND = 10**14
+#: The last second of the year 9999: no time of a job lies beyond it.
+LAST_EPOCH = 253_402_300_799
+
+
 def _whole(value: Column) -> Column:
     return value.cast("bigint")
 
@@ -16,14 +22,24 @@ def _div(a: Column, b: int) -> Column:
     return F.call_function("div", a, F.lit(b))
 
 
+def _digits(text: Column) -> Column:
+    """A number of any count of digits; from `BEYOND` on they all count as that."""
+    return F.least(F.coalesce(text.try_cast("bigint"), F.lit(BEYOND)), F.lit(BEYOND))
+
+
 def strip(text: Column) -> Column:
     """Remove leading and trailing white space of every kind, not only spaces."""
     return F.btrim(text, F.lit(" \t\n\r\x0b\f"))
 
 
+def is_epoch(epoch: Column) -> Column:
+    """Whether a number can be the time of a job, in seconds either side of 1970."""
+    return epoch.between(-LAST_EPOCH, LAST_EPOCH)
+
+
 def epoch_to_ts(epoch: Column) -> Column:
-    """Epoch seconds to TIMESTAMP; zero means not set."""
-    return F.timestamp_seconds(F.nullif(epoch, F.lit(0)))
+    """Epoch seconds to TIMESTAMP; zero and times out of range mean not set."""
+    return F.when(is_epoch(epoch), F.timestamp_seconds(F.nullif(epoch, F.lit(0))))
 
 
 def iso_utc(ts: Column) -> Column:
@@ -76,26 +92,27 @@ def time_limit_minutes(text: Column) -> Column:
 
     Forms: ``5m`` ``1h`` ``30s`` (at least one minute), ``MM:SS``, ``HH:MM:SS``,
     each with an optional ``D-`` in front of the clock forms, and bare minutes.
+    Numbers may have any count of digits; one too large for a limit counts as `BEYOND`.
     """
     t = strip(text)
     unit, amount_text = F.lower(F.right(t, F.lit(1))), F.left(t, F.length(t) - 1)
-    amount = amount_text.try_cast("bigint")
+    amount = _digits(amount_text)
     with_unit = (
         F.when(unit == "m", amount)
         .when(unit == "h", amount * 60)
         .otherwise(F.greatest(F.lit(1), _div(amount, 60)))
     )
-    days = F.when(t.contains("-"), F.substring_index(t, "-", 1).try_cast("bigint"))
+    days = F.when(t.contains("-"), _digits(F.substring_index(t, "-", 1)))
     parts = F.split(F.substring_index(t, "-", -1), ":")
-    p1, p2, p3 = (F.get(parts, i).try_cast("bigint") for i in range(3))
+    p1, p2, p3 = (F.when(F.get(parts, i).isNotNull(), _digits(F.get(parts, i))) for i in range(3))
     clock = F.when(p3.isNotNull(), p1 * 60 + p2 + _div(p3, 60)).otherwise(
         p1 + F.coalesce(_div(p2, 60), F.lit(0))
     )
     return (
         F.when(text == "", F.lit(0))
-        .when(t.rlike(r"^\d{1,12}[smhSMH]$"), with_unit)
+        .when(t.rlike(r"^\d+[smhSMH]$"), with_unit)
         .when(
-            t.rlike(r"^(\d{1,9}-)?\d{1,12}(:\d{1,12}){0,2}$"),
+            t.rlike(r"^(\d+-)?\d+(:\d+){0,2}$"),
             F.coalesce(days, F.lit(0)) * 1440 + clock,
         )
         .cast("bigint")

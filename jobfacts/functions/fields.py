@@ -25,6 +25,15 @@ def numeric_text(text: Column) -> Column:
     )
 
 
+def wrapped_number(text: Column, limited: bool = False) -> Column:
+    """The struct that JSON text of a number stands for; a bare number or one in quotes is set."""
+    kind = "set boolean, number bigint" + (", infinite boolean" if limited else "")
+    number = numeric_text(F.btrim(text, F.lit('"'))).try_cast("bigint")
+    parts = [number.isNotNull().alias("set"), number.alias("number")]
+    plain = F.struct(*parts, *([F.lit(False).alias("infinite")] if limited else []))
+    return F.when(text.startswith("{"), F.from_json(text, kind)).when(number.isNotNull(), plain)
+
+
 def slurm_exit_code(text: Column) -> Column:
     """Exit code from the JSON of ``exit_code``; anything but digits is NULL.
 
@@ -71,12 +80,18 @@ def or_default(value: Column, default: str) -> Column:
 
 
 def memory_bytes(text: Column) -> Column:
-    """Bytes of ``<digits><MB|GB|TB|M|G|T>`` in any case, by powers of 1024; else NULL."""
-    pattern = r"(?i)^\s*(\d{1,9})\s*([MGT])B?\s*$"
+    """Bytes of ``<digits><MB|GB|TB|M|G|T>`` in any case, by powers of 1024; else NULL.
+
+    A size beyond 64 bits is the largest number, so it compares as larger than any memory.
+    """
+    pattern = r"(?i)^\s*(\d+)\s*([MGT])B?\s*$"
     amount = F.regexp_extract(text, pattern, 1).try_cast("bigint")
     unit = F.upper(F.regexp_extract(text, pattern, 2))
     factor = F.when(unit == "M", 1 << 20).when(unit == "G", 1 << 30).when(unit == "T", 1 << 40)
-    return F.try_multiply(amount, factor.cast("bigint"))
+    return F.when(
+        text.rlike(pattern),
+        F.coalesce(F.try_multiply(amount, factor.cast("bigint")), F.lit((1 << 63) - 1)),
+    )
 
 
 def redact(auth: Column) -> Column:

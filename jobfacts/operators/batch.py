@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-_SPEC = r"^\s*(\d{1,15})\s*-\s*(\d{1,15})\s*(?::\s*(\d{1,15})\s*)?(?:-.*)?$"
-BLOCK = 10_000  # tasks expanded from one intermediate row
+_SPEC = r"^\s*(\d+)\s*-\s*(\d+)\s*(?::\s*(\d+)\s*)?(?:-.*)?$"
+BLOCK = 10_000  # the longest list made from one row
 BAD_SPEC = "invalid array spec"
 
 
@@ -29,7 +29,8 @@ def has_one_source(batches: DataFrame) -> DataFrame:
 def _read_specs(batches: DataFrame) -> DataFrame:
     """Array batches with start, step, number of tasks and whether the spec is bad.
 
-    A spec without a dash gives no tasks and no error. ``max_concurrent`` cuts
+    A spec without a dash gives no tasks and no error; one whose numbers or number of
+    tasks do not fit task ids of 64 bits is bad. ``max_concurrent`` cuts
     the list of tasks; zero or missing leaves it whole.
     """
     spec = F.col("array_spec")
@@ -42,14 +43,19 @@ def _read_specs(batches: DataFrame) -> DataFrame:
     span = F.col("__end") - F.col("__start")
     count = F.when(
         (span >= 0) & (F.col("__step") > 0),
-        F.call_function("div", span, F.col("__step")) + 1,
+        F.try_add(F.call_function("div", span, F.col("__step")), F.lit(1)),
     ).otherwise(F.lit(0))
+    fits = F.col("__end").isNotNull() & F.col("__start").isNotNull() & count.isNotNull()
     return (
         batches.filter(_given(spec))
         .withColumn("__start", number(1))
         .withColumn("__end", number(2))
         .withColumn("__step", F.when(step_text == "", F.lit(1)).otherwise(number(3)))
-        .withColumn("bad_spec", spec.contains("-") & ~(spec.rlike(_SPEC) & (F.col("__step") > 0)))
+        .withColumn(
+            "bad_spec",
+            spec.contains("-")
+            & ~F.coalesce(spec.rlike(_SPEC) & (F.col("__step") > 0) & fits, F.lit(False)),
+        )
         .withColumn(
             "__tasks",
             F.when(F.col("bad_spec"), F.lit(0))
@@ -63,23 +69,32 @@ def _read_specs(batches: DataFrame) -> DataFrame:
 def expand_arrays(batches: DataFrame) -> DataFrame:
     """One row per array task: ``batch_id, task_index, task_id``.
 
-    A long range is first cut into blocks that spread over the cluster, so one
-    huge array neither builds one huge list nor fills one task.
+    A range is first cut into at most ``BLOCK`` even pieces, each of at least ``BLOCK``
+    tasks, which spread over the cluster. A piece is expanded level by level, so that
+    no list is longer than ``BLOCK`` however many tasks there are.
     """
-    specs = _read_specs(batches).filter(F.col("__tasks") > 0)
-    last_block = F.call_function("div", F.col("__tasks") - 1, F.lit(BLOCK))
-    blocks = specs.select(
-        "batch_id",
-        "__start",
-        "__step",
-        "__tasks",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)).alias("__block"),
-    ).repartition("batch_id", "__block")
-    first = F.col("__block") * BLOCK
-    last = F.least(first + BLOCK, F.col("__tasks")) - 1
-    return blocks.select(
-        "batch_id", "__start", "__step", F.explode(F.sequence(first, last)).alias("task_index")
-    ).select(
+    def div(a: Column, b: Column | int) -> Column:
+        return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
+
+    tasks = F.col("__tasks")
+    rows = (
+        _read_specs(batches)
+        .filter(tasks > 0)
+        .select("batch_id", "__start", "__step", "__tasks")
+        .withColumn("__size", F.greatest(F.lit(BLOCK), div(tasks - 1, BLOCK) + 1))
+        .withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("bigint"), div(tasks - 1, F.col("__size")))))
+        .repartition("batch_id", "__piece")
+        .withColumn("__from", F.col("__piece") * F.col("__size"))
+        .withColumn("__n", F.least(F.col("__size"), tasks - F.col("__from")))
+    )
+    for unit in (BLOCK**3, BLOCK**2, BLOCK, 1):  # a piece has at most 10^15 tasks
+        part = F.explode(F.sequence(F.lit(0).cast("bigint"), div(F.col("__n") - 1, unit)))
+        rows = (
+            rows.select("batch_id", "__start", "__step", "__from", "__n", part.alias("__k"))
+            .withColumn("__from", F.col("__from") + F.col("__k") * unit)
+            .withColumn("__n", F.least(F.lit(unit), F.col("__n") - F.col("__k") * unit))
+        )
+    return rows.withColumn("task_index", F.col("__from")).select(
         "batch_id",
         "task_index",
         (F.col("__start") + F.col("task_index") * F.col("__step")).alias("task_id"),
@@ -109,22 +124,31 @@ def expand_commands(batches: DataFrame) -> DataFrame:
 
 
 def batch_summary(batches: DataFrame) -> DataFrame:
-    """Per batch: type, submitted, failed and success, without expanding anything."""
-    arrays = _read_specs(batches).select(
+    """Per batch: type, submitted, failed, success and reason, without expanding anything.
+
+    A batch with both sources or neither is refused: it submits nothing, and reason says why.
+    """
+    zero = F.lit(0).cast("bigint")
+    checked = has_one_source(batches)
+    allowed = checked.filter(F.col("reason").isNull())
+    arrays = _read_specs(allowed).select(
         "batch_id",
         F.lit("array").alias("batch_type"),
         F.col("__tasks").alias("submitted"),
         F.col("bad_spec").cast("bigint").alias("failed"),
+        "reason",
     )
-    bulk = batches.filter(
-        ~_given(F.col("array_spec")) & (F.coalesce(F.size("commands"), F.lit(0)) > 0)
-    ).select(
+    bulk = allowed.filter(~_given(F.col("array_spec"))).select(
         "batch_id",
         F.lit("bulk").alias("batch_type"),
         F.size("commands").cast("bigint").alias("submitted"),
-        F.lit(0).cast("bigint").alias("failed"),
+        zero.alias("failed"),
+        "reason",
+    )
+    refused = checked.filter(F.col("reason").isNotNull()).select(
+        "batch_id", F.lit(None).cast("string").alias("batch_type"), zero.alias("submitted"), zero.alias("failed"), "reason"
     )
-    return arrays.unionByName(bulk).withColumn("success", F.col("submitted") > 0)
+    return arrays.unionByName(bulk).unionByName(refused).withColumn("success", F.col("submitted") > 0)
 
 
 def cap_tasks(tasks: DataFrame, cap: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobfacts import fixed_values as fv
@@ -67,9 +67,20 @@ def compare_with_similar(jobs: DataFrame) -> DataFrame:
     )
 
 
+def suggested_minutes() -> Column:
+    """Whole minutes of the average runtime plus a quarter."""
+    return F.ceil(F.col("avg_runtime_seconds") * fv.HISTORY_BUFFER / 60).cast("bigint")
+
+
+def suggested_memory() -> Column:
+    """The average memory plus a quarter, in whole MB."""
+    mib = F.ceil(F.col("avg_memory_mib") * fv.HISTORY_BUFFER).cast("bigint")
+    return F.concat(mib.cast("string"), F.lit("MB"))
+
+
 def time_limit_from_history(jobs: DataFrame) -> DataFrame:
     """Suggested limit per (cluster, name): average runtime plus a quarter, in whole minutes."""
-    minutes = F.ceil(F.col("avg_runtime_seconds") * fv.HISTORY_BUFFER / 60).cast("bigint")
+    minutes = suggested_minutes()
     return history(jobs).select(
         "cluster",
         "name",

@@ -13,15 +13,37 @@ from jobfacts.functions import clocks, fields, states
 def parse_slurm_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Text rows holding one Slurm job as JSON each, as typed columns."""
     # a one-row generator, so that a line is parsed once and not once per field used
-    return lines.select(F.inline(F.array(F.from_json(column, schemas.SLURM_JOB))))
+    return typed_numbers(lines.select(F.inline(F.array(F.from_json(column, schemas.slurm_text())))))
+
+
+def typed_numbers(jobs: DataFrame) -> DataFrame:
+    """Slurm jobs read with ``schemas.slurm_text``: numbers that were wrapped, bare or text as typed structs."""
+    return jobs.withColumns(
+        {n: fields.wrapped_number(F.col(n)) for n in schemas.WRAPPED_TIMES}
+        | {n: fields.wrapped_number(F.col(n), limited=True) for n in schemas.WRAPPED_LIMITS}
+    )
+
+
+def _slurm_reject() -> Column:
+    """Why a Slurm row is unusable, else NULL."""
+    times = [fields.unwrap_number(F.col(n)) for n in ("submit_time", "start_time", "end_time")]
+    in_range = [F.coalesce(clocks.is_epoch(t), F.lit(True)) for t in times]
+    return F.when(F.coalesce("job_id", F.lit("")) == "", F.lit("no job id")).when(
+        ~(in_range[0] & in_range[1] & in_range[2]), F.lit("time out of range")
+    )
+
+
+def slurm_rejects(native: DataFrame) -> DataFrame:
+    """Slurm rows that no unified job can be made of, whole, each with its ``reject``."""
+    return native.withColumn("reject", _slurm_reject()).filter(F.col("reject").isNotNull())
 
 
 def normalize_slurm(native: DataFrame, as_of: Column) -> DataFrame:
-    """Slurm jobs in the unified schema; rows without a job id are dropped."""
+    """Slurm jobs in the unified schema; rows that ``slurm_rejects`` names are left out."""
     start = clocks.epoch_to_ts(fields.unwrap_number(F.col("start_time")))
     end = clocks.epoch_to_ts(fields.unwrap_number(F.col("end_time")))
     zero = F.lit(0).cast("int")
-    return native.filter(F.coalesce("job_id", F.lit("")) != "").select(
+    return native.filter(_slurm_reject().isNull()).select(
         "job_id",
         F.coalesce("name", F.lit("")).alias("name"),
         states.slurm_state(
@@ -34,9 +56,9 @@ def normalize_slurm(native: DataFrame, as_of: Column) -> DataFrame:
         F.coalesce("partition", F.lit("")).alias("partition"),
         start.alias("started"),
         end.alias("ended"),
-        (fields.unwrap_number(F.col("time_limit")) * 60).alias("time_limit_seconds"),
+        F.try_multiply(fields.unwrap_number(F.col("time_limit")), F.lit(60)).alias("time_limit_seconds"),
         F.struct(
-            F.coalesce(fields.unwrap_number(F.col("node_count")).cast("int"), zero).alias("nodes"),
+            F.coalesce(fields.unwrap_number(F.col("node_count")).try_cast("int"), zero).alias("nodes"),
             F.coalesce(F.col("tasks"), zero).alias("tasks"),
             F.coalesce(F.col("cpus_per_task"), zero).alias("cpus_per_task"),
             F.coalesce("memory_per_node", F.lit("")).alias("memory"),
@@ -60,6 +82,7 @@ def split_flux_lines(lines: DataFrame, names: list[str], column: str = "value")
         if name.startswith("t_"):
             missing = value == fv.MISSING_FLUX_FIELD
             value = F.when(value.rlike(fields.NUMBER), value.try_cast("double"))
+            value = F.when(clocks.is_epoch(value), value)
             numbers_ok = numbers_ok & (missing | value.isNotNull())
         elif name in ("duration", "runtime"):
             value = clocks.flux_duration_seconds(value)
@@ -178,9 +201,11 @@ def detailed(jobs: DataFrame) -> DataFrame:
 
 def job_summary(native: DataFrame) -> DataFrame:
     """Seventeen-column summary of Slurm jobs with fallbacks for missing fields."""
-    seconds = {
-        n: fields.unwrap_number(F.col(n)) for n in ("submit_time", "start_time", "end_time")
-    }
+    def time(name: str) -> Column:
+        number = fields.unwrap_number(F.col(name))
+        return F.when(clocks.is_epoch(number), number)
+
+    seconds = {n: time(n) for n in ("submit_time", "start_time", "end_time")}
     iso = {n: clocks.iso_utc(clocks.epoch_to_ts(s)) for n, s in seconds.items()}
     started, ended = (F.nullif(seconds[n], F.lit(0)) for n in ("start_time", "end_time"))
     node_count = F.nullif(fields.unwrap_number(F.col("node_count")), F.lit(0))

@@ -2,8 +2,8 @@
 
 Readings are keyed by ``sensor_id`` and ordered by ``ts`` (zone-less) with
 ``reading_id`` as the tie-break. One sensor may hold a large part of all rows:
-group figures are combined in each task first, and ordered work on a hot sensor
-is cut into slices that are stitched together exactly.
+group figures are combined in each task first, and ordered work is done in fixed
+ranges of time or value that are stitched together exactly, for every sensor alike.
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from jobfacts import fixed_values as fv
 from jobfacts.functions import clocks
-from jobfacts.operators import sizing
 
 KEY, TIME, ID, VALUE = "sensor_id", "ts", "reading_id", "value"
 OUTLIER_SIGMAS = 3
 ROLLING_ROWS = 5
+ROLLING_SECONDS = 86_400  # rolling windows are computed in stretches of this length
+RANGES_PER_OCTAVE = 4096  # ranks are computed in value ranges of this fineness
 
 
 def union_sources(*tables: DataFrame) -> DataFrame:
@@ -89,8 +90,14 @@ def _outlier() -> Column:
 
 
 def deduplicate(readings: DataFrame, key: list[str]) -> DataFrame:
-    """One row per key. Copies are collapsed in each task before the exchange."""
-    return readings.dropDuplicates(key)
+    """One row per key: of copies that differ, the least by time, value and the other columns.
+
+    Copies are collapsed in each task before the exchange.
+    """
+    order = [c for c in (TIME, VALUE) if c in readings.columns and c not in key]
+    rest = [c for c in readings.columns if c not in key and c not in order]
+    kept = readings.groupBy(*key).agg(F.min(F.struct(*order, *rest)).alias("__row"))
+    return kept.select(*key, "__row.*").select(*readings.columns)
 
 
 # ------------------------------------------------------------------- features
@@ -104,25 +111,21 @@ def temporal_features(readings: DataFrame) -> DataFrame:
     )
 
 
-def _order() -> Column:
-    return clocks.ntz_micros(F.col(TIME))
-
-
-def rolling_stats(readings: DataFrame, rows: int = ROLLING_ROWS, **slicing: int) -> DataFrame:
+def rolling_stats(readings: DataFrame, rows: int = ROLLING_ROWS, seconds: int = ROLLING_SECONDS) -> DataFrame:
     """Rolling average and deviation over the last ``rows`` rows of each sensor.
 
-    A hot sensor is cut into time slices. Each slice is preceded by the last
-    rows of the slices before it, which take part in the windows and are then
-    dropped again.
+    Each sensor's time is cut into stretches of ``seconds``. A stretch is preceded by
+    the last rows of the stretches before it, which take part in the windows and are
+    then dropped again. Rows without a time come first.
     """
     before = rows - 1
-    order = [F.col(TIME), F.col(ID)]
-    sliced = sizing.slice_hot_keys(readings, KEY, _order(), **slicing)
+    stretch = F.call_function("div", clocks.ntz_micros(F.col(TIME)), F.lit(seconds * 1_000_000))
+    sliced = readings.withColumn("slice", F.coalesce(stretch, F.lit(-(1 << 62))))
     lead_in = _lead_in(sliced, before).withColumn("__lead_in", F.lit(True))
     whole = sliced.withColumn("__lead_in", F.lit(False)).unionByName(
         lead_in, allowMissingColumns=True
     )
-    w = W.partitionBy(KEY, "slice").orderBy(*order).rowsBetween(-before, 0)
+    w = W.partitionBy(KEY, "slice").orderBy(TIME, ID).rowsBetween(-before, 0)
     return (
         whole.withColumn("rolling_avg", F.avg(VALUE).over(w))
         .withColumn("rolling_std", F.stddev_samp(VALUE).over(w))
@@ -132,15 +135,14 @@ def rolling_stats(readings: DataFrame, rows: int = ROLLING_ROWS, **slicing: int)
 
 
 def _lead_in(sliced: DataFrame, before: int) -> DataFrame:
-    """For each slice of a hot sensor, the last ``before`` rows of earlier slices.
+    """For each stretch of a sensor, the last ``before`` rows of earlier stretches.
 
-    Every slice has at least one row, so the ``before`` slices in front always
-    hold enough; only those few tails per slice are ever gathered.
+    Every stretch has at least one row, so the ``before`` stretches in front always
+    hold enough; only those few tails per stretch are ever gathered.
     """
     latest = W.partitionBy(KEY, "slice").orderBy(F.col(TIME).desc(), F.col(ID).desc())
     tails = (
-        sliced.filter(F.col("slice").isNotNull())
-        .select(KEY, "slice", TIME, ID, VALUE)
+        sliced.select(KEY, "slice", TIME, ID, VALUE)
         .withColumn("__n", F.row_number().over(latest))
         .filter(F.col("__n") <= before)
         .groupBy(KEY, "slice")
@@ -163,33 +165,55 @@ def _lead_in(sliced: DataFrame, before: int) -> DataFrame:
     )
 
 
-def percentile_rank(readings: DataFrame, **slicing: int) -> DataFrame:
-    """Share of the sensor's other readings that are smaller, 0 to 1.
+def value_range(value: Column) -> Column:
+    """A number that never falls as the value rises: its binary order of magnitude and a share of it.
 
-    Equal values share a rank. A hot sensor is cut into value slices: the rank is
-    the position within the slice plus the size of the slices below.
+    The logarithm rises with its argument, so a value at the edge of an order of
+    magnitude may get either side's number, but never one out of order.
     """
-    present = readings.filter(F.col(VALUE).isNotNull())
-    sliced = sizing.slice_hot_keys(present, KEY, F.col(VALUE), **slicing)
-    below = W.partitionBy(KEY).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)
-    placed = sliced.withColumn("__s", F.coalesce("slice", F.lit(0).cast("bigint")))
-    sizes = (
-        placed.groupBy(KEY, "__s")
-        .agg(F.count(F.lit(1)).alias("__size"))
-        .withColumn("__below", F.coalesce(F.sum("__size").over(below), F.lit(0)))
-        .withColumn("__all", F.sum("__size").over(W.partitionBy(KEY)))
+    size = F.abs(value)
+    octave = F.floor(F.log2(size))
+    part = F.floor(size / F.pow(F.lit(2.0), octave) * RANGES_PER_OCTAVE)
+    beyond = 2200 * 4 * RANGES_PER_OCTAVE
+    number = F.when(size == F.lit(float("inf")), F.lit(beyond)).otherwise(
+        ((octave + 1100) * 4 * RANGES_PER_OCTAVE + part).cast("bigint")
     )
-    within = F.rank().over(W.partitionBy(KEY, "__s").orderBy(VALUE))
-    rank = F.col("__below") + F.col("__rank")
     return (
-        placed.withColumn("__rank", within)
-        .join(sizes, [KEY, "__s"])
-        .withColumn(
-            "percentile_rank",
-            F.when(F.col("__all") > 1, (rank - 1) / (F.col("__all") - 1)).otherwise(F.lit(0.0)),
-        )
-        .drop("slice", "__s", "__rank", "__size", "__below", "__all")
+        F.when(F.isnan(value), F.lit(beyond + 1))
+        .when(value > 0, number)
+        .when(value < 0, -number)
+        .otherwise(F.lit(0))
+        .cast("bigint")
+    )
+
+
+def percentile_rank(readings: DataFrame) -> DataFrame:
+    """Share of the sensor's other readings that are smaller, 0 to 1; equal values share a rank.
+
+    Readings are counted per sensor and value first, so ties collapse in each task. The
+    readings below a value are those of lower value ranges plus those of its own range
+    below it; ranges are fixed, so the sums run in parallel within a sensor too.
+    """
+    present = readings.filter(F.col(VALUE).isNotNull())
+    counts = present.groupBy(KEY, VALUE).agg(F.count(F.lit(1)).alias("__n")).withColumn("__range", value_range(F.col(VALUE)))
+    up_to = W.unboundedPreceding, -1
+    ranges = counts.groupBy(KEY, "__range").agg(F.sum("__n").alias("__size"))
+    ranges = ranges.select(
+        KEY,
+        "__range",
+        F.coalesce(F.sum("__size").over(W.partitionBy(KEY).orderBy("__range").rowsBetween(*up_to)), F.lit(0)).alias("__lower"),
+        F.sum("__size").over(W.partitionBy(KEY)).alias("__all"),
+    )
+    inside = F.sum("__n").over(W.partitionBy(KEY, "__range").orderBy(VALUE).rowsBetween(*up_to))
+    below = F.col("__lower") + F.coalesce("__inside", F.lit(0))
+    ranks = (
+        counts.withColumn("__inside", inside)
+        .join(ranges, [KEY, "__range"])
+        .select(KEY, VALUE, F.when(F.col("__all") > 1, below / (F.col("__all") - 1)).otherwise(F.lit(0.0)).alias("percentile_rank"))
     )
+    ranked = present.join(ranks.select(F.col(KEY).alias("__key"), F.col(VALUE).alias("__value"), "percentile_rank"),
+        F.col(KEY).eqNullSafe(F.col("__key")) & (F.col(VALUE) == F.col("__value")))
+    return ranked.drop("__key", "__value")
 
 
 def log_transform(readings: DataFrame) -> DataFrame:
@@ -255,29 +279,41 @@ def assign_split(table: DataFrame, key: str) -> DataFrame:
     return table.withColumn("split", chosen)
 
 
-def quality_counters(readings: DataFrame, key: list[str]) -> DataFrame:
-    """Input, output, missing, outlier and duplicate counts as one row.
+def feature_table(cleaned: DataFrame, kinds: list[str]) -> DataFrame:
+    """Cleaned readings with every derived column: time parts, rolling figures, rank, logarithm, one-hot kinds."""
+    ranked = percentile_rank(rolling_stats(temporal_features(cleaned)))
+    return one_hot(log_transform(ranked), "kind", kinds)
+
+
+def feature_names(features: DataFrame, readings: DataFrame) -> list[str]:
+    """The columns of a feature table that its readings do not have, flags aside."""
+    return [c for c in features.columns if c not in (*readings.columns, "imputed", "outlier")]
 
-    Copies are counted per key first, so no task sees all of them.
+
+def quality_counters(readings: DataFrame, low: float, high: float) -> DataFrame:
+    """What ``clean`` does with the readings, as one row: input = output + duplicates + rejected.
+
+    Copies are counted per reading first, so no task sees all of them.
     """
-    stats = sensor_stats(readings)
-    flagged = (
-        readings.join(stats.select(KEY, "mean", "std"), KEY, "left")
-        .withColumn("outlier", _outlier())
-        .groupBy(*key)
-        .agg(
-            F.count(F.lit(1)).alias("copies"),
-            F.count_if(F.col(VALUE).isNull()).alias("missing"),
-            F.count_if("outlier").alias("outliers"),
-        )
+    fine = F.col("reject").isNull()
+    checked = check_ranges(readings, low, high)
+    each = checked.groupBy(ID).agg(
+        F.count(F.lit(1)).alias("copies"),
+        F.count_if(~fine).alias("rejected"),
+        F.min(F.when(fine, F.struct(TIME, VALUE, KEY))).alias("row"),
     )
+    kept = F.col("row").isNotNull()
+    flat = each.select("copies", "rejected", kept.alias("kept"), f"row.{KEY}", f"row.{VALUE}")
+    stats = sensor_stats(flat.filter("kept")).select(KEY, "mean", "std")
+    flagged = flat.join(stats, KEY, "left").withColumn("outlier", F.col("kept") & _outlier())
     zero = F.lit(0).cast("bigint")
     return flagged.agg(
         F.coalesce(F.sum("copies"), zero).alias("input_records"),
-        F.count(F.lit(1)).alias("output_records"),
-        F.coalesce(F.sum("missing"), zero).alias("missing_values_imputed"),
-        F.coalesce(F.sum("outliers"), zero).alias("outliers_detected"),
-        F.coalesce(F.sum(F.col("copies") - 1), zero).alias("duplicates_removed"),
+        F.count_if("kept").alias("output_records"),
+        F.coalesce(F.sum("rejected"), zero).alias("rejected_records"),
+        F.count_if(F.col("kept") & F.col(VALUE).isNull()).alias("missing_values_imputed"),
+        F.count_if("outlier").alias("outliers_detected"),
+        F.coalesce(F.sum(F.col("copies") - F.col("rejected") - F.col("kept").cast("bigint")), zero).alias("duplicates_removed"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobfacts.functions import fields
+from jobfacts.functions import clocks, fields
 
 
 def node_summary(nodes: DataFrame) -> DataFrame:
@@ -65,22 +65,25 @@ def partition_names(partitions: DataFrame) -> DataFrame:
 
 
 def cluster_profile(clusters: DataFrame, nodes: DataFrame, partitions: DataFrame) -> DataFrame:
-    """One row per registered cluster with all a request is checked against.
-
-    Backend, total and idle nodes, largest node memory, and its partitions as a
-    map from name to state and time limit. Registries are small, and one such
-    row serves every request of the cluster.
-    """
+    """One row per registered cluster: backend, total and idle nodes, largest node memory, partition names."""
     capacity = nodes.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("nodes_total"),
         F.count_if(F.col("state") == "IDLE").alias("nodes_idle"),
         F.max(fields.memory_bytes(F.col("memory"))).alias("node_memory_bytes"),
     )
-    entry = F.struct("name", F.struct("state", "max_time_limit"))
-    listed = partitions.groupBy("cluster").agg(
-        F.map_from_entries(F.collect_list(entry)).alias("partitions")
+    types = clusters.groupBy(F.col("name").alias("cluster")).agg(
+        F.coalesce(F.max("type"), F.lit("unknown")).alias("backend")
     )
-    types = clusters.select(
-        F.col("name").alias("cluster"), F.coalesce("type", F.lit("unknown")).alias("backend")
+    return types.join(capacity, "cluster", "left").join(partition_names(partitions), "cluster", "left")
+
+
+def one_per_partition(partitions: DataFrame) -> DataFrame:
+    """cluster, partition, state and max_time_limit, one row per partition.
+
+    Of rows that repeat a partition one that is UP wins, then the longest limit, then the order of texts.
+    """
+    rank = F.struct(
+        (F.col("state") == "UP").alias("up"), clocks.time_limit_minutes(F.col("max_time_limit")).alias("minutes"), "state", "max_time_limit"
     )
-    return types.join(capacity, "cluster", "left").join(listed, "cluster", "left")
+    best = partitions.groupBy("cluster", F.col("name").alias("partition")).agg(F.max(rank).alias("best"))
+    return best.select("cluster", "partition", "best.state", "best.max_time_limit")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobfacts import fixed_values as fv
+from jobfacts.functions import clocks
 from jobfacts.functions import scripts as text
 from jobfacts.operators import history as past
 from jobfacts.operators.queue import with_backend
@@ -108,7 +109,8 @@ def recommendation_rows(recommended: DataFrame, key: str = "request_id") -> Data
 def analyze(requests: DataFrame, clusters: DataFrame, jobs: DataFrame) -> DataFrame:
     """Classes, estimates, recommendations, backend and history of every script.
 
-    A script's history are the finished jobs of its job name on its cluster.
+    A script's history are the finished jobs of its job name on its cluster. Where there
+    are some, their averages give the time limit and the memory instead of the class.
     """
     analyzed = recommend(estimate(classify(requests)))
     known = past.history(jobs).withColumnRenamed("name", "job_name")
@@ -117,6 +119,25 @@ def analyze(requests: DataFrame, clusters: DataFrame, jobs: DataFrame) -> DataFr
         .join(known, ["cluster", "job_name"], "left")
         .withColumn("similar_jobs", F.coalesce("similar_jobs", F.lit(0).cast("bigint")))
         .withColumn("success_rate", F.coalesce("success_rate", F.lit(0.0)))
+        .withColumn("recommendations", F.transform("recommendations", _with_history))
+    )
+
+
+def _with_history(advice: Column) -> Column:
+    reason = F.format_string(fv.HISTORY_REASON, F.col("similar_jobs"))
+
+    def known(parameter: str, value: Column) -> Column:
+        return _advice(parameter, value, F.lit("medium"), reason)
+
+    limit = clocks.to_clock(past.suggested_minutes() * 60)
+    return (
+        F.when(
+            (advice["parameter"] == "time_limit") & F.col("avg_runtime_seconds").isNotNull(), known("time_limit", limit)
+        )
+        .when(
+            (advice["parameter"] == "memory") & F.col("avg_memory_mib").isNotNull(), known("memory", past.suggested_memory())
+        )
+        .otherwise(advice)
     )
 
 

@@ -9,9 +9,19 @@ from jobfacts import fixed_values as fv
 from jobfacts.functions import states
 
 
+def newest_state() -> Column:
+    """The latest state; of states at one time a terminal one, then the last by name."""
+    return F.max_by("state", F.struct("ts", states.is_terminal(F.col("state")).alias("over"), "state"))
+
+
+def earliest(kept: Column, ts: Column) -> Column:
+    """What stands at the earliest time, the first by name of several; rows without a time don't count."""
+    return F.min_by(kept, F.when(ts.isNotNull(), F.struct(ts.alias("ts"), kept.alias("kept"))))
+
+
 def latest_status(status: DataFrame) -> DataFrame:
     """Newest state of each job: one aggregate, combined in each task before the exchange."""
-    newest = F.max_by("state", "ts")
+    newest = newest_state()
     return status.groupBy("job_id").agg(newest.alias("state"), F.max("ts").alias("ts"))
 
 
@@ -20,7 +30,7 @@ def first_match(status: DataFrame, key: list[str], matches: Column, kept: str) -
     return (
         status.filter(matches)
         .groupBy(*key)
-        .agg(F.min_by(kept, "ts").alias(kept), F.min("ts").alias("ts"))
+        .agg(earliest(F.col(kept), F.col("ts")).alias(kept), F.min("ts").alias("ts"))
     )
 
 
@@ -38,7 +48,7 @@ def outcomes(status: DataFrame, timeout_minutes: int = fv.WAIT_TIMEOUT_MINUTES)
     first = status.groupBy("job_id").agg(
         F.min("ts").alias("first_ts"),
         F.min(F.when(ended, F.col("ts"))).alias("end_ts"),
-        F.min_by("state", F.when(ended, F.col("ts"))).alias("end_state"),
+        earliest(F.col("state"), F.when(ended, F.col("ts"))).alias("end_state"),
     )
     deadline = F.col("first_ts") + F.expr(f"interval {int(timeout_minutes)} minutes")
     in_time = F.coalesce(F.col("end_ts") <= deadline, F.lit(False))
@@ -57,7 +67,7 @@ def first_ready(status: DataFrame) -> DataFrame:
     when_ready = F.when(ready, F.col("ts"))
     found = status.groupBy("namespace", "name").agg(
         F.min(when_ready).alias("ready_ts"),
-        F.min_by(s["phase"], when_ready).alias("ready_phase"),
+        earliest(s["phase"], when_ready).alias("ready_phase"),
     )
     never = F.col("ready_ts").isNull()
     return found.select(

@@ -9,7 +9,6 @@ from jobfacts import fixed_values as fv
 from jobfacts.functions import clocks, fields
 from jobfacts.functions import scripts as text
 from jobfacts.operators import resources
-from jobfacts.operators.sizing import broadcast_if_small
 
 
 def _issue(severity: str, category: str, message: Column, line: int | None = None) -> Column:
@@ -26,8 +25,8 @@ def _facts(
 ) -> DataFrame:
     """What the rules need to know about each request. The script text ends here.
 
-    Requests for a cluster the registry lacks have nothing to be checked
-    against; ``filters.unknown_clusters`` reports them.
+    Every request has its row. Clusters and partitions are joined to the narrow facts; Spark
+    sends them to the tasks when they are small and splits a frequent cluster when not.
     """
     script = F.coalesce("script", F.lit(""))
     lowered = F.lower(script)
@@ -43,21 +42,8 @@ def _facts(
         text.loads_modules(lowered).alias("loads_modules"),
     )
     profile = resources.cluster_profile(clusters, nodes, partitions)
-    names = F.array_join(F.array_sort(F.map_keys("partitions")), ", ")
-    return (
-        narrow.join(broadcast_if_small(profile), "cluster")
-        .withColumn("__found", F.try_element_at("partitions", F.col("partition")))
-        .select(
-            *narrow.columns,
-            "backend",
-            "nodes_total",
-            "nodes_idle",
-            "node_memory_bytes",
-            names.alias("partition_names"),
-            F.col("__found.state").alias("partition_state"),
-            F.col("__found.max_time_limit").alias("max_time_limit"),
-        )
-    )
+    listed = resources.one_per_partition(partitions).withColumnsRenamed({"state": "partition_state"})
+    return narrow.join(profile, "cluster", "left").join(listed, ["cluster", "partition"], "left")
 
 
 def _issues() -> list[Column]:
@@ -71,6 +57,10 @@ def _issues() -> list[Column]:
     state = F.col("partition_state")
     too_long = clocks.time_limit_minutes(limit) > clocks.time_limit_minutes(F.col("max_time_limit"))
     return [
+        F.when(
+            F.col("backend").isNull(),
+            _issue("error", "resources", F.concat(F.lit("Unknown cluster: "), F.coalesce("cluster", F.lit("none")))),
+        ),
         F.when(~F.col("has_shebang"), _issue("error", "syntax", F.lit(fv.NO_SHEBANG), 1)),
         F.when(
             nodes < 1, _issue("error", "resources", F.format_string(fv.NODES_TOO_FEW, nodes))
@@ -171,13 +161,18 @@ def recommendation_rows(validated: DataFrame) -> DataFrame:
     )
 
 
-def rollup_by_request(issues: DataFrame) -> DataFrame:
-    """Per request with any issue: whether it is still valid, and how many of each kind."""
-    return issues.groupBy("request_id").agg(
-        F.bool_and(F.col("severity") != "error").alias("valid"),
-        F.count_if(F.col("severity") == "error").alias("errors"),
-        F.count_if(F.col("severity") == "warning").alias("warnings"),
-        F.count_if(F.col("severity") == "info").alias("infos"),
+def rollup_by_request(validated: DataFrame) -> DataFrame:
+    """Per request: whether it is valid, and how many issues of each severity it has."""
+
+    def count(severity: str) -> Column:
+        return F.size(F.filter("issues", lambda i: i["severity"] == severity)).cast("bigint")
+
+    return validated.select(
+        "request_id",
+        "valid",
+        count("error").alias("errors"),
+        count("warning").alias("warnings"),
+        count("info").alias("infos"),
     )
 
 

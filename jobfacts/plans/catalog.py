@@ -23,7 +23,7 @@ from jobfacts.operators import (
     status,
     validate,
 )
-from jobfacts.plans import streams, views
+from jobfacts.plans import files, streams, views
 from jobfacts.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,6 +203,11 @@ def slurm_roundtrip(spark, sf):
     return _flat(normalize.normalize_slurm(normalize.parse_slurm_lines(lines), _as_of()))
 
 
+@query
+def slurm_rejects(spark, sf):
+    return normalize.slurm_rejects(views.slurm_dump(spark, sf)).groupBy("reject").agg(F.count(F.lit(1)).alias("jobs"))
+
+
 @query
 def flux_normalized(spark, sf):
     return _flat(normalize.normalize_flux(views.flux_split(spark, sf)))
@@ -222,6 +227,44 @@ def flux_short_listing(spark, sf):
     )
 
 
+@query
+def slurm_files(spark, sf):
+    return _flat(normalize.normalize_slurm(files.slurm_jobs(spark, sf, "lines"), _as_of()))
+
+
+@query
+def slurm_answers(spark, sf):
+    return _flat(normalize.normalize_slurm(files.slurm_jobs(spark, sf, "envelope"), _as_of()))
+
+
+@query
+def flux_roundtrip(spark, sf):
+    return _flat(normalize.normalize_flux(files.flux_jobs(spark, sf)))
+
+
+@query
+def flux_short_files(spark, sf):
+    return normalize.normalize_flux(files.flux_short_jobs(spark, sf)).select(
+        "job_id", "name", "state", F.unix_seconds("submitted").alias("submitted"), "runtime_seconds"
+    )
+
+
+QUERIES["clusters_file"] = files.cluster_types
+QUERIES["nodes_file"] = files.node_summary
+QUERIES["partitions_file"] = files.partition_names
+QUERIES["commands_file"] = files.commands
+QUERIES["scripts_files"] = files.script_classes
+QUERIES["sensor_csv"] = files.sensor_summary
+QUERIES["user_events_csv"] = files.user_events
+QUERIES["split_export"] = files.split_counts
+
+
+@query
+def miniclusters_file(spark, sf):
+    allowed = filters.in_namespaces(files.minicluster_checks(spark, sf), "ns-1, ns-2,ns-5 ,")
+    return allowed.select("name", "namespace", "valid", F.array_join("reasons", "; ").alias("reasons"))
+
+
 @query
 def all_jobs(spark, sf):
     """Both schedulers' records in one table, counted by partition and state."""
@@ -386,12 +429,24 @@ def script_analysis(spark, sf):
     )
 
 
+@query
+def script_advice(spark, sf):
+    """Every recommendation of the analysis, with values from history where there is one."""
+    analyzed = scripts.analyze(
+        views.requests(spark, sf), views.clusters(spark, sf), views.jobs(spark, sf)
+    )
+    return scripts.recommendation_rows(analyzed)
+
+
 def _validated(spark, sf):
+    partitions = views.partitions(spark, sf)
+    down = partitions.filter(F.col("name") == "low").withColumn("state", F.lit("DOWN"))
+    repeated = partitions.unionByName(down)  # a partition listed twice: the one that is UP counts
     return validate.validate(
         views.requests(spark, sf),
         views.clusters(spark, sf),
         views.nodes(spark, sf),
-        views.partitions(spark, sf),
+        repeated,
     )
 
 
@@ -407,7 +462,7 @@ def validate_recommendations(spark, sf):
 
 @query
 def validate_rollup(spark, sf):
-    return validate.rollup_by_request(validate.issue_rows(_validated(spark, sf)))
+    return validate.rollup_by_request(_validated(spark, sf))
 
 
 @query
@@ -473,7 +528,10 @@ def batch_sources(spark, sf):
 
 @query
 def batch_summary(spark, sf):
-    return batch.batch_summary(views.batches(spark, sf))
+    given = views.batches(spark, sf)
+    key = F.col("batch_id")
+    words = F.when(key % 11 == 0, F.array(F.lit("a"))).when(key % 4 != 1, F.col("commands"))
+    return batch.batch_summary(given.withColumn("commands", words))
 
 
 @query
@@ -483,6 +541,11 @@ def param_sweep(spark, sf):
     return swept.withColumn("parameter", F.col("parameter").cast("double"))
 
 
+@query
+def sweep_export(spark, sf):
+    return files.sweep_results(spark, sf, param_sweep(spark, sf))
+
+
 @query
 def sweep_performance(spark, sf):
     """Every job taken as a sweep task whose parameter follows from its id."""
@@ -682,6 +745,16 @@ def clean_readings(spark, sf):
     return _rounded(_mean_rounded(cleaned.select(*columns)), "scaled")
 
 
+@query
+def feature_table(spark, sf):
+    """The whole preparation: cleaned readings with all their features."""
+    source = views.readings(spark, sf)
+    made = prep.feature_table(prep.clean(source, _LOW, _HIGH), views.EVENT_TYPES)
+    names = prep.feature_names(made, source)
+    digits = {"rolling_avg": 6, "rolling_std": 6, "percentile_rank": 6, "log_value": 6, "scaled": 6}
+    return made.select("reading_id", *[F.round(n, digits[n]).alias(n) if n in digits else n for n in names])
+
+
 @query
 def split_counts(spark, sf):
     return prep.split_counts(prep.assign_split(views.unique_readings(spark, sf), "reading_id"))
@@ -689,14 +762,16 @@ def split_counts(spark, sf):
 
 @query
 def quality_report(spark, sf):
-    return prep.quality_report(prep.quality_counters(views.readings(spark, sf), ["reading_id"]))
+    return prep.quality_report(prep.quality_counters(views.readings(spark, sf), _LOW, _HIGH))
 
 
 @query
 def run_metadata(spark, sf):
     source = views.readings(spark, sf)
-    split = prep.assign_split(prep.deduplicate(source, ["reading_id"]), "reading_id")
-    counters = prep.quality_counters(source, ["reading_id"])
-    return sinks.run_metadata("run", counters, prep.split_counts(split), 12).select(
+    cleaned = prep.clean(source, _LOW, _HIGH)
+    split = prep.assign_split(cleaned, "reading_id")
+    counters = prep.quality_counters(source, _LOW, _HIGH)
+    names = prep.feature_names(prep.feature_table(cleaned, views.EVENT_TYPES), source)
+    return sinks.run_metadata("run", counters, prep.split_counts(split), len(names)).select(
         "pipeline_id", "input_records", "output_records", "splits.*", "features", "quality_metrics.*"
     )

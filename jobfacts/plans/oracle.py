@@ -42,11 +42,13 @@ def _case(column: str, table: dict, default: str) -> str:
     return f"CASE {column} {arms} ELSE {default} END"
 
 
-_LIMIT_MINUTES = {"5m": 5, "1h": 60, "30s": 1, "2:00:00": 120, "45:30": 45, "30": 30, "1-02:30:00": 1590}
+_LIMIT_MINUTES = {"5m": 5, "1h": 60, "30s": 1, "2:00:00": 120, "45:30": 45, "30": 30, "1-02:30:00": 1590,
+                  "0000000000000007m": 7}
 _DURATION_SECONDS = {"1.5h": 5400, "90m": 5400, "30s": 30, "2d": 172800, "42": 42, "-": 0, "0.5m": 30}
 _MEMORY_BYTES = {
     "4GB": 4 << 30, "16GB": 16 << 30, "512M": 512 << 20, "1T": 1 << 40,
-    "2048MB": 2048 << 20, "8G": 8 << 30, "32gb": 32 << 30,
+    "2048MB": 2048 << 20, "8G": 8 << 30, "32gb": 32 << 30, "00000000004GB": 4 << 30,
+    "12345678901234567890T": (1 << 63) - 1,
 }
 
 _TERMINAL = "('COMPLETED', 'FAILED', 'CANCELLED', 'TIMEOUT', 'NODE_FAIL', 'PREEMPTED')"
@@ -181,7 +183,9 @@ _CTES["issues"] = """facts AS (
          regexp_replace(time_limit, '^\\s+|\\s+$', '', 'g') AS lim,
          regexp_replace("partition", '^\\s+|\\s+$', '', 'g') AS part,
          CASE memory WHEN '32GB' THEN 32::BIGINT << 30 WHEN '512M' THEN 512::BIGINT << 20
-                     WHEN '1T' THEN 1::BIGINT << 40 WHEN '9999TB' THEN 9999::BIGINT << 40 END AS mem_bytes,
+                     WHEN '1T' THEN 1::BIGINT << 40 WHEN '9999TB' THEN 9999::BIGINT << 40
+                     WHEN '9999999999GB' THEN 9223372036854775807
+                     WHEN '12345678901234567890M' THEN 9223372036854775807 END AS mem_bytes,
          memory, c.total, c.idle, c.mem_gb, names, p.state AS pstate, p.max_time_limit, p.max_minutes
   FROM requests r
   LEFT JOIN (SELECT cluster, count(*) AS total, count(*) FILTER (state = 'IDLE') AS idle, max(memory_gb) AS mem_gb
@@ -189,12 +193,13 @@ _CTES["issues"] = """facts AS (
   LEFT JOIN (SELECT cluster, string_agg(name, ', ' ORDER BY name) AS names FROM parts GROUP BY cluster) n
     ON n.cluster = r.cluster
   LEFT JOIN parts p ON p.cluster = r.cluster
-    AND p.name = regexp_replace(r."partition", '^\\s+|\\s+$', '', 'g')
-  WHERE r.backend IS NOT NULL),
+    AND p.name = regexp_replace(r."partition", '^\\s+|\\s+$', '', 'g')),
 issues AS (
   SELECT request_id, cluster, 'error' AS severity, 'syntax' AS category,
          'Script missing shebang line (e.g., #!/bin/bash)' AS message, 1 AS line
   FROM facts WHERE NOT starts_with(regexp_replace(script, '^\\s+', ''), '#!')
+  UNION ALL SELECT request_id, cluster, 'error', 'resources', 'Unknown cluster: ' || cluster, NULL
+  FROM facts WHERE backend IS NULL
   UNION ALL SELECT request_id, cluster, 'error', 'resources', 'Node count must be >= 1, got ' || nodes, NULL
   FROM facts WHERE nodes < 1
   UNION ALL SELECT request_id, cluster, 'error', 'resources',
@@ -207,7 +212,7 @@ issues AS (
   FROM facts WHERE lim = ''
   UNION ALL SELECT request_id, cluster, 'error', 'syntax', 'Invalid time limit format: ' || lim ||
          '. Expected formats: 1h, 30m, 60s, 1:30, or 1:30:00', NULL
-  FROM facts WHERE lim IN ('invalid', '1.5h')
+  FROM facts WHERE lim IN ('invalid', '1.5h', '12345678901234567890')
   UNION ALL SELECT request_id, cluster, 'error', 'resources',
          'Partition ''' || part || ''' does not exist. Available partitions: ' || names, NULL
   FROM facts WHERE backend = 'slurm' AND part IS NOT NULL AND names IS NOT NULL AND pstate IS NULL
@@ -218,7 +223,8 @@ issues AS (
          'Time limit ' || lim || ' exceeds the maximum ' || max_time_limit || ' of partition ''' || part || '''', NULL
   FROM facts WHERE backend = 'slurm' AND
          CASE lim WHEN '1h' THEN 60 WHEN '30m' THEN 30 WHEN '1:30' THEN 1 WHEN '2:30:00' THEN 150
-                  WHEN '999:00:00' THEN 59940 WHEN '45M' THEN 45 END > max_minutes
+                  WHEN '999:00:00' THEN 59940 WHEN '45M' THEN 45
+                  WHEN '9999999999999m' THEN 9999999999999 END > max_minutes
   UNION ALL SELECT request_id, cluster, 'error', 'resources',
          'Requested memory ' || memory || ' exceeds the largest node of the cluster', NULL
   FROM facts WHERE mem_bytes > mem_gb::BIGINT << 30
@@ -232,9 +238,9 @@ issues AS (
 _CTES["batches"] = f"""batches AS (
   SELECT p_partkey AS batch_id, {_pick(v.ARRAY_SPECS, 'p_partkey')} AS array_spec,
          string_split(p_type, ' ') AS words, CASE WHEN p_partkey % 3 = 0 THEN 10 END AS cap,
-         {_pick([1, 1, 1, None, None, None, None, 3, None, None], 'p_partkey')} AS first,
-         {_pick([10, 100, 50, None, None, None, None, 7, None, None], 'p_partkey')} AS last,
-         {_pick([1, 2, 1, None, None, None, None, 1, None, None], 'p_partkey')} AS step
+         {_pick([1, 1, 1, None, None, None, None, 3, None, None, 10**18 + 1, None], 'p_partkey')} AS first,
+         {_pick([10, 100, 50, None, None, None, None, 7, None, None, 10**18 + 4, None], 'p_partkey')} AS last,
+         {_pick([1, 2, 1, None, None, None, None, 1, None, None, 2, None], 'p_partkey')} AS step
   FROM part),
 tasks AS (
   SELECT batch_id, task_index, task_id FROM (
@@ -261,7 +267,8 @@ ranked AS (
 
 _CTES["status"] = f"""status AS (
   SELECT 'job-' || user_id || '-' || strftime(ts, '%Y%m%d') AS job_id, user_id,
-         {_case('event_type', v.EVENT_STATES, 'NULL')} AS state, epoch_us(ts) AS ts FROM events)"""
+         {_case('event_type', v.EVENT_STATES, 'NULL')} AS state,
+         epoch_us(ts) // {v.TICK} * {v.TICK} AS ts FROM events)"""
 
 _CTES["ready"] = """mc AS (
   SELECT 'ns-' || user_id % 7 AS namespace, 'mc-' || user_id AS name, epoch_us(ts) AS ts, event_type,
@@ -298,7 +305,7 @@ _SLURM_FLAT = f"""SELECT native_id::VARCHAR AS job_id, job_name AS name,
   submit_epoch AS submitted, start_epoch AS started, end_epoch AS ended, nodes, tasks, cpus_per_task,
   CASE WHEN native_id % 4 <> 0 THEN memory ELSE '' END AS memory,
   CAST(CASE WHEN start_epoch IS NULL THEN 0 ELSE nodes END AS INT) AS n_allocated
-FROM native WHERE backend = 'slurm' AND native_id % 101 <> 0"""
+FROM native WHERE backend = 'slurm' AND native_id % 101 <> 0 AND native_id % 107 <> 0"""
 
 _FLUX_REJECT = """CASE WHEN native_id % 103 = 0 THEN 'too few fields'
   WHEN native_id % 89 = 0 THEN 'too many fields'
@@ -320,8 +327,8 @@ _SUMMARY = f"""SELECT CASE WHEN native_id % 101 <> 0 THEN native_id::VARCHAR END
   native_state AS state, "partition", nodes::VARCHAR AS nodes, tasks AS ntasks,
   CAST(tasks * cpus_per_task AS INT) AS cpus,
   CASE WHEN native_id % 4 <> 0 AND memory <> '' THEN memory ELSE 'mem=' || memory END AS memory,
-  {_iso('submit_epoch')} AS submit_time, {_iso('start_epoch')} AS start_time, {_iso('end_epoch')} AS end_time,
-  end_epoch - start_epoch AS runtime_seconds,
+  CASE WHEN native_id % 107 <> 0 THEN {_iso('submit_epoch')} END AS submit_time, {_iso('start_epoch')} AS start_time,
+  {_iso('end_epoch')} AS end_time, end_epoch - start_epoch AS runtime_seconds,
   CASE WHEN native_id % 5 = 0 THEN '/tmp/expanded-' ELSE '/tmp/slurm-' END || native_id || '.out' AS stdout,
   '/tmp/slurm-' || native_id || '.err' AS stderr,
   CASE WHEN start_epoch IS NULL THEN '' ELSE {_NODE_NAMES} END AS node_list,
@@ -343,6 +350,19 @@ def _prep(body: str, source: str = "uniq") -> str:
     return "WITH " + _CTES["readings"] + ",\n" + _STATS.format(source=source) + "\n" + body
 
 
+_CLEANED = (
+    "WITH "
+    + _CTES["readings"]
+    + ", kept AS (SELECT * FROM uniq WHERE value IS NULL OR value BETWEEN 0.05 AND 200),\n"
+    + _STATS.format(source="kept")
+    + """, counters AS (SELECT (SELECT count(*) FROM readings) AS input_records, count(*) AS output_records,
+  (SELECT count(*) FROM readings WHERE value NOT BETWEEN 0.05 AND 200) AS rejected_records,
+  count(*) FILTER (value IS NULL) AS missing_values_imputed,
+  count(*) FILTER (abs(value - mean) > 3 * std) AS outliers_detected,
+  (SELECT count(*) FROM readings) - count(*) - (SELECT count(*) FROM readings WHERE value NOT BETWEEN 0.05 AND 200)
+    AS duplicates_removed FROM kept JOIN stats USING (sensor_id))"""
+)
+
 _REQUEST_REASONS = """array_to_string(list_filter([
     CASE WHEN NOT regexp_matches(script, '\\S') THEN 'empty script' END,
     CASE WHEN length(script) > 20000 THEN 'script too long' END,
@@ -354,7 +374,7 @@ _REQUEST_REASONS = """array_to_string(list_filter([
     CASE WHEN memory = '  ' THEN 'empty memory' END,
     CASE WHEN memory = 'invalid' THEN 'memory format' END,
     CASE WHEN time_limit = ' ' THEN 'empty time limit' END,
-    CASE WHEN time_limit = 'invalid' THEN 'time limit format' END], lambda x: x IS NOT NULL), '; ')"""
+    CASE WHEN time_limit IN ('invalid', '12345678901234567890') THEN 'time limit format' END], lambda x: x IS NOT NULL), '; ')"""
 
 _ADVICE = """SELECT request_id, 'nodes' AS parameter, recommended_nodes::VARCHAR AS value,
   CASE WHEN cpu_intensive THEN 'high' ELSE 'medium' END AS confidence,
@@ -374,9 +394,11 @@ UNION ALL SELECT request_id, 'partition', 'io-optimized', 'medium',
 _ISSUES = ["clusters", "nodes", "requests", "issues"]
 _CLASSES = ["clusters", "requests", "classes"]
 
+_NEWEST = f"first(state ORDER BY ts DESC, (state IN {_TERMINAL})::INT DESC, state DESC)"
+
 _FIRST_TERMINAL = _with(
     ["status"],
-    f"SELECT job_id, arg_min(state, ts) AS state, min(ts) AS ts FROM status WHERE state IN {_TERMINAL} GROUP BY job_id",
+    f"SELECT job_id, first(state ORDER BY ts, state) AS state, min(ts) AS ts FROM status WHERE state IN {_TERMINAL} GROUP BY job_id",
 )
 _TIMEOUTS = _with(
     ["status"],
@@ -385,7 +407,7 @@ _TIMEOUTS = _with(
 FROM (SELECT job_id, end_state, end_ts, first_ts + 3600000000 AS deadline,
              coalesce(end_ts <= first_ts + 3600000000, false) AS ok
       FROM (SELECT job_id, min(ts) AS first_ts, min(ts) FILTER (state IN {_TERMINAL}) AS end_ts,
-                   arg_min(state, ts) FILTER (state IN {_TERMINAL}) AS end_state
+                   first(state ORDER BY ts, state) FILTER (state IN {_TERMINAL}) AS end_state
             FROM status GROUP BY job_id))""",
 )
 _READY = _with(
@@ -472,6 +494,11 @@ UNION ALL SELECT cluster, 'jwt_token', '***' FROM clusters""",
     ),
     "slurm_normalized": _with(["clusters", "native"], _SLURM_FLAT),
     "slurm_roundtrip": _with(["clusters", "native"], _SLURM_FLAT),
+    "slurm_rejects": _with(
+        ["clusters", "native"],
+        """SELECT CASE WHEN native_id % 101 = 0 THEN 'no job id' ELSE 'time out of range' END AS reject, count(*) AS jobs
+FROM native WHERE backend = 'slurm' AND (native_id % 101 = 0 OR native_id % 107 = 0) GROUP BY 1""",
+    ),
     "flux_normalized": _with(["clusters", "native"], _FLUX_FLAT),
     "flux_rejects": _with(
         ["clusters", "native"],
@@ -481,7 +508,7 @@ UNION ALL SELECT cluster, 'jwt_token', '***' FROM clusters""",
     CASE WHEN native_id % 7 = 0 THEN '?' ELSE nodes::VARCHAR END, tasks::VARCHAR, flux_duration,
     coalesce((end_epoch - start_epoch) || 's', '-')) END AS line
   FROM (SELECT *, concat_ws(',', 'ƒ' || native_id, CASE WHEN native_id % 89 = 0 THEN 'with,comma' ELSE job_name END,
-          native_state, CASE WHEN native_id % 83 = 0 THEN 'soon' ELSE submit_epoch || '.25' END) AS head
+          native_state, CASE WHEN native_id % 166 = 0 THEN '1e300' WHEN native_id % 83 = 0 THEN 'soon' ELSE submit_epoch || '.25' END) AS head
         FROM native WHERE backend = 'flux')) WHERE reject IS NOT NULL""",
     ),
     "flux_short_listing": _with(
@@ -600,9 +627,9 @@ FROM estimates e LEFT JOIN history h ON h.cluster = e.cluster AND h.name = e.job
     ),
     "validate_rollup": _with(
         _ISSUES,
-        """SELECT request_id, bool_and(severity <> 'error') AS valid, count(*) FILTER (severity = 'error') AS errors,
+        """SELECT request_id, count(*) FILTER (severity = 'error') = 0 AS valid, count(*) FILTER (severity = 'error') AS errors,
   count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos
-FROM issues GROUP BY request_id""",
+FROM requests LEFT JOIN issues USING (request_id) GROUP BY request_id""",
     ),
     "validate_issue_kinds": _with(
         _ISSUES, "SELECT severity, category, count(*) AS issues FROM issues GROUP BY severity, category"
@@ -641,7 +668,7 @@ WHERE p IS NOT NULL GROUP BY cluster, "user" """,
     "array_errors": _with(
         ["batches"],
         """SELECT batch_id, 0 AS "index", array_spec AS command, 'invalid array spec' AS error FROM batches
-WHERE array_spec IN ('1-10:0', 'a-b')""",
+WHERE array_spec IN ('1-10:0', 'a-b', '1-99999999999999999999')""",
     ),
     "capped_tasks": _with(["batches"], "SELECT batch_id, task_index, task_id FROM tasks WHERE task_index < 3"),
     "bulk_commands": _with(
@@ -656,11 +683,16 @@ FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM batches WHERE array_s
     ),
     "batch_summary": _with(
         ["batches"],
-        """SELECT b.batch_id, CASE WHEN array_spec IS NULL THEN 'bulk' ELSE 'array' END AS batch_type,
-  CASE WHEN array_spec IS NULL THEN len(words) ELSE coalesce(n, 0) END AS submitted,
-  CAST(coalesce(array_spec IN ('1-10:0', 'a-b'), false) AS BIGINT) AS failed,
-  CASE WHEN array_spec IS NULL THEN len(words) ELSE coalesce(n, 0) END > 0 AS success
-FROM batches b LEFT JOIN (SELECT batch_id, count(*) AS n FROM tasks GROUP BY batch_id) t ON t.batch_id = b.batch_id""",
+        """SELECT *, submitted > 0 AS success FROM (
+  SELECT batch_id, reason,
+    CASE WHEN reason IS NOT NULL THEN NULL WHEN array_spec IS NULL THEN 'bulk' ELSE 'array' END AS batch_type,
+    CASE WHEN reason IS NOT NULL THEN 0 WHEN array_spec IS NULL THEN commands ELSE coalesce(n, 0) END AS submitted,
+    CAST(reason IS NULL AND coalesce(array_spec IN ('1-10:0', 'a-b', '1-99999999999999999999'), false) AS BIGINT) AS failed
+  FROM (SELECT *, CASE WHEN array_spec IS NOT NULL AND commands > 0 THEN 'both array_spec and commands'
+                       WHEN array_spec IS NULL AND commands = 0 THEN 'neither array_spec nor commands' END AS reason
+        FROM (SELECT *, CASE WHEN batch_id % 11 = 0 THEN 1 WHEN batch_id % 4 <> 1 AND array_spec IS NULL THEN len(words)
+                             ELSE 0 END AS commands FROM batches)
+        LEFT JOIN (SELECT batch_id, count(*) AS n FROM tasks GROUP BY batch_id) USING (batch_id)))""",
     ),
     "param_sweep": _with(
         ["batches", "params"],
@@ -709,7 +741,7 @@ WHERE native_id NOT IN (SELECT conv_id FROM conversations)""",
 FROM (SELECT *, native_id IN (SELECT event_id // 2 * 3 FROM events WHERE event_type IN ('signup', 'error')) AS hit FROM jobs)""",
     ),
     "latest_status": _with(
-        ["status"], "SELECT job_id, arg_max(state, ts) AS state, max(ts) AS ts FROM status GROUP BY job_id"
+        ["status"], f"SELECT job_id, {_NEWEST} AS state, max(ts) AS ts FROM status GROUP BY job_id"
     ),
     "first_terminal": _FIRST_TERMINAL,
     "stream_terminal": _FIRST_TERMINAL,
@@ -720,7 +752,7 @@ FROM (SELECT *, native_id IN (SELECT event_id // 2 * 3 FROM events WHERE event_t
     "stream_queue_status": _with(
         ["status"],
         f"""SELECT cluster, {_COUNTS}{_MORE} FROM (SELECT substr(user_id::VARCHAR, 1, 1) AS cluster,
-  arg_max(state, ts) AS state FROM status GROUP BY job_id, user_id) GROUP BY cluster""",
+  {_NEWEST} AS state FROM status GROUP BY job_id, user_id) GROUP BY cluster""",
     ),
     "range_rejects": _prep(
         """SELECT reading_id, sensor_id, value, CASE WHEN value < 0.05 THEN 'below range' ELSE 'above range' END AS reject
@@ -777,25 +809,68 @@ FROM kept JOIN stats USING (sensor_id)""",
         """SELECT CASE WHEN b < 70 THEN 'train' WHEN b < 85 THEN 'validation' ELSE 'test' END AS split, count(*) AS records
 FROM (SELECT CAST('0x' || substr(md5(reading_id::VARCHAR), 1, 8) AS BIGINT) % 100 AS b FROM uniq) GROUP BY split"""
     ),
-    "quality_report": _prep(
-        """SELECT metric, value FROM (SELECT count(*) AS input_records, count(DISTINCT reading_id) AS output_records,
-  count(*) FILTER (value IS NULL) AS missing_values_imputed,
-  count(*) FILTER (abs(value - mean) > 3 * std) AS outliers_detected,
-  count(*) - count(DISTINCT reading_id) AS duplicates_removed
-FROM readings JOIN stats USING (sensor_id)) UNPIVOT (value FOR metric IN (input_records, output_records,
+    "quality_report": _CLEANED
+    + """ SELECT metric, value FROM counters UNPIVOT (value FOR metric IN (input_records, output_records, rejected_records,
   missing_values_imputed, outliers_detected, duplicates_removed))""",
-        "readings",
-    ),
-    "run_metadata": "WITH "
-    + _CTES["readings"]
-    + ",\n"
-    + _STATS.format(source="readings")
-    + """, cut AS (SELECT CAST('0x' || substr(md5(reading_id::VARCHAR), 1, 8) AS BIGINT) % 100 AS b FROM uniq)
-SELECT 'run' AS pipeline_id, count(*) AS input_records, (SELECT count(*) FROM uniq) AS output_records,
+    "run_metadata": _CLEANED
+    + """, cut AS (SELECT CAST('0x' || substr(md5(reading_id::VARCHAR), 1, 8) AS BIGINT) % 100 AS b FROM kept)
+SELECT 'run' AS pipeline_id, input_records, output_records,
   (SELECT count(*) FROM cut WHERE b < 70) AS train, (SELECT count(*) FROM cut WHERE b BETWEEN 70 AND 84) AS validation,
-  (SELECT count(*) FROM cut WHERE b >= 85) AS test, 12 AS features,
-  count(*) FILTER (value IS NULL) AS missing_values_imputed,
-  count(*) FILTER (abs(value - mean) > 3 * std) AS outliers_detected,
-  count(*) - (SELECT count(*) FROM uniq) AS duplicates_removed
-FROM readings JOIN stats USING (sensor_id)""",
+  (SELECT count(*) FROM cut WHERE b >= 85) AS test, 13 AS features, rejected_records, missing_values_imputed,
+  outliers_detected, duplicates_removed FROM counters""",
+    "feature_table": _CLEANED
+    + """, filled AS (SELECT reading_id, sensor_id, ts, kind, coalesce(value, mean) AS value, low, high
+  FROM kept JOIN stats USING (sensor_id))
+SELECT reading_id, CAST(hour(ts) AS INT) AS hour_of_day, CAST(isodow(ts) - 1 AS INT) AS day_of_week,
+  isodow(ts) >= 6 AS is_weekend, round(avg(value) OVER w, 6) AS rolling_avg,
+  round(stddev_samp(value) OVER w, 6) AS rolling_std,
+  round(percent_rank() OVER (PARTITION BY sensor_id ORDER BY value), 6) AS percentile_rank,
+  round(ln(1 + value), 6) AS log_value,
+  round(CASE WHEN high > low THEN (value - low) / (high - low) ELSE 0 END, 6) AS scaled, """
+    + ", ".join(f"CAST(kind = '{k}' AS INT) AS kind_{k}" for k in v.EVENT_TYPES)
+    + """ FROM filled WHERE value IS NOT NULL
+WINDOW w AS (PARTITION BY sensor_id ORDER BY ts, reading_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
+}
+
+# Round trips through files give what the tables themselves give.
+ORACLE |= {
+    name: ORACLE[same]
+    for name, same in {
+        "slurm_files": "slurm_normalized",
+        "slurm_answers": "slurm_normalized",
+        "flux_roundtrip": "flux_normalized",
+        "flux_short_files": "flux_short_listing",
+        "clusters_file": "cluster_types",
+        "nodes_file": "node_summary",
+        "partitions_file": "partition_names",
+        "miniclusters_file": "minicluster_checks",
+        "split_export": "split_counts",
+        "sweep_export": "param_sweep",
+    }.items()
+}
+ORACLE |= {
+    "commands_file": """SELECT CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_name) - 1 AS INT) AS task_index,
+  p_name AS command FROM part""",
+    "scripts_files": """SELECT true AS cpu_intensive, false AS memory_intensive, false AS io_intensive,
+  CAST(n AS INT) AS mpi_ranks, count(*) AS scripts FROM (SELECT count(*) AS n FROM part GROUP BY p_brand) GROUP BY n""",
+    "sensor_csv": """SELECT 's-' || user_id % 50 AS sensor_id, count(*) AS records,
+  count(*) FILTER (event_id % 3 <> 0) AS with_humidity,
+  CAST(sum(event_id % 100) FILTER (event_id % 3 <> 0) AS DOUBLE) AS humidity, max(value) AS highest,
+  epoch_us(max(ts)) AS latest FROM events GROUP BY user_id % 50""",
+    "user_events_csv": """SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS users FROM events
+GROUP BY event_type""",
+    "script_advice": _with(
+        _JOBS + ["requests", "classes", "history"],
+        f"""SELECT a.request_id, parameter,
+  CASE WHEN parameter = 'time_limit' AND similar_jobs > 0 THEN {_clock('m * 60')}
+       WHEN parameter = 'memory' AND mib IS NOT NULL THEN mib || 'MB' ELSE value END AS value,
+  CASE WHEN parameter = 'time_limit' AND similar_jobs > 0 OR parameter = 'memory' AND mib IS NOT NULL
+       THEN 'medium' ELSE confidence END AS confidence,
+  CASE WHEN parameter = 'time_limit' AND similar_jobs > 0 OR parameter = 'memory' AND mib IS NOT NULL
+       THEN 'Average of ' || similar_jobs || ' similar finished jobs plus a quarter' ELSE reason END AS reason
+FROM ({_ADVICE}) a JOIN requests r ON r.request_id = a.request_id
+LEFT JOIN (SELECT *, CAST(ceil(avg_runtime_seconds * 1.25::DOUBLE / 60) AS BIGINT) AS m,
+             CAST(ceil(avg_memory_mib * 1.25::DOUBLE) AS BIGINT) AS mib FROM history) h
+  ON h.cluster = r.cluster AND h.name = r.job_name""",
+    ),
 }

@@ -37,8 +37,8 @@ FLUX_QUEUED = ["DEPEND", "SCHED", "DEPEND", "SCHED", "DEPEND", "SCHED", "DEPEND"
 FLUX_RESULTS = [
     "COMPLETED", "COMPLETED", "FAILED", "CANCELED", "TIMEOUT", "CANCELED", "TIMEOUT", "COMPLETED",
 ]
-TIME_LIMITS = ["5m", "1h", "30s", "2:00:00", "45:30", "30", "1-02:30:00", "1.5h"]
-MEMORY = ["4GB", "16GB", "512M", "1T", "2048MB", "8G", "32gb", ""]
+TIME_LIMITS = ["5m", "1h", "30s", "2:00:00", "45:30", "30", "1-02:30:00", "1.5h", "0000000000000007m"]
+MEMORY = ["4GB", "16GB", "512M", "1T", "2048MB", "8G", "32gb", "", "00000000004GB", "12345678901234567890T"]
 FLUX_DURATIONS = ["1.5h", "90m", "30s", "2d", "42", "-", "1.2.3s", "0.5m"]
 PARTITIONS = ["urgent", "high", "medium", "not_specified", "low"]
 
@@ -49,15 +49,16 @@ PARTITION_LIMITS = ["24:00:00", "12:00:00", "01:00:00", "2:30:00", "1-00:00:00"]
 REQUEST_NODES = [1, 0, 4, 1_000_000, None, 2, 16, -1]
 REQUEST_TASKS = [1, 0, None, 4]
 REQUEST_CPUS = [1, 2, 0, None, 8]
-REQUEST_MEMORY = ["32GB", "invalid", "512M", None, "1T", "  ", "9999TB"]
-REQUEST_LIMITS = ["1h", "30m", "invalid", None, "1:30", "2:30:00", "999:00:00", "1.5h", " ", " 45M "]
+REQUEST_MEMORY = ["32GB", "invalid", "512M", None, "1T", "  ", "9999TB", "9999999999GB", "12345678901234567890M"]
+REQUEST_LIMITS = ["1h", "30m", "invalid", None, "1:30", "2:30:00", "999:00:00", "1.5h", " ", " 45M ", "9999999999999m", "12345678901234567890"]
 REQUEST_PARTITIONS = ["urgent", "nope", "low", None, " high ", "medium", "debug"]
 
-ARRAY_SPECS = ["1-10", "1-100:2", "1-50", "5", "1,3,5", "1-10:0", "a-b", "3-7", "10-1", None]
+ARRAY_SPECS = ["1-10", "1-100:2", "1-50", "5", "1,3,5", "1-10:0", "a-b", "3-7", "10-1", None, "1000000000000000001-1000000000000000004:2", "1-99999999999999999999"]
 EVENT_STATES = {
     "view": "PENDING", "click": "RUNNING", "purchase": "COMPLETED",
     "error": "FAILED", "signup": "CANCELLED",
 }
+TICK = 600_000_000  # microseconds
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -245,7 +246,7 @@ def slurm_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
         "partition",
         F.when(key % 2 == 0, F.concat(F.lit('["'), state, F.lit('"]'))).otherwise(state).alias("job_state"),
         F.concat(F.lit('{"status":["x"],"return_code":'), code, F.lit("}")).alias("exit_code"),
-        wrapped(F.col("submit_epoch")).alias("submit_time"),
+        wrapped(F.when(key % 107 == 0, 99_999_999_999_999).otherwise(F.col("submit_epoch"))).alias("submit_time"),
         wrapped(F.col("start_epoch")).alias("start_time"),
         wrapped(F.col("end_epoch")).alias("end_time"),
         limited(clocks.time_limit_minutes(F.col("time_limit"))).alias("time_limit"),
@@ -274,7 +275,7 @@ def flux_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.coalesce(value.cast("string"), F.lit("-"))
 
     name = F.when(key % 89 == 0, F.lit("with,comma")).otherwise(F.col("job_name"))
-    submit = F.when(key % 83 == 0, F.lit("soon")).otherwise(
+    submit = F.when(key % 166 == 0, F.lit("1e300")).when(key % 83 == 0, F.lit("soon")).otherwise(
         F.concat(F.col("submit_epoch").cast("string"), F.lit(".25"))
     )
     runtime = F.when(F.col("end_epoch").isNotNull(), F.concat((F.col("end_epoch") - F.col("start_epoch")).cast("string"), F.lit("s")))
@@ -301,7 +302,7 @@ def flux_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.split_flux_lines(flux_lines(spark, sf_dir), FLUX_LONG_FIELDS)
 
 
-def flux_short_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flux_short_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Flux jobs as five-field rows."""
     native = jobs_native(spark, sf_dir).filter(F.col("backend") == "flux")
     ran = F.col("end_epoch") - F.col("start_epoch")
@@ -313,7 +314,11 @@ def flux_short_split(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("submit_epoch").cast("string"),
         F.coalesce(F.concat(ran.cast("string"), F.lit("s")), F.lit("-")),
     )
-    return normalize.split_flux_lines(native.select(line.alias("value")), FLUX_SHORT_FIELDS)
+    return native.select(line.alias("value"))
+
+
+def flux_short_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.split_flux_lines(flux_short_lines(spark, sf_dir), FLUX_SHORT_FIELDS)
 
 
 # ------------------------------------------------------------- nodes, partitions
@@ -410,12 +415,12 @@ def event_state() -> Column:
 
 
 def event_status(events: DataFrame) -> DataFrame:
-    """Events as job statuses: a job is a user's day."""
+    """Events as job statuses: a job is a user's day, times are cut so that some are equal."""
     day = F.date_format("ts", "yyyyMMdd")
     return events.select(
         F.concat(F.lit("job-"), F.col("user_id").cast("string"), F.lit("-"), day).alias("job_id"),
         event_state().alias("state"),
-        F.timestamp_micros(clocks.ntz_micros(F.col("ts"))).alias("ts"),
+        F.timestamp_micros(F.call_function("div", clocks.ntz_micros(F.col("ts")), F.lit(TICK)) * TICK).alias("ts"),
     )
 
 

@@ -2,6 +2,9 @@
 
 RESOURCES = "struct<nodes:int,tasks:int,cpus_per_task:int,memory:string>"
 
+WRAPPED_TIMES = ["submit_time", "start_time", "end_time"]
+WRAPPED_LIMITS = ["time_limit", "node_count"]
+
 # One Slurm job. job_state and exit_code occur in more than one JSON shape, so
 # they are read as the JSON text and resolved by the normalisation.
 _NUMBER = "struct<set:boolean,number:bigint>"
@@ -83,3 +86,11 @@ GIVEN = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
+
+
+def slurm_text() -> str:
+    """`SLURM_JOB` with every wrapped number as its JSON text, whatever shape it has."""
+    out = SLURM_JOB
+    for kind in (_NUMBER, _LIMIT):
+        out = out.replace(kind, "string")
+    return out

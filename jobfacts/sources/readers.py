@@ -15,7 +15,7 @@ from jobfacts.operators import normalize
 
 
 def _slurm_struct() -> T.StructType:
-    return T.StructType.fromDDL(schemas.SLURM_JOB)
+    return T.StructType.fromDDL(schemas.slurm_text())
 
 
 def read_slurm_jobs(spark: SparkSession, path: str, layout: str = "envelope") -> DataFrame:
@@ -25,12 +25,12 @@ def read_slurm_jobs(spark: SparkSession, path: str, layout: str = "envelope") ->
     unit of work. ``lines``: one job per line, which splits at any size.
     """
     if layout == "lines":
-        return spark.read.schema(_slurm_struct()).json(path)
+        return normalize.typed_numbers(spark.read.schema(_slurm_struct()).json(path))
     if layout != "envelope":
         raise ValueError(f"layout must be envelope or lines, got {layout!r}")
     envelope = T.StructType([T.StructField("jobs", T.ArrayType(_slurm_struct()))])
     answers = spark.read.schema(envelope).option("multiLine", True).json(path)
-    return answers.select(F.explode("jobs").alias("job")).select("job.*")
+    return normalize.typed_numbers(answers.select(F.explode("jobs").alias("job")).select("job.*"))
 
 
 def read_flux_jobs(spark: SparkSession, path: str, fields: int = 11) -> DataFrame:

@@ -53,9 +53,9 @@ def run_metadata(
         "output_records",
         sizes.scalar().alias("splits"),
         F.lit(features).alias("features"),
-        F.struct("missing_values_imputed", "outliers_detected", "duplicates_removed").alias(
-            "quality_metrics"
-        ),
+        F.struct(
+            "rejected_records", "missing_values_imputed", "outliers_detected", "duplicates_removed"
+        ).alias("quality_metrics"),
     )
 
 

@@ -60,7 +60,7 @@ def read_first_ready(spark: SparkSession, path: str) -> DataFrame:
     """Earliest readiness per MiniCluster, else Unknown for Timeout."""
     versions = spark.read.parquet(path)
     found = versions.groupBy("namespace", "name").agg(
-        F.min("ts").alias("ts"), F.min_by("phase", "ts").alias("ready_phase")
+        F.min("ts").alias("ts"), status.earliest(F.col("phase"), F.col("ts")).alias("ready_phase")
     )
     never = F.col("ts").isNull()
     return found.select(
@@ -78,7 +78,7 @@ def stream_queue_status(stream: DataFrame, path: str, checkpoint: str) -> Stream
     ``stream`` has cluster, job_id, state and ts. Counting the events themselves
     would count a job once per status.
     """
-    newest = stream.groupBy("cluster", "job_id").agg(F.max_by("state", "ts").alias("state"))
+    newest = stream.groupBy("cluster", "job_id").agg(status.newest_state().alias("state"))
 
     def write(batch: DataFrame, epoch: int) -> None:
         counts = queue.queue_status(batch, detailed=True)

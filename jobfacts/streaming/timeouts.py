@@ -2,11 +2,13 @@
 
 The batch twin is ``operators.status.outcomes``. Each outcome is written exactly
 once, as soon as the statuses seen so far show that nothing earlier can still
-arrive. State is one small row per job that is open or was decided lately, kept
-as a table below the output path; a trigger combines it with its own statuses by
-one aggregation, so everything stays in built-in operators, a job with most of
-the statuses is reduced in each task first, and a repeated trigger starts from
-the same state and replaces what it wrote.
+arrive. State is one small row per open job, kept as a table below the output
+path; a trigger combines it with its own statuses by one aggregation, so
+everything stays in built-in operators, a job with most of the statuses is
+reduced in each task first, and a repeated trigger starts from the same state
+and replaces what it wrote. Decided jobs leave the state: a job that a trigger
+meets anew is looked up in the outcomes of all triggers before, so a status that
+comes in however late starts nothing a second time.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from jobfacts import fixed_values as fv
 from jobfacts.functions import states
+from jobfacts.operators.status import earliest
 
 _MINUTE = 60_000_000
-# All times are epoch microseconds; decided is when the outcome became final.
-_STATE = "job_id string, first bigint, end bigint, end_state string, decided bigint, seen bigint"
+# All times are epoch microseconds. The row without a job holds the newest time seen.
+_STATE = "job_id string, first bigint, end bigint, end_state string, seen bigint"
 _SLOTS = 3
 
 
@@ -30,8 +33,7 @@ def _facts(statuses: DataFrame) -> DataFrame:
     return statuses.groupBy("job_id").agg(
         F.min(us).alias("first"),
         F.min(end).alias("end"),
-        F.min_by("state", end).alias("end_state"),
-        F.lit(None).cast("bigint").alias("decided"),
+        earliest(F.col("state"), end).alias("end_state"),
         F.max(us).alias("seen"),
     )
 
@@ -40,8 +42,7 @@ def _combined(rows: DataFrame) -> DataFrame:
     return rows.groupBy("job_id").agg(
         F.min("first").alias("first"),
         F.min("end").alias("end"),
-        F.min_by("end_state", "end").alias("end_state"),
-        F.max("decided").alias("decided"),
+        earliest(F.col("end_state"), F.col("end")).alias("end_state"),
         F.max("seen").alias("seen"),
     )
 
@@ -62,37 +63,39 @@ def stream_outcomes(
     checkpoint: str,
     timeout_minutes: int = fv.WAIT_TIMEOUT_MINUTES,
     delay_minutes: int = 10,
-    retain_minutes: int = 2 * 24 * 60,
 ) -> StreamingQuery:
     """Write the outcome of every job in a status stream ``(job_id, state, ts)``.
 
-    ``delay_minutes`` bounds how late a status may arrive. A decided job is
-    remembered for ``retain_minutes``, so its later statuses start nothing new.
+    ``delay_minutes`` bounds how late a status may arrive and still change an outcome.
     """
-    wait, delay, retain = (m * _MINUTE for m in (timeout_minutes, delay_minutes, retain_minutes))
+    wait, delay = timeout_minutes * _MINUTE, delay_minutes * _MINUTE
     due = F.least(F.col("end"), F.col("first") + wait)  # least skips a missing end
 
     def slot(epoch: int) -> str:
         return f"{path}/state/slot={epoch % _SLOTS}"
 
     def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
         rows = _facts(batch)
         if epoch > 0:
-            rows = batch.sparkSession.read.schema(_STATE).parquet(slot(epoch - 1)).union(rows)
+            held = spark.read.schema(_STATE).parquet(slot(epoch - 1))
+            earlier = spark.read.parquet(f"{path}/outcomes").filter(F.col("version") < epoch)
+            new = rows.join(earlier.select("job_id"), "job_id", "left_anti")
+            rows = held.unionByName(new)
         combined = _combined(rows).persist()
         newest = combined.agg(F.max("seen")).first()[0]
         settled = F.lit(newest).cast("bigint") - delay
-        newly: Column = F.col("decided").isNull() & (due <= settled)
-        state = combined.withColumn("decided", F.when(newly, due).otherwise(F.col("decided")))
-        fresh = combined.filter(newly).withColumn("decided", due)
+        known = F.col("job_id").isNotNull()
+        over: Column = F.coalesce(due <= settled, F.lit(False))
+        fresh = combined.filter(known & over).withColumn("decided", due)
         _outcome(fresh, wait).write.mode("overwrite").parquet(f"{path}/outcomes/version={epoch}")
-        # the newest job always stays, and with it the time reached so far
-        kept = (
-            F.col("decided").isNull()
-            | (F.col("decided") + retain > settled)
-            | (F.col("seen") == F.lit(newest))
+        clock = spark.range(1).select(
+            F.lit(None).cast("string").alias("job_id"),
+            *[F.lit(None).cast(t).alias(c) for c, t in (("first", "bigint"), ("end", "bigint"), ("end_state", "string"))],
+            F.lit(newest).cast("bigint").alias("seen"),
         )
-        state.filter(kept).write.mode("overwrite").parquet(slot(epoch))
+        still_open = combined.filter(known & ~over).select(*clock.columns)
+        still_open.unionByName(clock).write.mode("overwrite").parquet(slot(epoch))
         combined.unpersist()
 
     return (

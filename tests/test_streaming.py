@@ -66,7 +66,7 @@ def test_outcomes_are_emitted_once_and_equal_the_batch_twin(spark, tmp_path):
     for name, rows in files.items():
         write(spark, src, name, rows)
         stream = spark.readStream.schema(schemas.STATUS).parquet(f"{src}/*")
-        timeouts.stream_outcomes(stream, out, ckpt, 60, 30, retain_minutes=1000).awaitTermination()
+        timeouts.stream_outcomes(stream, out, ckpt, 60, 30).awaitTermination()
     got = timeouts.read_outcomes(spark, out)
     rows = [tuple(r) for r in got.filter("job_id not like 'beat%'").collect()]
     everything = spark.read.schema(schemas.STATUS).parquet(f"{src}/*").filter("job_id not like 'beat%'")
@@ -74,11 +74,11 @@ def test_outcomes_are_emitted_once_and_equal_the_batch_twin(spark, tmp_path):
     assert {r[0]: r[1] for r in rows} == {"ok": "COMPLETED", "slow": "TIMEOUT", "late": "COMPLETED", "hot": "CANCELLED"}
 
 
-def test_state_of_decided_jobs_is_dropped_after_a_while(spark, tmp_path):
+def test_decided_jobs_leave_the_state_and_are_not_decided_again(spark, tmp_path):
     src, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
-    for n, rows in enumerate([[("a", "RUNNING", 0)], [("b", "PENDING", 100)], [("c", "PENDING", 5000)], [("d", "RUNNING", 5001)]]):
+    for n, rows in enumerate([[("a", "RUNNING", 0)], [("b", "PENDING", 100)], [("c", "PENDING", 5000)], [("d", "RUNNING", 5001), ("a", "COMPLETED", 4999)]]):
         write(spark, src, f"f{n}", rows)
         stream = spark.readStream.schema(schemas.STATUS).parquet(f"{src}/*")
-        timeouts.stream_outcomes(stream, out, ckpt, 60, 5, retain_minutes=200).awaitTermination()
-    assert {(r.job_id, r.state) for r in timeouts.read_outcomes(spark, out).collect()} == {("a", "TIMEOUT"), ("b", "TIMEOUT")}
-    assert {r.job_id for r in spark.read.parquet(f"{out}/state/slot=0").collect()} == {"c", "d"}
+        timeouts.stream_outcomes(stream, out, ckpt, 60, 5).awaitTermination()
+    assert sorted((r.job_id, r.state) for r in timeouts.read_outcomes(spark, out).collect()) == [("a", "TIMEOUT"), ("b", "TIMEOUT")]
+    assert {r.job_id for r in spark.read.parquet(f"{out}/state/slot=0").collect()} == {"c", "d", None}
