@@ -10,6 +10,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import jobfacts
 from jobfacts.session import shared_folder
@@ -24,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """`df` written to the shared folder and read back: its lineage ends here, and lost executors lose nothing."""
     path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -48,6 +49,15 @@ def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def apart(df: DataFrame, key: str) -> DataFrame:
+    """`df` dealt out anew, by another function of its key than the join that follows uses.
+
+    A join next to an aggregate reuses the aggregate's partitions, and adaptive execution can't split a hot key there;
+    between two plain exchanges it can.
+    """
+    return df.repartition(F.xxhash64(key))
+
+
 def spread(df: DataFrame) -> int:
     """How many partitions the session shuffles into."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

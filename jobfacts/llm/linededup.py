@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobfacts.llm.common import mapped, written
+from jobfacts.llm.common import apart, mapped, written
 
 
 def lines_of(text) -> object:
@@ -92,7 +92,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id",
     )
     each = hashed.select("doc_id", F.explode("long").alias("line"))
     owners = each.groupBy("line").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).filter("n > 1")
-    pairs = each.join(owners, "line").filter("doc_id > owner").groupBy("doc_id", "owner").agg(F.collect_set("line").alias("rare"))
+    pairs = each.join(apart(owners, "line"), "line").filter("doc_id > owner").groupBy("doc_id", "owner").agg(F.collect_set("line").alias("rare"))
     later = pairs.join(hashed.select("doc_id", F.col("hashes").alias("later")), "doc_id")
     both = later.join(hashed.select(F.col("doc_id").alias("owner"), F.col("hashes").alias("earlier")), "owner")
 
