@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobfacts.llm.common import written
+from jobfacts.llm.common import apart, written
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -25,9 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
     while state != before:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(apart(least, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select("u", "v", "m")
+        small = large.join(apart(least, "u"), "u").select("u", "v", "m")
         onto = small.select(F.col("u"), F.col("m").alias("v")).union(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         now = written(onto.distinct(), "links")
         before, state = state, _digest(now)

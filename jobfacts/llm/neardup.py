@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobfacts.llm import setsketch
-from jobfacts.llm.common import mapped, raw, small, written
+from jobfacts.llm.common import apart, mapped, raw, small, written
 from jobfacts.llm.decontam import fixed_filter, passes
 from jobfacts.llm.graph import components
 from jobfacts.llm.words import mix, shingles, word_hashes
@@ -126,7 +126,7 @@ def _families(sets: DataFrame, share: float) -> DataFrame:
     """a, b: in each bucket, pairs whose estimate allows `share`, as many as join what they join."""
     bands = _bands(sets)
     sizes = bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = bands.join(sizes, "key").withColumn("blocks", F.ceil(F.col("size") / BUCKET_BLOCK)).drop("size")
+    shared = bands.join(apart(sizes, "key"), "key").withColumn("blocks", F.ceil(F.col("size") / BUCKET_BLOCK)).drop("size")
     rows = shared.join(sets.select("doc_id", "n_shingles", "registers"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
