@@ -89,8 +89,12 @@ def expand_arrays(batches: DataFrame) -> DataFrame:
     )
     for unit in (BLOCK**3, BLOCK**2, BLOCK, 1):  # a piece has at most 10^15 tasks
         part = F.explode(F.sequence(F.lit(0).cast("bigint"), div(F.col("__n") - 1, unit)))
+        # A generated method runs through a whole list before it hands rows on, and nested
+        # lists would multiply in it. Coalescing to more partitions than there are moves
+        # nothing and ends the method, so each holds one list at a time.
         rows = (
-            rows.select("batch_id", "__start", "__step", "__from", "__n", part.alias("__k"))
+            rows.coalesce(1 << 20)
+            .select("batch_id", "__start", "__step", "__from", "__n", part.alias("__k"))
             .withColumn("__from", F.col("__from") + F.col("__k") * unit)
             .withColumn("__n", F.least(F.lit(unit), F.col("__n") - F.col("__k") * unit))
         )

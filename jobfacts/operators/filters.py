@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,8 @@ def check_iso(value: str | None) -> str | None:
 
 
 def iso_instant(value: str) -> Column:
-    """Instant of an ISO text; without a zone it is read as UTC."""
+    """Instant of an ISO text; without a zone it is read as UTC. Other texts raise ``ValueError`` here."""
+    datetime.fromisoformat(value)
     zoned = value if value.endswith("Z") or "+" in value[10:] or "-" in value[10:] else None
     return F.lit(zoned or (value + "Z" if len(value) > 10 else value + "T00:00:00Z")).cast(
         "timestamp"

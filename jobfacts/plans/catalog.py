@@ -392,7 +392,7 @@ def unknown_clusters(spark, sf):
 
 @query
 def script_classes(spark, sf):
-    classified = scripts.classify(views.requests(spark, sf))
+    classified = scripts.classify(views.ascii_requests(spark, sf))
     return classified.select(
         "request_id", "cpu_intensive", "memory_intensive", "io_intensive", "mpi_ranks"
     )
@@ -400,7 +400,7 @@ def script_classes(spark, sf):
 
 @query
 def script_estimates(spark, sf):
-    estimated = scripts.estimate(scripts.classify(views.requests(spark, sf)))
+    estimated = scripts.estimate(scripts.classify(views.ascii_requests(spark, sf)))
     return estimated.select(
         "request_id", "workload", "estimated_memory", "estimated_runtime",
         "recommended_nodes", "recommended_tasks",
@@ -409,19 +409,19 @@ def script_estimates(spark, sf):
 
 @query
 def script_recommendations(spark, sf):
-    advised = scripts.recommend(scripts.estimate(scripts.classify(views.requests(spark, sf))))
+    advised = scripts.recommend(scripts.estimate(scripts.classify(views.ascii_requests(spark, sf))))
     return scripts.recommendation_rows(advised)
 
 
 @query
 def workload_mix(spark, sf):
-    return scripts.workload_mix(scripts.classify(views.requests(spark, sf)))
+    return scripts.workload_mix(scripts.classify(views.ascii_requests(spark, sf)))
 
 
 @query
 def script_analysis(spark, sf):
     analyzed = scripts.analyze(
-        views.requests(spark, sf), views.clusters(spark, sf), views.jobs(spark, sf)
+        views.ascii_requests(spark, sf), views.clusters(spark, sf), views.jobs(spark, sf)
     )
     return analyzed.select(
         "request_id", "backend", "workload", "similar_jobs", "avg_runtime_seconds",
@@ -433,7 +433,7 @@ def script_analysis(spark, sf):
 def script_advice(spark, sf):
     """Every recommendation of the analysis, with values from history where there is one."""
     analyzed = scripts.analyze(
-        views.requests(spark, sf), views.clusters(spark, sf), views.jobs(spark, sf)
+        views.ascii_requests(spark, sf), views.clusters(spark, sf), views.jobs(spark, sf)
     )
     return scripts.recommendation_rows(analyzed)
 

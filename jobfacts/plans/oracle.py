@@ -141,24 +141,26 @@ _CTES["requests"] = f"""requests AS (
          || CASE WHEN doc_id % 11 = 0 THEN 'rsync -a in out' || chr(10) ELSE '' END
          || CASE WHEN doc_id % 13 = 0 THEN 'Module load gcc/11.2.0' || chr(10) ELSE '' END
          || CASE WHEN doc_id % 19 = 0 THEN '# Process 64GB dataset' || chr(10) ELSE '' END
-         || CASE WHEN doc_id % 23 = 0 THEN chr(10) || '  # nothing here' || chr(10) || chr(9) || chr(10)
-                 ELSE regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') END AS script,
+         || coalesce(text, chr(10) || '  # nothing here' || chr(10) || chr(9) || chr(10)) AS script,
          'app-' || doc_id % 40 AS job_name,
          {_pick(v.REQUEST_NODES, 'doc_id')} AS nodes, {_pick(v.REQUEST_TASKS, 'doc_id')} AS tasks_per_node,
          {_pick(v.REQUEST_CPUS, 'doc_id')} AS cpus_per_task, {_pick(v.REQUEST_MEMORY, 'doc_id')} AS memory,
          {_pick(v.REQUEST_LIMITS, 'doc_id')} AS time_limit, {_pick(v.REQUEST_PARTITIONS, 'doc_id')} AS "partition"
-  FROM documents LEFT JOIN clusters ON doc_id % 6 = cluster_key)"""
+  FROM (SELECT doc_id, text FROM documents
+        UNION ALL SELECT doc_id + {v.COMMENT_IDS}, NULL FROM documents WHERE doc_id % 23 = 0)
+  LEFT JOIN clusters ON doc_id % 6 = cluster_key)"""
 
 
 def _any(patterns: list[str]) -> str:
     return " OR ".join(f"regexp_matches(lower(script), {_lit(p)})" for p in patterns)
 
 
-_CTES["classes"] = f"""classes AS (
+_CTES["classes"] = f"""plain AS (SELECT * REPLACE (regexp_replace(script, '[^\\x00-\\x7F]', ' ', 'g') AS script) FROM requests),
+classes AS (
   SELECT request_id, cluster, backend, job_name, {_any(fv.CPU_PATTERNS)} AS cpu_intensive,
          {_any(fv.MEMORY_PATTERNS)} AS memory_intensive, {_any(fv.IO_PATTERNS)} AS io_intensive,
          nullif(try_cast(regexp_extract(lower(script), {_lit(fv.MPI_RANKS_PATTERN)}, 1) AS INT), 0) AS mpi_ranks
-  FROM requests),
+  FROM plain),
 estimates AS (
   SELECT *,
     CASE workload WHEN 'cpu' THEN '8GB' WHEN 'memory' THEN '32GB' WHEN 'io' THEN '16GB' ELSE '4GB' END AS estimated_memory,
@@ -597,7 +599,7 @@ WHERE "user" = 'user-7' AND submit_epoch >= epoch_us(TIMESTAMP '1997-01-01') //
     CASE WHEN p_partkey % 13 = 0 OR p_partkey % 17 = 0 THEN 'image' END,
     CASE WHEN p_partkey % 3 = 0 AND (p_partkey % 5 = 0 OR p_partkey % 4 = 0) THEN 'batch needs command and tasks' END
   ], lambda x: x IS NOT NULL), '; ') AS reasons FROM part WHERE p_partkey % 7 IN (1, 2, 5))""",
-    "unknown_clusters": "SELECT doc_id AS request_id, 'nowhere' AS cluster FROM documents WHERE doc_id % 6 = 5",
+    "unknown_clusters": _with(["clusters", "requests"], "SELECT request_id, cluster FROM requests WHERE backend IS NULL"),
     "script_classes": _with(
         _CLASSES, "SELECT request_id, cpu_intensive, memory_intensive, io_intensive, mpi_ranks FROM classes"
     ),

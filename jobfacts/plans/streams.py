@@ -1,4 +1,4 @@
-"""Registered streaming queries: the events file read as a stream until it is used up."""
+"""Registered streaming queries: the events read as a stream of several triggers until they are used up."""
 
 from __future__ import annotations
 
@@ -11,9 +11,22 @@ from jobfacts.session import shared_folder
 from jobfacts.streaming import changes, timeouts
 
 
+TRIGGERS, FILES = 4, 2
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.readStream.schema(schemas.GIVEN["events"])
-    return events.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events as they would arrive: `TRIGGERS` stretches of time, `FILES` files each, one stretch a trigger."""
+    folder = shared_folder(spark, "event-files")
+    events = views.table(spark, sf_dir, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(at), F.max(at)).first()
+    span = max(1, ((high or 0) - (low or 0)) // TRIGGERS + 1)
+    for k in range(TRIGGERS):
+        begin = (low or 0) + k * span
+        part = events.filter((at >= begin) & (at < begin + span))
+        part.repartition(FILES).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schemas.GIVEN["events"])
+    return stream.option("maxFilesPerTrigger", FILES).parquet(folder)
 
 
 def _run(spark: SparkSession, name: str, start) -> str:

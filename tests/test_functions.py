@@ -12,6 +12,9 @@ def test_time_limit_minutes(values):
     }
     assert values(clocks.time_limit_minutes, list(cases)) == list(cases.values())
     assert values(clocks.time_limit_minutes, [None]) == [None]
+    many = values(clocks.time_limit_minutes, ["9999999999999m", "9" * 30, "9" * 30 + "h", "9" * 20 + "-00:01", "1:" + "0" * 20 + "1:00"])
+    assert many[0] == 9999999999999 and all(m >= clocks.BEYOND for m in many[1:4]) and many[4] == 61
+    assert values(clocks.epoch_to_ts, [10**15, -(10**15), 0], "bigint") == [None] * 3
 
 
 def test_flux_duration_seconds(values):
@@ -109,6 +112,7 @@ def test_numbers(values):
 
 def test_memory_bytes(values):
     cases = {"32GB": 32 << 30, "1024MB": 1 << 30, "2TB": 2 << 40, "512M": 512 << 20, "4g": 4 << 30,
+             "9999999999GB": (1 << 63) - 1, "00000000000000000000001M": 1 << 20, "9" * 40 + "M": (1 << 63) - 1,
              "1T": 1 << 40, "invalid": None, "": None, "16": None}
     assert values(fields.memory_bytes, list(cases)) == list(cases.values())
 

@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from jobfacts import schemas
 from jobfacts.operators import accounting, batch, filters, history, lists, normalize, output, queue, resources, status
 from jobfacts.plans import views
 from jobfacts.sources import sinks
@@ -150,6 +151,28 @@ def test_array_specs_equal_brute_force(spark):
         assert (summary[key].submitted, summary[key].failed, summary[key].success) == (len(ids), int(bad), bool(ids))
 
 
+def test_a_huge_spec_is_expanded_lazily(spark):
+    df = batches(spark, [(1, "5-1000000000000004:1", None, None), (2, "1-99999999999999999999", None, None)])
+    summary = {r.batch_id: (r.submitted, r.failed) for r in batch.batch_summary(df).collect()}
+    assert summary == {1: (10**15, 0), 2: (0, 1)}
+    got = batch.expand_arrays(df).limit(5).collect()
+    assert len(got) == 5 and all(r.task_id == r.task_index + 5 for r in got)
+
+
+def test_bad_rows_are_rejects_and_stop_nothing(spark):
+    wrap = "named_struct('set', true, 'number', {}L)"
+    dump = views.slurm_dump(spark, "/root/testdata/sf0.001").filter("submit_time.number < 10000000000").orderBy("job_id").filter("job_id IS NOT NULL").limit(3)
+    broken = dump.withColumn("start_time", F.expr(wrap.format(10**17))).unionByName(dump.withColumn("job_id", F.lit(None)))
+    whole = dump.unionByName(broken)
+    as_of = F.timestamp_seconds(F.lit(views.AS_OF))
+    assert len(normalize.normalize_slurm(whole, as_of).collect()) == 3
+    assert sorted(r.reject for r in normalize.slurm_rejects(whole).collect()) == ["no job id"] * 3 + ["time out of range"] * 3
+    lines = [f"f{i},n,RUN,{t},-,-,-,1,1,1h,-" for i, t in enumerate(["5", "1e300", "99999999999999", "x"])]
+    split = normalize.split_flux_lines(spark.createDataFrame([(x,) for x in lines], "value string"), schemas.FLUX_LONG_FIELDS)
+    assert [r.job_id for r in normalize.normalize_flux(split).collect()] == ["f0"]
+    assert normalize.flux_rejects(split).count() == 3
+
+
 def test_commands_and_sources(spark):
     df = batches(spark, [(1, None, ["a", "b", "c"], None), (2, "1-3", None, None), (3, "1-3", ["a"], None),
                          (4, None, None, None), (5, "", [], None)])

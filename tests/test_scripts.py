@@ -90,6 +90,19 @@ def issues_of(spark, rows, nodes=8, idle=4):
     return found, advice, valid
 
 
+def test_every_request_has_an_answer(spark):
+    found, _, valid = issues_of(spark, [
+        (1, "s", OK, 1, "1h", "default", "4GB"),
+        (2, "gone", OK, 1, None, None, None),
+        (3, "s", OK, 1, None, None, "9999999999GB"),
+        (4, "s", OK, 1, "9999999999999m", "default", None),
+        (5, None, OK, 1, None, None, None),
+    ])
+    assert valid == {1: True, 2: False, 3: False, 4: False, 5: False} and 1 not in found
+    assert found[2] == [("error", "resources", "Unknown cluster: gone", None)]
+    assert found[3][0][:2] == ("error", "resources") and found[4][0][:2] == ("error", "limits")
+
+
 OK = "#!/bin/bash\nls\n"
 
 
