@@ -149,7 +149,7 @@ class Hierarchy:
         return lang, 1 / (1 + np.exp(-3 * np.minimum(margin, 50)))
 
 
-def fit(labelled: DataFrame, sample_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Hierarchy | None:
+def fit(labelled: DataFrame, sample_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Hierarchy | None:
     """A hierarchy learnt from a sample of `labelled`, None when no row has a language and a text.
 
     The fit is the one thing that is bounded: about `sample_rows` rows in all, as many of each language, chosen by the
