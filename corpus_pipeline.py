@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobfacts.llm import decontam, exact, langid, neardup, packing, queries
@@ -24,12 +24,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id stays, once."""
-    kept = exact.exact_owners(docs, largest=True).filter("kept").select("doc_id", "text_sha256").distinct()
-    digest = "digest_" + "_".join(docs.columns)
-    marked = docs.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256))
-    same = (marked[digest] == kept["text_sha256"]) & marked["doc_id"].eqNullSafe(kept["doc_id"])
-    left = marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", digest])
-    return left.select(docs.columns)
+    name = "row_" + "_".join(docs.columns)  # no column of the documents
+
+    def row(digest: Column) -> Column:
+        return F.concat(digest, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+
+    kept = exact.exact_owners(docs, largest=True).filter("kept").select(row(F.col("text_sha256")).alias(name))
+    marked = docs.withColumn(name, row(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    return marked.join(kept, name, "left_semi").dropDuplicates([name]).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
