@@ -16,7 +16,7 @@ from jobfacts.llm.words import mix, word_hashes
 from jobfacts.session import shared_folder
 
 #: Bytes of text in a chunk; entries of a unigram shard; tokens of the corpus for each bigram shard.
-CHUNK_BYTES, WORD_SHARD, PAIR_SHARD = 8 << 20, 2_000_000, 3_000_000
+CHUNK_BYTES, WORD_SHARD, PAIR_SHARD = 4 << 20, 1_000_000, 1_000_000
 #: A context with more occurrences than this is split over several shards by its successors.
 SPLIT = 400_000
 #: The largest weight of the bigram part; steps of a code for one unit of log10; the code for "not seen".
@@ -154,11 +154,13 @@ class _Pairs:
         words = np.frombuffer(row["words"], "<u8")
         self.tokens, self.n_tokens = unpack_ints(row["tokens"]), unpack_ints(row["n_tokens"])
         self.stops = np.cumsum(self.n_tokens)
-        self.before = np.empty_like(self.tokens)
-        self.before[1:] = self.tokens[:-1]
-        self.before[self.stops - self.n_tokens] = np.searchsorted(words, END[0])
-        keys, self.entry_of = np.unique(self.before * len(words) + self.tokens, return_inverse=True)
+        before = np.empty_like(self.tokens)
+        before[1:] = self.tokens[:-1]
+        before[self.stops - self.n_tokens] = np.searchsorted(words, END[0])
+        keys, self.entry_of = np.unique(before * len(words) + self.tokens, return_inverse=True)
         context, word = keys // len(words), keys % len(words)
+        self.context_of, self.word_of = context.astype(np.int32), word.astype(np.int32)
+        del before, keys
         use = np.flatnonzero((self.ids[context] > 0) & (self.ids[word] > 0))
         self.context, self.word = self.ids[context[use]], self.ids[word[use]]
         self.of_context = self.counts[context[use]]
@@ -169,7 +171,7 @@ class _Pairs:
         self.use = use[order]
         self.context, self.word, self.of_context, self.shard = (x[order] for x in (self.context, self.word, self.of_context, self.shard))
         self.cuts = np.searchsorted(self.shard, np.arange(shards + 1))
-        self.n_entries = len(keys)
+        self.n_entries = len(context)
 
     def training_counts(self, held: np.ndarray) -> np.ndarray:
         return np.bincount(self.entry_of[~np.repeat(held, self.n_tokens)], minlength=self.n_entries)[self.use]
@@ -257,13 +259,13 @@ def _scores(answered: DataFrame, shards: int, n: int, types: int, discount: floa
                 answers = sorted(row["answers"] or [], key=lambda x: x["shard"])
                 if answers:
                     codes[pairs.use] = np.concatenate([np.frombuffer(a["codes"], "<u2") for a in answers])
-                code = codes[pairs.entry_of]
-                together = np.where(code == ABSENT, 0.0, 10.0 ** (-code.astype(float) / STEPS))
-                rest = 1 - bigram_weight(c[pairs.before])
-                terms = np.log10(together + rest * alone[pairs.tokens])
-                base = np.log10((c[pairs.tokens] + 1) / (n + types + 1))
+                # Terms are worked out once for each different bigram or word, then gathered.
+                together = np.where(codes == ABSENT, 0.0, 10.0 ** (-codes.astype(float) / STEPS))
+                rest = 1 - bigram_weight(c)
+                terms = np.log10(together + rest[pairs.context_of] * alone[pairs.word_of])
+                base = np.log10((c + 1) / (n + types + 1))
                 starts = pairs.stops - pairs.n_tokens
-                sums = [np.add.reduceat(x, starts) for x in (base, terms, (c[pairs.tokens] > 0).astype(np.int64))]
+                sums = [np.add.reduceat(x[at], starts) for x, at in ((base, pairs.tokens), (terms, pairs.entry_of), ((c > 0).astype(np.int64), pairs.tokens))]
                 yield pa.record_batch(
                     [
                         pa.array(row["doc_id"], pa.int64()),
