@@ -148,8 +148,10 @@ def find_phrases(
     checked = texts.join(to_check, "row_key").withColumn("w", F.transform(words(F.col("text")), lowered))
 
     def confirmed(p: Column) -> Column:
+        # A window must lie within the item and within the document: slice() cuts short at either end.
+        first, last = F.greatest(p["low"], -p["d"]), F.least(p["high"], F.size("w") - p["d"] - p["n"])
         right = F.filter(
-            F.sequence(F.greatest(p["low"], -p["d"]), F.greatest(p["high"], -p["d"])),
+            F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>")),
             lambda s: F.slice("w", p["d"] + s + 1, p["n"]) == F.slice(p["terms"], s + 1, p["n"]),
         )
         return F.transform(right, lambda s: F.struct((p["d"] + s).alias("start"), (p["d"] + s + p["n"]).alias("end"), p["item"].alias("item")))

@@ -48,6 +48,17 @@ def test_nothing(spark):
     assert len(clean) == len(docs) and not any(r.contaminated for r in clean)
 
 
+def test_end_of_an_item_is_no_window(spark):
+    words = [f"v{k}" for k in range(14)]
+    items = [(1, " ".join(words)), (2, "one two")]
+    texts = [" ".join(words[-7:]), " ".join(words[:7]), " ".join(words[-10:]), "x " + " ".join(words[-7:]), " ".join(words[-7:]) + " x", "two", *(" ".join(words[-k:]) for k in range(1, 13))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontam.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {i: (n, len(hit)) for i, t in enumerate(texts) for n, hit, _ in [contaminated(t, items)]}
+    assert {r.doc_id: (r.n_words, r.n_hit) for r in got} == want
+    assert want[0] == (7, 0) and want[2] == (10, 10)
+
+
 def test_filter_never_stops_a_right_key(spark):
     keys = spark.range(3000).select(F.xxhash64("id").alias("h"))
     bits = decontam.fixed_filter(keys, "h")
