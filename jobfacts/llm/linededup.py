@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,12 +18,21 @@ def lines_of(text) -> object:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x))
 
 
+def by_turn(earlier: list[int], a: int, b: int, later: list[int], c: int, d: int) -> list[tuple[int, int]]:
+    """Pairs of the k-th occurrences of equal lines in earlier[a:b] and later[c:d], in the order of the later."""
+    places = defaultdict(deque)
+    for i in range(a, b):
+        places[earlier[i]].append(i)
+    return [(places[later[j]].popleft(), j) for j in range(c, d) if places.get(later[j])]
+
+
 def patience(earlier: list[int], later: list[int]) -> list[tuple[int, int]]:
     """Aligned equal lines (place in the earlier, place in the later), both rising, by patience diff.
 
     Between two places, lines that occur once on each side are matched and the longest rising chain of them is kept;
     the stretches between go through the same again, and runs of equal lines at both ends of a stretch are aligned
-    first. A stretch without such lines is left.
+    first. In a stretch without such lines the first occurrences of a line on both sides are matched, then the second
+    ones, and so on, so no stretch that is left has a line in common.
     """
     out: list[tuple[int, int]] = []
     todo = [(0, len(earlier), 0, len(later))]
@@ -40,6 +49,8 @@ def patience(earlier: list[int], later: list[int]) -> list[tuple[int, int]]:
         left, right = Counter(earlier[a:b]), Counter(later[c:d])
         place = {x: i for i, x in enumerate(earlier[a:b], a) if left[x] == 1 and right[x] == 1}
         pairs = [(place[x], j) for j, x in enumerate(later[c:d], c) if x in place]
+        if not pairs:
+            pairs = by_turn(earlier, a, b, later, c, d)
         if not pairs:
             continue
         tops: list[int] = []
@@ -60,17 +71,40 @@ def patience(earlier: list[int], later: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def place_keys(lines: list[int], rare: set[int]) -> list[set[int]]:
+    """For each place what names it in its surroundings: a rare line itself, any other the lines from the next rare one on either side to it."""
+    out: list[set[int]] = [set() for _ in lines]
+    for side, order in enumerate((range(len(lines)), range(len(lines) - 1, -1, -1))):
+        held = None
+        for j in order:
+            if lines[j] in rare:
+                held = lines[j]
+            elif held is not None:
+                held = hash((side, held, lines[j]))
+            if held is not None:
+                out[j].add(held)
+    return out
+
+
 def common_blocks(earlier: list[int], later: list[int], rare: set[int]) -> list[int]:
-    """Places in `later` of aligned lines that stand in an unbroken block with a rare line in it."""
+    """Places in `later` of aligned lines that stand in an unbroken block with a rare line in it, and of further copies.
+
+    A further copy is a rare line of such a block that stands in `later` once more, with as much of the block as stands
+    around it there.
+    """
     gone: list[int] = []
+    owned: set[int] = set()
     block: list[tuple[int, int]] = []
     for pair in [*patience(earlier, later), (-9, -9)]:
         if block and pair != (block[-1][0] + 1, block[-1][1] + 1):
             if any(later[j] in rare for _, j in block):
                 gone += [j for _, j in block]
+                owned.update(*place_keys([later[j] for _, j in block], rare))
             block = []
         block.append(pair)
-    return gone
+    if len(gone) in (0, len(later)):
+        return gone
+    return sorted({*gone, *(j for j, keys in enumerate(place_keys(later, rare)) if keys & owned)})
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

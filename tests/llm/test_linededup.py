@@ -80,3 +80,19 @@ def test_alignment_rises_and_is_equal(a, b):
     assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
     if len(set(a)) == len(a) and a == b:
         assert len(got) == len(a) == sum(m.size for m in SequenceMatcher(None, a, b).get_matching_blocks())
+
+
+def test_repeated_passages_align():
+    a, b, x, y = 101, 102, 1, 2
+    rare = {a, b}
+    assert linededup.common_blocks([x, a, b, y], [7, a, b, 8, a, b, 9], rare) == [1, 2, 4, 5]
+    assert linededup.common_blocks([7, a, b, 8, a, b, 9], [x, a, b, y], rare) == [1, 2]
+    assert linededup.common_blocks([7, a, b, 8, a, b, 9], [5, a, b, 6, a, b, 4, a, b, 3], rare) == [1, 2, 4, 5, 7, 8]
+    assert linededup.common_blocks([7, a, 3, b, 8], [5, a, 3, b, 6, a, 3, 9, 3, 3, b], rare) == [1, 2, 3, 5, 6, 9, 10]
+    assert linededup.common_blocks([7, 3, 8], [3, 9, 3], rare) == []
+
+
+@given(st.lists(st.integers(0, 4), max_size=25), st.lists(st.integers(0, 4), max_size=25))
+def test_no_common_line_is_left_between_aligned_ones(a, b):
+    got = [(-1, -1), *linededup.patience(a, b), (len(a), len(b))]
+    assert all(not set(a[i + 1 : m]) & set(b[j + 1 : n]) for (i, j), (m, n) in zip(got, got[1:]))
