@@ -107,16 +107,14 @@ def common_blocks(earlier: list[int], later: list[int], rare: set[int]) -> list[
     return sorted({*gone, *(j for j, keys in enumerate(place_keys(later, rare)) if keys & owned)})
 
 
-def repeated_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, owner, places: lines (from 0) of a document that stand aligned in the earlier document `owner`.
+#: How many times as many earlier sharers of a line the next turn tries as the turn before.
+MORE = 16
 
-    A line of at least `min_words` words that occurs in more than one document belongs to the one of smallest id, its
-    owner; documents overlap where one has a line of the other's. So a line that n documents share makes n - 1 pairs,
-    however common it is, and each pair is aligned by patience diff on hashes of all lines; blocks of aligned lines with
-    such a line in them are reported for the later document.
-    """
+
+def _hashed(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, hashes of all lines, long (the different hashes of those of min_words words)."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), lines_of(F.col(text_col)).alias("lines")).filter("doc_id IS NOT NULL")
-    hashed = written(
+    return written(
         narrow.select(
             "doc_id",
             F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"),
@@ -124,9 +122,10 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id",
         ).dropDuplicates(["doc_id"]),
         "line-hashes",
     )
-    each = hashed.select("doc_id", F.explode("long").alias("line"))
-    owners = each.groupBy("line").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).filter("n > 1")
-    pairs = each.join(apart(owners, "line"), "line").filter("doc_id > owner").groupBy("doc_id", "owner").agg(F.collect_set("line").alias("rare"))
+
+
+def _aligned(pairs: DataFrame, hashed: DataFrame) -> DataFrame:
+    """doc_id, owner, places that go from each of `pairs` (doc_id, owner, rare)."""
     later = pairs.join(hashed.select("doc_id", F.col("hashes").alias("later")), "doc_id")
     both = later.join(hashed.select(F.col("doc_id").alias("owner"), F.col("hashes").alias("earlier")), "owner")
 
@@ -145,15 +144,95 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id",
     return mapped(both.select("doc_id", "owner", "earlier", "later", "rare"), run, "doc_id long, owner long, places array<int>")
 
 
-def without_repeated_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, owner, places: lines (from 0) of a document that stand aligned in the earlier document `owner`.
+
+    A line of at least `min_words` words that occurs in more than one document belongs to the one of smallest id, its
+    owner; documents overlap where one has a line of the other's. So a line that n documents share makes n - 1 pairs,
+    however common it is, and each pair is aligned by patience diff on hashes of all lines; blocks of aligned lines with
+    such a line in them are reported for the later document. What only another earlier document aligns is left; see
+    `lines_repeated_anywhere`.
+    """
+    hashed = _hashed(docs, min_words, id_col, text_col)
+    each = hashed.select("doc_id", F.explode("long").alias("line"))
+    owners = each.groupBy("line").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).filter("n > 1")
+    pairs = each.join(apart(owners, "line"), "line").filter("doc_id > owner").groupBy("doc_id", "owner").agg(F.collect_set("line").alias("rare"))
+    return _aligned(pairs, hashed)
+
+
+def _keys(hashed: DataFrame) -> DataFrame:
+    """doc_id, key: the different `place_keys` of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                doc_id, lines, long = (batch.column(c)[row].as_py() for c in ("doc_id", "hashes", "long"))
+                keys = list(set().union(*place_keys(lines, set(long))))
+                yield pa.record_batch([pa.array([doc_id] * len(keys), pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "key"])
+
+    return mapped(hashed.filter(F.size("long") > 0), run, "doc_id long, key long")
+
+
+def _left(wanted: DataFrame, found: DataFrame, hashed: DataFrame) -> DataFrame:
+    """doc_id, key: those of `wanted` (doc_id, keys) that name a place which is not among the found ones."""
+    gone = found.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("gone"))
+    rows = wanted.join(gone, "doc_id", "left").join(hashed, "doc_id").select("doc_id", "keys", "gone", "hashes", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                doc_id, keys, gone, lines, long = (batch.column(c)[row].as_py() for c in ("doc_id", "keys", "gone", "hashes", "long"))
+                out = set(gone or ())
+                at = set().union(*(k for j, k in enumerate(place_keys(lines, set(long))) if j not in out))
+                keys = list(at.intersection(keys))
+                yield pa.record_batch([pa.array([doc_id] * len(keys), pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "key"])
+
+    return mapped(rows, run, "doc_id long, key long")
+
+
+def lines_repeated_anywhere(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, owner, places like `repeated_lines`, with all lines that alignment with any earlier document finds.
+
+    The places over all owners are those of aligning every pair of documents that share a line of `min_words` words.
+    A pair can only add a place if both documents have its key (`place_keys`). So each document is aligned with the
+    first owners of its keys; for the places that stay, with other earlier sharers of their keys, about `MORE` of them,
+    then `MORE` times as many each turn, until no place or no sharer is left. Which partners come in which turn is
+    decided by hashes of their ids; a document whose lines were all found before is not tried and not an owner.
+    """
+    hashed = _hashed(docs, min_words, id_col, text_col)
+    keys = _keys(hashed)
+    owners = keys.groupBy("key").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).filter("n > 1")
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) * F.col("n")
+    turn = F.when(F.col("doc_id") == F.col("owner"), 0).otherwise(F.ceil(F.log(float(MORE), F.greatest(share, F.lit(1.5)))).cast("int"))
+    shared = written(keys.join(apart(owners, "key"), "key").select("doc_id", "key", "owner", turn.alias("turn")), "shared-keys")
+    later = shared.filter("doc_id > owner")
+    long = hashed.select("doc_id", F.col("long").alias("rare"))
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        return written(_aligned(pairs.join(long, "doc_id"), hashed), "aligned")
+
+    found = aligned(later.select("doc_id", "owner").distinct())
+    last = shared.agg(F.max("turn")).first()[0] or 0
+    todo = later
+    for t in range(1, last + 1):
+        todo = written(_left(todo.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), found, hashed), "left-keys")
+        if todo.isEmpty():
+            break
+        sharers = shared.filter(F.col("turn") == t).select("key", F.col("doc_id").alias("owner"))
+        pairs = todo.join(sharers, "key").filter("owner < doc_id").select("doc_id", "owner").distinct()
+        found = found.unionByName(aligned(pairs))
+    return found
+
+
+def without_repeated_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", find=repeated_lines) -> DataFrame:
     """One row per row of `docs`: doc_id, text (what is left), n_lines, n_removed, removed (places), owners.
 
-    Blocks that `repeated_lines` finds are deleted from the later document; the first document with a line always
+    Blocks that `find` (`repeated_lines` or `lines_repeated_anywhere`) finds are deleted from the later document; the first document with a line always
     keeps it. All alignments use the texts as they came, so the order of pairs doesn't matter. A null text stays null
     and has no lines, an empty one has one empty line; a document with a null id neither owns nor loses lines. Rows that repeat an
     id share the alignment of one of them, so ids are meant to be unique. Other columns are ignored.
     """
-    found = repeated_lines(docs, min_words, id_col, text_col)
+    found = find(docs, min_words, id_col, text_col)
     gone = found.groupBy("doc_id").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("removed"), F.array_sort(F.collect_set("owner")).alias("owners")
     )

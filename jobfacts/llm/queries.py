@@ -55,7 +55,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = linededup.without_repeated_lines(table(spark, sf_dir, "documents"))
+    rows = linededup.without_repeated_lines(table(spark, sf_dir, "documents"), find=linededup.lines_repeated_anywhere)
     return rows.select("doc_id", "n_lines", "n_removed", "owners", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 from difflib import SequenceMatcher
 
@@ -96,3 +97,20 @@ def test_repeated_passages_align():
 def test_no_common_line_is_left_between_aligned_ones(a, b):
     got = [(-1, -1), *linededup.patience(a, b), (len(a), len(b))]
     assert all(not set(a[i + 1 : m]) & set(b[j + 1 : n]) for (i, j), (m, n) in zip(got, got[1:]))
+
+
+def test_anywhere_is_all_pairs(spark):
+    rng = random.Random(3)
+    texts = [*TEXTS, *("\n".join(rng.choice([*LONG[:8], "end", "mid", ""]) for _ in range(rng.randrange(1, 12))) for _ in range(90))]
+    lines = [[x.strip(" ") for x in (t or "").split("\n")] for t in texts]
+    long = [{x for x in held if len(x.split()) >= 5} for held in lines]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in linededup.without_repeated_lines(df, find=linededup.lines_repeated_anywhere).collect()}
+    by_owner = {r.doc_id: r.removed for r in linededup.without_repeated_lines(df).collect()}
+    for i in range(len(texts)):
+        want = set()
+        for o in range(i):
+            if long[i] & long[o]:
+                want |= set(linededup.common_blocks(lines[o], lines[i], long[i] & long[o]))
+        assert got[i].removed == sorted(want)
+    assert sum(len(x) for x in by_owner.values()) < sum(r.n_removed for r in got.values())
