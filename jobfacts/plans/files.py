@@ -5,7 +5,7 @@ Each query writes below the shared folder and reads with the package's own reade
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobfacts.operators import batch, filters, normalize, prep, resources, scripts
@@ -14,8 +14,17 @@ from jobfacts.session import shared_folder
 from jobfacts.sources import readers, sinks
 
 
+#: About as many rows as one written answer holds at most.
+PER_ANSWER = 5000
+
+
+def _page(rows: DataFrame, *columns: str) -> Column:
+    """A page number of each row by hash of the columns, in pages of about PER_ANSWER rows however many rows there are."""
+    return F.pmod(F.xxhash64(*columns), F.lit(-(-rows.count() // PER_ANSWER) or 1))
+
+
 def slurm_jobs(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
-    """The Slurm dump as JSON files: one job per line, or one answer per partition name.
+    """The Slurm dump as JSON files: one job per line, or answers of one partition name each, in pages.
 
     Every third number is written bare and every fifth as text, as older dumps have them.
     """
@@ -36,7 +45,7 @@ def slurm_jobs(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
     if layout == "lines":
         lines.select("value").write.text(folder)
     else:
-        answers = lines.groupBy("partition").agg(F.concat_ws(",", F.collect_list("value")).alias("jobs"))
+        answers = lines.groupBy("partition", _page(lines, "value")).agg(F.concat_ws(",", F.collect_list("value")).alias("jobs"))
         answer = F.concat(F.lit('{"jobs":['), "jobs", F.lit("]}"))
         answers.select(answer.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
     return readers.read_slurm_jobs(spark, folder, layout)
@@ -73,11 +82,11 @@ def partition_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def minicluster_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """List answers of one namespace each, checked like the specs themselves."""
+    """List answers of one namespace each, in pages, checked like the specs themselves."""
     folder = shared_folder(spark, "miniclusters")
     specs = views.minicluster_specs(spark, sf_dir)
     item = F.struct(F.struct("name", "namespace").alias("metadata"), "spec")
-    answers = specs.groupBy("namespace").agg(F.collect_list(item).alias("items")).select("items")
+    answers = specs.groupBy("namespace", _page(specs, "namespace", "name")).agg(F.collect_list(item).alias("items")).select("items")
     answers.write.option("maxRecordsPerFile", 1).json(folder)
     return filters.check_miniclusters(readers.read_miniclusters(spark, folder))
 
