@@ -6,8 +6,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobfacts.llm import decontam, exact, langid, lengths, linededup, neardup, ngram, packing, sharding, warc
-from jobfacts.llm.common import table
+from jobfacts.llm import (
+    centroids,
+    decontam,
+    exact,
+    langid,
+    lengths,
+    linededup,
+    mixing,
+    neardup,
+    ngram,
+    packing,
+    prefixtrie,
+    sharding,
+    twins,
+    warc,
+)
+from jobfacts.llm.common import table, written
 
 LIMIT, END_ID, SHARDS = 2048, 1, 40
 
@@ -84,6 +99,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_owners(table(spark, sf_dir, "documents"), largest=True)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mixture(table(spark, sf_dir, "documents"), (3, 1, 2), share=1.5, limit=2.0, carry=["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = centroids.clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed=3)
+    return rows.withColumn("centroid_sha256", F.sha2(F.array_join("centroid", ","), 256)).drop("centroid")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = written(prefixtrie.sequences(table(spark, sf_dir, "conversations")), "conversations")
+    head = (F.crc32(F.col("conv_id").cast("string")) % 6).cast("int")
+    base = F.col("conv_id") - F.col("conv_id") % 100
+    return prefixtrie.prefix_trie(prefixtrie.rebuilt(convs, head, base, 5)).drop("name")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
@@ -95,6 +127,9 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_mixing": op11_mixing,
+    "op12_centroids": op12_centroids,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE = {
@@ -149,4 +184,7 @@ ORACLE = {
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(text) AS text_sha256
         FROM d JOIN g USING (text)""",
+    "op11_mixing": twins.MIXING,
+    "op12_centroids": twins.centroids(10),
+    "op13_prefix_trie": twins.PREFIX_TRIE,
 }
