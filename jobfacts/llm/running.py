@@ -44,9 +44,9 @@ def running_sums(rows: DataFrame, group: Column, order: list[Column], amount: Co
             amounts = batch.column(batch.schema.get_field_index(AMOUNT)).to_numpy()
             until = np.cumsum(amounts) - amounts
             starts = np.flatnonzero(new)
-            base = np.where(len(starts), until[starts[np.maximum(np.cumsum(new) - 1, 0)]] if len(starts) else 0, 0)
-            first = int(starts[0]) if len(starts) else len(new)
-            base[:first] = -carry
+            base = np.full(len(new), -carry)  # up to the first new group what was carried over goes on
+            if len(starts):
+                base[starts[0] :] = np.repeat(until[starts], np.diff(np.append(starts, len(new))))
             before = (until - base) % modulus
             held = (batch.column(batch.schema.get_field_index(GROUP))[-1].as_py(),)
             carry = int(before[-1] + amounts[-1]) % modulus

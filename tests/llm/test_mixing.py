@@ -79,7 +79,8 @@ def test_nothing(nothing, docs):
 def test_sums_run_over_ranges_and_groups(spark):
     from jobfacts.llm.running import running_sums
 
-    rows = [(i % 5 if i % 5 else None, i, i * 37 % 11) for i in range(3000)]
+    rows = [(i % 5 if i % 5 else None, i, i * 37 % 11) for i in range(3000)] + [(9, i, i % 7) for i in range(3000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")  # a group goes on over whole batches
     df = spark.createDataFrame(rows, "g long, i long, n long")
     order = [F.col("g").asc_nulls_first(), F.col("i")]
     out = running_sums(df, F.col("g"), order, F.col("n"), 1000)
@@ -87,4 +88,7 @@ def test_sums_run_over_ranges_and_groups(spark):
     for g, i, n in rows:
         want.add((g, i, sums[g] % 1000))
         sums[g] += n
-    assert {(r.g, r.i, r.before) for r in out.collect()} == want
+    try:
+        assert {(r.g, r.i, r.before) for r in out.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
