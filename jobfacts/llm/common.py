@@ -74,14 +74,14 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
-def small(batches: Iterator[pa.RecordBatch], name: str, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `size` bytes of column `name`, one row at least."""
+def small(batches: Iterator[pa.RecordBatch], name: str, size: int = BATCH_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `size` bytes of column `name`, one row at least and `rows` at most."""
     for batch in batches:
         if not batch.num_rows:
             continue
         at = raw(batch.column(name))[1]
         begin = 0
         while begin < batch.num_rows:
-            end = max(begin + 1, int(np.searchsorted(at, at[begin] + size, "right")) - 1)
+            end = min(begin + rows, max(begin + 1, int(np.searchsorted(at, at[begin] + size, "right")) - 1))
             yield batch.slice(begin, end - begin)
             begin = end

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobfacts.llm.common import mapped, raw, small
 
@@ -28,7 +29,7 @@ UNKNOWN = "und"
 #: Hashed pairs and triples of bytes are counted in so many cells.
 PAIRS, TRIPLES = 1024, 3072
 CELLS = PAIRS + TRIPLES
-_BATCH = 2 << 20
+_BATCH, _ROWS = 2 << 20, 512
 
 
 def family_of(lang: str) -> str:
@@ -75,21 +76,25 @@ def lettered(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def train_svm(x: np.ndarray, positive: np.ndarray, c: float = 10.0, rounds: int = 30, seed: int = 7) -> np.ndarray:
-    """Weights and bias (last) of a linear SVM with hinge loss, by dual coordinate descent; classes weigh alike."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+def train_svm(x: np.ndarray, rows: np.ndarray, positive: np.ndarray, c: float = 10.0, rounds: int = 30, seed: int = 7) -> np.ndarray:
+    """Weights and bias (last) of a linear SVM with hinge loss, by dual coordinate descent; classes weigh alike.
+
+    It learns from `rows` of x (16-bit numbers), `positive` or not, and takes them one at a time: nothing is copied.
+    """
     y = np.where(positive, 1.0, -1.0).astype(np.float32)
     share = np.where(positive, positive.mean(), 1 - positive.mean())
     top = c * 0.5 / np.maximum(share, 1e-9)
-    norm = (x * x).sum(1)
-    alpha, w = np.zeros(len(x)), np.zeros(x.shape[1], np.float32)
+    one = np.ones(x.shape[1] + 1, np.float32)
+    alpha, w, norm = np.zeros(len(rows)), np.zeros(x.shape[1] + 1, np.float32), np.zeros(len(rows))
     order = np.random.default_rng(seed)
     for _ in range(rounds):
         moved = 0.0
-        for i in order.permutation(len(x)):
-            new = min(max(alpha[i] - (y[i] * (w @ x[i]) - 1) / norm[i], 0.0), top[i])
+        for i in order.permutation(len(rows)):
+            one[:-1] = x[rows[i]]
+            norm[i] = norm[i] or one @ one
+            new = min(max(alpha[i] - (y[i] * (w @ one) - 1) / norm[i], 0.0), top[i])
             if new != alpha[i]:
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                w += np.float32((new - alpha[i]) * y[i]) * one
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
@@ -100,13 +105,13 @@ def train_svm(x: np.ndarray, positive: np.ndarray, c: float = 10.0, rounds: int
 class OneVersusOne:
     """A linear machine for each pair of classes; most duels won, then the larger sum of margins, decides."""
 
-    def __init__(self, x: np.ndarray, labels: np.ndarray) -> None:
-        self.classes = sorted(set(labels.tolist()))
+    def __init__(self, x: np.ndarray, rows: np.ndarray, labels: np.ndarray) -> None:
+        self.classes = sorted(set(labels[rows].tolist()))
         self.pairs = list(combinations(range(len(self.classes)), 2))
         machines = []
         for a, b in self.pairs:
-            use = (labels == self.classes[a]) | (labels == self.classes[b])
-            machines.append(train_svm(x[use], labels[use] == self.classes[a]))
+            use = rows[(labels[rows] == self.classes[a]) | (labels[rows] == self.classes[b])]
+            machines.append(train_svm(x, use, labels[use] == self.classes[a]))
         self.weights = np.array(machines, np.float32).reshape(len(self.pairs), x.shape[1] + 1)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,8 +138,8 @@ class Hierarchy:
 
     def __init__(self, x: np.ndarray, langs: np.ndarray) -> None:
         of = np.array([family_of(x) for x in langs.tolist()])
-        self.families = OneVersusOne(x, of)
-        self.inside = {name: OneVersusOne(x[of == name], langs[of == name]) for name in self.families.classes}
+        self.families = OneVersusOne(x, np.arange(len(x)), of)
+        self.inside = {name: OneVersusOne(x, np.flatnonzero(of == name), langs) for name in self.families.classes}
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Language and score: the lesser of both steps' least margins through a logistic curve."""
@@ -166,7 +171,7 @@ def fit(labelled: DataFrame, sample_rows: int = 2000, id_col: str = "doc_id", te
         chosen = chosen | ((F.col(lang_col) == lang) & (draw <= min(1 << 30, (each << 30) // n)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "text", _BATCH):
+        for batch in small(batches, "text", _BATCH, _ROWS):
             x = features(batch.column("text")).astype(np.float16)
             yield pa.record_batch([batch.column("lang"), pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "x"])
 
@@ -175,12 +180,13 @@ def fit(labelled: DataFrame, sample_rows: int = 2000, id_col: str = "doc_id", te
     if not sample.num_rows:
         return None
     sample = sample.sort_by([("lang", "ascending"), ("x", "ascending")])
-    x = np.frombuffer(b"".join(sample.column("x").to_pylist()), np.float16).reshape(-1, CELLS).astype(np.float32)
-    return Hierarchy(x, np.array(sample.column("lang").to_pylist(), object))
+    langs = np.array(sample.column("lang").to_pylist(), object)
+    held = raw(sample.column("x").combine_chunks())[0].view(np.float16).reshape(-1, CELLS)
+    return Hierarchy(held, langs)
 
 
 def identify(docs: DataFrame, model: Hierarchy | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, lang_pred, score.
+    """One row per row of `docs`: row (all its columns as a struct), doc_id, lang_pred, score.
 
     Every whole text is reduced to hashed byte pairs and triples, by which the model names the family and then the
     language in it. A null text, one without a letter, and any text without a model is `UNKNOWN` with score 0.
@@ -188,13 +194,17 @@ def identify(docs: DataFrame, model: Hierarchy | None, id_col: str = "doc_id", t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "text", _BATCH):
+        apart = (pa.RecordBatch.from_arrays([b.column(0), b.column(0).flatten()[at], b.column(1)], ["row", "text", "doc_id"]) for b in batches)
+        for batch in small(apart, "text", _BATCH, _ROWS):
             n = batch.num_rows
             lang, score = np.full(n, UNKNOWN, object), np.zeros(n)
             known = np.flatnonzero(lettered(batch.column("text"))) if model is not None else np.empty(0, int)
             if len(known):
                 lang[known], score[known] = model.predict(features(batch.column("text").take(pa.array(known))))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(lang.tolist(), pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+            found = [batch.column("row"), batch.column("doc_id"), pa.array(lang.tolist(), pa.string()), pa.array(score)]
+            yield pa.record_batch(found, names=["row", "doc_id", "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return mapped(rows, run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+    at = docs.columns.index(text_col)
+    kinds = [T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"))
+    return mapped(rows, run, T.StructType([T.StructField("row", docs.schema), *kinds]))

@@ -20,15 +20,20 @@ BUCKET_BLOCK, FAMILY_BLOCK = 2048, 600_000
 #: Standard deviations below the wanted similarity at which an estimate still counts as possible.
 DOUBT = 5.0
 
-SKETCHES = "doc_id long, n_shingles long, set_a long, set_b long, registers binary"
+SKETCHES = "doc_id long, mark binary, n_shingles long, set_a long, set_b long, registers binary"
 _SKETCHES = pa.schema(
-    [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("registers", pa.binary())]
+    [("doc_id", pa.int64()), ("mark", pa.binary()), *[(c, pa.int64()) for c in ("n_shingles", "set_a", "set_b")], ("registers", pa.binary())]
 )
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    mark = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), mark.alias("mark"), F.col(text_col).alias("text"))
+
+
 def sketches(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`SKETCHES` for every row: registers of the set of its shingles, and a 128-bit name of that set."""
+    """`SKETCHES` for every row: a digest of its text, registers of the set of its shingles, and a 128-bit name of that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, "text"):
@@ -37,10 +42,10 @@ def sketches(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: s
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets ^ np.uint64(c)), dtype=np.uint64)]) for c in (1, 2)]
                 names = [(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums]
             registers = setsketch.sketch(sets, at)
-            columns = [batch.column("doc_id"), pa.array(np.diff(at)), *map(pa.array, names), pa.array([r.tobytes() for r in registers], pa.binary())]
+            columns = [batch.column("doc_id"), batch.column("mark"), pa.array(np.diff(at)), *map(pa.array, names), pa.array([r.tobytes() for r in registers], pa.binary())]
             yield pa.record_batch(columns, schema=_SKETCHES)
 
-    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SKETCHES)
+    return mapped(_texts(docs, id_col, text_col), run, SKETCHES)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -48,21 +53,21 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _bands(sets: DataFrame) -> DataFrame:
-    """key, doc_id: a row for each band of each set."""
+    """key, node: a row for each band of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 keys = setsketch.band_keys(_matrix(batch.column("registers")))
-                ids = np.repeat(np.array(batch.column("doc_id")), setsketch.BANDS)
-                yield pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "doc_id"])
+                ids = np.repeat(np.array(batch.column("node")), setsketch.BANDS)
+                yield pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "node"])
 
-    return mapped(sets.select("doc_id", "registers"), run, "key long, doc_id long")
+    return mapped(sets.select("node", "registers"), run, "key long, node long")
 
 
 def _blocked(rows: DataFrame, group: str, blocks: str) -> DataFrame:
     """Rows of a group of several blocks once for each pair of blocks that theirs is in (i <= j, `side` is their own)."""
-    own = F.pmod(F.xxhash64("doc_id"), F.col(blocks)).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
     each = rows.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1)))
     each = each.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other", blocks)
     return each.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
@@ -127,7 +132,7 @@ def _families(sets: DataFrame, share: float) -> DataFrame:
     bands = _bands(sets)
     sizes = bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     shared = bands.join(apart(sizes, "key"), "key").withColumn("blocks", F.ceil(F.col("size") / BUCKET_BLOCK)).drop("size")
-    rows = shared.join(sets.select("doc_id", "n_shingles", "registers"), "doc_id")
+    rows = shared.join(sets.select("node", "n_shingles", "registers"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
@@ -144,7 +149,7 @@ def _families(sets: DataFrame, share: float) -> DataFrame:
         out: list[tuple[int, int]] = []
         for table in _groups(batches, ["key", "i", "j"]):
             forest = _Forest(table.num_rows)
-            out += _joined(np.array(table.column("doc_id")), forest, pairs(table))
+            out += _joined(np.array(table.column("node")), forest, pairs(table))
             if len(out) > 100_000:
                 yield _links(out)
                 out = []
@@ -174,19 +179,21 @@ def _shared_bits(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _confirmed(docs: DataFrame, sets: DataFrame, share: int, size: int, id_col: str, text_col: str) -> DataFrame:
     """a, b: pairs with 100 * intersection >= share * union, as many as join what they join."""
     families = written(components(written(_families(sets, share / 100), "family-links")), "families")
-    members = families.union(families.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("doc_id"), "root")
-    known = members.join(sets.select("doc_id", "n_shingles", "registers"), "doc_id")
+    members = families.union(families.select(F.col("root").alias("node"), "root").distinct())
+    known = written(members.join(sets, "node").select("node", "root", "n_shingles", "registers", "one"), "family-members")
     totals = known.groupBy("root").agg(F.ceil(F.sum("n_shingles") / FAMILY_BLOCK).alias("blocks"))
     known = known.join(totals, "root")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = texts.filter(passes(fixed_filter(members.select(F.xxhash64("doc_id").alias("h")), "h"), F.xxhash64("doc_id")))
-    rows = known.join(texts.dropDuplicates(["doc_id"]), "doc_id")
+    texts = _texts(docs, id_col, text_col)
+    texts = texts.filter(passes(fixed_filter(known.select(F.xxhash64("one").alias("h")), "h"), F.xxhash64(F.struct("doc_id", "mark"))))
+    texts = texts.dropDuplicates(["doc_id", "mark"])
+    same = known["one"]["doc_id"].eqNullSafe(texts["doc_id"]) & (known["one"]["mark"] == texts["mark"])
+    rows = known.join(texts, same).select("node", "root", "n_shingles", "registers", "blocks", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for table in _groups(small(batches, "text"), ["root", "i", "j"]):
             regs = _matrix(table.column("registers").chunk(0))
-            n, side, ids = (np.array(table.column(c)) for c in ("n_shingles", "side", "doc_id"))
+            n, side, ids = (np.array(table.column(c)) for c in ("n_shingles", "side", "node"))
             bits = _shared_bits(*shingles(*word_hashes(table.column("text").chunk(0)), size))
             forest = _Forest(len(n))
 
@@ -206,10 +213,11 @@ def _confirmed(docs: DataFrame, sets: DataFrame, share: int, size: int, id_col:
 def near_duplicates(
     docs: DataFrame, share: int = 85, size: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
+    """One row per row of `docs`: doc_id, n_shingles, component_id, kept, component, mark.
 
     Two documents are linked when their sets of `size`-word shingles meet 100 * intersection >= `share` * union; a
-    component is what links reach, named by its smallest doc_id, and kept marks that one.
+    component is what links reach, named by its smallest doc_id, and kept marks that one. component numbers the
+    components (null without shingles) and mark is the MD5 of the text, for callers whose ids repeat.
 
     Equal sets go on as one. Sets of whole texts become SetSketch registers; the bands of registers make buckets. In a
     bucket, the joint estimate (likelihood of registers above, below and equal, given both sizes) says which sets may
@@ -218,20 +226,31 @@ def near_duplicates(
     pairs as join its members. A pair at the wanted similarity shares no band in under 1 of 10^8 cases.
 
     With fewer words than `size` the whole sequence is the one shingle; null, empty and wordless texts have n_shingles
-    0 and are linked with nothing. Null ids get the component of their set when another row of it has an id, else
-    null. Repeated rows are members like any other (each row of the kept id is kept). Other columns are ignored.
+    0 and are linked with nothing. Texts are what is linked, not ids: rows that share an id, or have none, are members
+    like any other, and a component without any id has the name null. Of a component every row with its smallest id
+    is kept. Other columns are ignored.
     """
     every = written(sketches(docs, size, id_col, text_col), "sketches")
     full = every.filter("n_shingles > 0")
     groups = full.groupBy("set_a", "set_b").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")
+        F.min("doc_id").alias("doc_id"),
+        F.first(F.struct("doc_id", "mark")).alias("one"),  # a row to take the text from
+        F.first("n_shingles").alias("n_shingles"),
+        F.first("registers").alias("registers"),
     )
-    sets = written(groups.filter("doc_id IS NOT NULL"), "sets")
+    sets = written(groups.withColumn("node", F.monotonically_increasing_id()), "sets")
     links = written(_confirmed(docs, sets, share, size, id_col, text_col), "confirmed")
     roots = components(links)
-    named = sets.join(roots, sets["doc_id"] == roots["node"], "left").select(
-        "set_a", "set_b", F.coalesce("root", "doc_id").alias("component")
+    linked = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    linked = written(linked.join(sets.select("node", "doc_id"), "node"), "linked")
+    least = linked.groupBy("root").agg(F.min("doc_id").alias("least"))
+    linked = linked.join(apart(least, "root"), "root").select(F.col("node").alias("at"), "root", "least")
+    alone = F.col("root").isNull()
+    named = sets.join(linked, sets["node"] == linked["at"], "left").select(
+        "set_a", "set_b", F.coalesce("root", "node").alias("component"), F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("name")
     )
     own = every.join(named, (every["set_a"] == named["set_a"]) & (every["set_b"] == named["set_b"]) & (every["n_shingles"] > 0), "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return own.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    component = F.when(F.col("n_shingles") > 0, F.col("name")).otherwise(F.col("doc_id"))
+    return own.select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "component", "mark"
+    )

@@ -55,12 +55,13 @@ def held_out(part: int) -> Column:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = langid.identify(docs, langid.fit(docs.filter(~held_out(4))))
+    rows = langid.identify(docs.select("doc_id", "text"), langid.fit(docs.filter(~held_out(4))))
     return rows.select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), 85, 5)
+    rows = neardup.near_duplicates(table(spark, sf_dir, "documents"), 85, 5)
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

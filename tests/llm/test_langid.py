@@ -36,6 +36,16 @@ def test_held_out_accuracy_of_the_query(spark, sf):
     assert rows and sum(r.lang == r.lang_pred for r in rows) > 0.95 * len(rows)
 
 
+def test_held_out_accuracy_at_two_sample_sizes(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    right = []
+    for size in (200, 800):
+        model = langid.fit(docs.filter(~queries.held_out(4)), size)
+        got = langid.identify(docs, model).filter(queries.held_out(4)).filter("lang_pred <> 'und'").collect()
+        right.append(sum(r.row.lang == r.lang_pred for r in got) / len(got))
+    assert right[0] > 0.95 and right[1] > 0.98, right
+
+
 def test_no_letter_is_unknown(docs, texts, spoken, nothing):
     model = langid.fit(spoken)
     rows = langid.identify(docs, model).join(docs.select("doc_id", F.col("text").alias("t")), "doc_id").collect()

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -24,6 +26,27 @@ def test_blocks_change_nothing(docs, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is not None} == want
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    words = [f"w{i}" for i in range(40)]
+
+    def text(*more):
+        return " ".join([*more, *words])
+
+    # 1 - 2 - 3 - 4 hold together by two texts of id 2; a text without an id joins 5 and 6
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, text()), (2, text("x")), (2, other), (3, other + " y"), (4, text("z"))]
+    a = " ".join(f"u{i}" for i in range(60))
+    bridge = a + " e1 e2 e3 e4 e5"
+    rows += [(5, a), (None, bridge), (6, bridge + " f1 f2 f3 f4 f5"), (None, "some words that no other text has at all")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    of = {bytes(r.mark): r for r in got}
+    assert len(of) == len(rows)
+    at = [of[hashlib.md5(t.encode()).digest()] for _, t in rows]
+    assert [r.component_id for r in at] == [1, 1, 2, 2, 1, 5, 5, 5, None]
+    assert [r.kept for r in at] == [True, False, True, False, False, True, False, False, True]
+    assert len({r.component for r in at}) == 4
+
+
 def test_nothing(nothing):
     assert neardup.near_duplicates(nothing).collect() == []
 

@@ -11,7 +11,6 @@ from jobfacts.llm import lengths, packing, queries, tokens
 @pytest.fixture(scope="module")
 def library():
     out = Tokenizer.from_file(queries.vocabulary())
-    out.encode_special_tokens = True
     return lambda t: out.encode(t, add_special_tokens=False).ids
 
 
@@ -24,6 +23,16 @@ def test_ids_are_those_of_the_library(texts, library, monkeypatch):
         assert encode.ids(t or "").tolist() == library(t or "")
 
 
+def test_strings_of_added_tokens_are_tokens(library):
+    encode = tokens.encoder(queries.vocabulary())
+    end = "<|endoftext|>"
+    for t in (end, end + end, f"hello {end} world", f"{end}a", f"a{end}", f" {end} ", f"x{end}\n{end}  y", "<|endoftext", f"<{end}>", f"é{end}é."):
+        assert encode.ids(t).tolist() == library(t)
+        ids = encode.ids(t)
+        assert encode.n_bytes[ids].sum() == len(t.encode())
+    assert encode.ids(f"hello {end} world").tolist() == [31373, 220, 50256, 995]
+
+
 def whole(docs, pieces, library, limit):
     by_doc, by_sequence = {}, {}
     for p in pieces:
