@@ -6,25 +6,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobfacts.llm import decontam, exact, langid, neardup, packing, queries
-from jobfacts.llm.common import table, written
+from jobfacts.llm.common import apart, table, written
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of `docs` whose id is in `kept` (doc_id), a null id too."""
-    same = docs["doc_id"].eqNullSafe(kept["doc_id"])
-    return docs.join(kept.distinct(), same, "left_semi").select(docs.columns)
+def _named(docs: DataFrame, name: str) -> DataFrame:
+    """`docs` with the MD5 of each text."""
+    return docs.withColumn(name, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+
+
+def _free(docs: DataFrame) -> str:
+    """A column name that the documents don't have."""
+    return "row_" + "_".join(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be told: a null text and one without a letter go."""
     model = langid.fit(docs.filter(~queries.held_out(4)))
-    known = langid.identify(docs, model).filter(F.col("lang_pred") != langid.UNKNOWN)
-    return _only(docs, known.select("doc_id"))
+    return langid.identify(docs, model).filter(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id stays, once."""
-    name = "row_" + "_".join(docs.columns)  # no column of the documents
+    name = _free(docs)
 
     def row(digest: Column) -> Column:
         return F.concat(digest, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -35,14 +38,29 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 0.85 or more join, the one with the smallest doc_id stays."""
-    return _only(docs, neardup.near_duplicates(docs, 85, 5).filter("kept").select("doc_id"))
+    """Of documents that links of 0.85 or more join, the one with the smallest doc_id stays.
+
+    Of several with that id the text of the smallest digest stays, and ids count before none.
+    """
+    name = _free(docs)
+
+    def row(mark: Column) -> Column:
+        return F.concat(F.hex(mark), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+
+    found = neardup.near_duplicates(docs, 85, 5).filter("n_shingles > 0").withColumn("row", row(F.col("mark")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row"))
+    stays = found.groupBy("component").agg(first["row"].alias("first"))
+    copies = found.join(apart(stays, "component"), "component").filter("row <> first").select(F.col("row").alias(name)).distinct()
+    marked = _named(docs, name)
+    return marked.withColumn(name, row(F.col(name))).join(copies, name, "left_anti").select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a run of ten words of any benchmark item."""
-    clean = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), 10).filter(~F.col("contaminated"))
-    return _only(docs, clean.select("doc_id"))
+    name = _free(docs)
+    marked = _named(docs, name)
+    found = decontam.contamination(marked, table(spark, sf_dir, "benchmark"), 10, id_col=name).filter("contaminated")
+    return marked.join(found.select(F.col("doc_id").alias(name)).distinct(), name, "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +83,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; every one but the last is written as Parquet and read again.
 
-    doc_id names a document: rows that share one are kept or dropped together, but for equal rows, of which one
+    A row is its id and its text: rows that share an id, or have none, are decided on one by one, and of equal rows one
     stays. Nulls, empty texts, ties and other columns are treated as each stage's operator says.
     """
     docs = table(spark, sf_dir, "documents")
