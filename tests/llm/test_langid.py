@@ -41,8 +41,9 @@ def test_held_out_accuracy_at_two_sample_sizes(spark):
     right = []
     for size in (200, 800):
         model = langid.fit(docs.filter(~queries.held_out(4)), size)
-        got = langid.identify(docs, model).filter(queries.held_out(4)).filter("lang_pred <> 'und'").collect()
-        right.append(sum(r.row.lang == r.lang_pred for r in got) / len(got))
+        known = langid.identify(docs, model).filter(queries.held_out(4)).filter("lang_pred <> 'und'")
+        got = known.join(docs.select("doc_id", "lang"), "doc_id").collect()
+        right.append(sum(r.lang == r.lang_pred for r in got) / len(got))
     assert right[0] > 0.95 and right[1] > 0.98, right
 
 
