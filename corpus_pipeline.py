@@ -14,6 +14,14 @@ def _named(docs: DataFrame, name: str) -> DataFrame:
     return docs.withColumn(name, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
 
 
+def _without(docs: DataFrame, marked: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    """The rows of `marked` whose `name` is not in `dropped`, with the columns of `docs`.
+
+    What goes is written first, so Spark knows its size and sends it to the rows where it is small.
+    """
+    return marked.join(written(dropped.select(name).distinct(), "dropped"), name, "left_anti").select(docs.columns)
+
+
 def _free(docs: DataFrame) -> str:
     """A column name that the documents don't have."""
     return "row_" + "_".join(docs.columns)
@@ -21,8 +29,10 @@ def _free(docs: DataFrame) -> str:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be told: a null text and one without a letter go."""
-    model = langid.fit(docs.filter(~queries.held_out(4)))
-    return langid.identify(docs, model).filter(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
+    name = _free(docs)
+    marked = _named(docs, name)
+    known = langid.identify(marked, langid.fit(docs.filter(~queries.held_out(4))), id_col=name)
+    return _without(docs, marked, known.filter(F.col("lang_pred") == langid.UNKNOWN).withColumnRenamed("doc_id", name), name)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +60,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(docs, 85, 5).filter("n_shingles > 0").withColumn("row", row(F.col("mark")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row"))
     stays = found.groupBy("component").agg(first["row"].alias("first"))
-    copies = found.join(apart(stays, "component"), "component").filter("row <> first").select(F.col("row").alias(name)).distinct()
+    copies = found.join(apart(stays, "component"), "component").filter("row <> first").withColumnRenamed("row", name)
     marked = _named(docs, name)
-    return marked.withColumn(name, row(F.col(name))).join(copies, name, "left_anti").select(docs.columns)
+    return _without(docs, marked.withColumn(name, row(F.col(name))), copies, name)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +70,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     name = _free(docs)
     marked = _named(docs, name)
     found = decontam.contamination(marked, table(spark, sf_dir, "benchmark"), 10, id_col=name).filter("contaminated")
-    return marked.join(found.select(F.col("doc_id").alias(name)).distinct(), name, "left_anti").select(docs.columns)
+    return _without(docs, marked, found.withColumnRenamed("doc_id", name), name)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
