@@ -12,10 +12,15 @@ from jobfacts.streaming import changes, timeouts
 
 
 TRIGGERS, FILES = 4, 2
+#: The user of a last event far in the future, with which every timer runs out.
+LAST = -1
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as they would arrive: `TRIGGERS` stretches of time, `FILES` files each, one stretch a trigger."""
+def _events(spark: SparkSession, sf_dir: str, days: int = 0) -> DataFrame:
+    """The events as they would arrive: `TRIGGERS` stretches of time, `FILES` files each, one stretch a trigger.
+
+    With `days` an event of user `LAST` follows so many days later.
+    """
     folder = shared_folder(spark, "event-files")
     events = views.table(spark, sf_dir, "events")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -25,6 +30,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
         begin = (low or 0) + k * span
         part = events.filter((at >= begin) & (at < begin + span))
         part.repartition(FILES).write.mode("append").parquet(folder)
+    if days:
+        later = {"ts": F.max("ts") + F.expr(f"interval {days} days"), "user_id": F.lit(LAST), "event_type": F.lit("view")}
+        kinds = {f.name: f.dataType for f in events.schema}
+        last = events.agg(*[later.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
+        last.write.mode("append").parquet(folder)
     stream = spark.readStream.schema(schemas.GIVEN["events"])
     return stream.option("maxFilesPerTrigger", FILES).parquet(folder)
 
@@ -35,18 +45,27 @@ def _run(spark: SparkSession, name: str, start) -> str:
     return f"{folder}/out"
 
 
+def _jobs(rows: DataFrame) -> DataFrame:
+    return rows.filter(~F.col("job_id").startswith(f"job-{LAST}-"))
+
+
 def first_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = views.event_status(_events(spark, sf_dir))
-    out = _run(
-        spark, "terminal", lambda path, ckpt: changes.stream_first_terminal(stream, path, ckpt)
-    )
-    return changes.read_first_terminal(spark, out)
+    """Each job's first terminal state, written once."""
+    stream = views.event_status(_events(spark, sf_dir, 10))
+    out = _run(spark, "terminal", lambda path, ckpt: timeouts.stream_ends(stream, path, ckpt))
+    return _jobs(timeouts.read_ends(spark, out))
 
 
 def first_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = views.event_minicluster_status(_events(spark, sf_dir))
-    out = _run(spark, "ready", lambda path, ckpt: changes.stream_first_ready(stream, path, ckpt))
-    return changes.read_first_ready(spark, out)
+    """Readiness of each MiniCluster; those that are never ready time out a year after their first status."""
+    return readiness(spark, sf_dir, 365 * 1440).drop("decided")
+
+
+def readiness(spark: SparkSession, sf_dir: str, minutes: int) -> DataFrame:
+    """Readiness of each MiniCluster within `minutes` of its first status, else Timeout."""
+    stream = views.event_minicluster_status(_events(spark, sf_dir, minutes // 1440 + 10))
+    out = _run(spark, "ready", lambda path, ckpt: timeouts.stream_readiness(stream, path, ckpt, minutes))
+    return timeouts.read_readiness(spark, out).filter(F.col("name") != f"mc-{LAST}")
 
 
 def queue_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,16 +77,7 @@ def queue_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcomes(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
-    """Outcomes of all jobs; a last far-away status lets every open timer run out."""
-    folder = shared_folder(spark, "outcomes")
-    known = views.event_status(views.table(spark, sf_dir, "events"))
-    known.agg(
-        F.lit("heartbeat").alias("job_id"),
-        F.lit("PENDING").alias("state"),
-        (F.max("ts") + F.expr("interval 30 days")).alias("ts"),
-    ).write.parquet(f"{folder}/heartbeat")
-    beat = spark.readStream.schema(schemas.STATUS).parquet(f"{folder}/heartbeat")
-    status = views.event_status(_events(spark, sf_dir)).union(beat)
-    out = f"{folder}/out"
-    timeouts.stream_outcomes(status, out, f"{folder}/checkpoint", minutes).awaitTermination()
-    return timeouts.read_outcomes(spark, out).filter(F.col("job_id") != "heartbeat")
+    """Outcomes of all jobs, written once each as their timers run out."""
+    stream = views.event_status(_events(spark, sf_dir, 10))
+    out = _run(spark, "outcomes", lambda path, ckpt: timeouts.stream_outcomes(stream, path, ckpt, minutes))
+    return _jobs(timeouts.read_outcomes(spark, out))

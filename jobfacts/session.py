@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -48,3 +50,17 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         root = tempfile.mkdtemp(prefix="jobfacts-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def shipped(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, as `spark-submit --py-files` does; once for each Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "jobfacts_package", False):
+        return
+    package = Path(__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="jobfacts-package-")) / "jobfacts-package.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context.jobfacts_package = True
