@@ -647,6 +647,24 @@ def stream_minicluster_ready(spark, sf):
     return _iso_ts(streams.first_ready(spark, sf))
 
 
+@query
+def stream_ready_timeout(spark, sf):
+    """Readiness within six hours of a MiniCluster's first status."""
+    return _iso_ts(_iso_ts(streams.readiness(spark, sf, 360)), "decided")
+
+
+@query
+def output_files(spark, sf):
+    """All output written as job files and read back with line numbers."""
+    return files.output_lines(spark, sf)
+
+
+@query
+def output_file_tails(spark, sf):
+    """The ends of all job files."""
+    return files.output_tails(spark, sf, 3)
+
+
 @query
 def stream_queue_status(spark, sf):
     return streams.queue_status(spark, sf)

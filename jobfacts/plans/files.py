@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobfacts.operators import batch, filters, normalize, prep, resources, scripts
+from jobfacts.operators import filters, normalize, prep, resources, scripts
 from jobfacts.plans import views
 from jobfacts.session import shared_folder
 from jobfacts.sources import readers, sinks
@@ -16,6 +16,8 @@ from jobfacts.sources import readers, sinks
 
 #: About as many rows as one written answer holds at most.
 PER_ANSWER = 5000
+#: Tasks that write files of one row each.
+WRITERS = 64
 
 
 def _page(rows: DataFrame, *columns: str) -> Column:
@@ -91,26 +93,43 @@ def minicluster_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.check_miniclusters(readers.read_miniclusters(spark, folder))
 
 
-def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of parts by brand, in order."""
+def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A command list per brand, with a comment and a blank line in each: a file of as many lines as there are parts."""
+    folder = shared_folder(spark, "commands")
     parts = views.table(spark, sf_dir, "part")
-    return parts.groupBy("p_brand").agg(F.array_sort(F.collect_list("p_name")).alias("names"))
+    named = parts.select("p_brand", F.lit(2).alias("place"), F.col("p_name").alias("value"))
+    heads = parts.select("p_brand").distinct()
+    for place, line in enumerate(("# parts", "")):
+        named = named.unionByName(heads.select("p_brand", F.lit(place).alias("place"), F.lit(line).alias("value")))
+    dealt = named.repartition("p_brand").sortWithinPartitions("p_brand", "place", "value")
+    dealt.select("p_brand", "value").write.partitionBy("p_brand").text(folder)
+    found = readers.read_command_lines(spark, folder)
+    return found.select(F.col("task_index").cast("int").alias("task_index"), "command")
 
 
-def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A command list per brand, with a comment and a blank line in each."""
-    folder = shared_folder(spark, "commands")
-    head = F.array(F.lit("# parts"), F.lit(""))
-    lines = F.array_join(F.concat(head, "names"), "\n").alias("value")
-    _brands(spark, sf_dir).select(lines).write.option("maxRecordsPerFile", 1).text(folder)
-    return batch.expand_commands(readers.read_commands(spark, folder)).select("task_index", "command")
+def _output_files(spark: SparkSession, sf_dir: str) -> str:
+    """The output of all jobs as files."""
+    folder = shared_folder(spark, "output")
+    lines = views.output_lines(spark, sf_dir).withColumnRenamed("native_id", "job_id")
+    sinks.write_job_output(lines, folder, ["turn", "line_no", "line"])
+    return folder
+
+
+def output_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = readers.read_job_output(spark, f"{_output_files(spark, sf_dir)}/*.*", "lines")
+    return lines.select(F.col("job_id").cast("bigint").alias("native_id"), "stream", "line_no", "line")
+
+
+def output_tails(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    tails = readers.read_output_tails(spark, _output_files(spark, sf_dir), n)
+    return tails.withColumn("native_id", F.col("job_id").cast("bigint")).drop("job_id")
 
 
 def script_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A script per brand, classified from its file."""
+    """A script file per request, classified from its file."""
     folder = shared_folder(spark, "scripts")
-    text = F.concat(F.lit("#!/bin/bash\nmpirun -n "), F.size("names").cast("string"), F.lit(" ./"), "p_brand")
-    _brands(spark, sf_dir).select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    requests = views.ascii_requests(spark, sf_dir).repartition(WRITERS, "request_id")
+    requests.select(F.coalesce("script", F.lit("")).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
     read = readers.read_scripts(spark, folder).withColumn("request_id", F.col("path"))
     found = scripts.classify(read.withColumns({"cluster": F.lit(None).cast("string"), "job_name": F.lit("")}))
     return found.groupBy("cpu_intensive", "memory_intensive", "io_intensive", "mpi_ranks").agg(F.count(F.lit(1)).alias("scripts"))

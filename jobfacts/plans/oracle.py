@@ -851,10 +851,27 @@ ORACLE |= {
     }.items()
 }
 ORACLE |= {
+    "output_files": _with(
+        ["lines"],
+        """SELECT native_id, stream, line,
+  row_number() OVER (PARTITION BY native_id, stream ORDER BY turn, line_no, line) - 1 AS line_no FROM lines""",
+    ),
+    "output_file_tails": ORACLE["tail_lines"],
+    "stream_ready_timeout": _with(
+        ["ready"],
+        """SELECT namespace, name, CASE WHEN NOT ok THEN 'Unknown' WHEN kind = 'purchase' THEN 'Running' END AS phase,
+  CASE WHEN NOT ok THEN 'Timeout' END AS reason, CASE WHEN ok THEN ready END AS ts,
+  CASE WHEN ok THEN ready ELSE limit_ts END AS decided
+FROM (SELECT *, coalesce(ready <= limit_ts, false) AS ok FROM (
+  SELECT namespace, name, min(ts) + 21600000000 AS limit_ts, min(ts) FILTER (ok) AS ready,
+    first(event_type ORDER BY ts) FILTER (ok) AS kind FROM ready GROUP BY namespace, name))""",
+    ),
     "commands_file": """SELECT CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_name) - 1 AS INT) AS task_index,
   p_name AS command FROM part""",
-    "scripts_files": """SELECT true AS cpu_intensive, false AS memory_intensive, false AS io_intensive,
-  CAST(n AS INT) AS mpi_ranks, count(*) AS scripts FROM (SELECT count(*) AS n FROM part GROUP BY p_brand) GROUP BY n""",
+    "scripts_files": _with(
+        _CLASSES,
+        """SELECT cpu_intensive, memory_intensive, io_intensive, mpi_ranks, count(*) AS scripts FROM classes GROUP BY ALL""",
+    ),
     "sensor_csv": """SELECT 's-' || user_id % 50 AS sensor_id, count(*) AS records,
   count(*) FILTER (event_id % 3 <> 0) AS with_humidity,
   CAST(sum(event_id % 100) FILTER (event_id % 3 <> 0) AS DOUBLE) AS humidity, max(value) AS highest,

@@ -6,12 +6,14 @@ caller's plan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobfacts import schemas
 from jobfacts.operators import normalize
+from jobfacts.sources import job_files
+from jobfacts.sources.lines import numbered_among, numbered_lines
 
 
 def _slurm_struct() -> T.StructType:
@@ -76,8 +78,8 @@ def read_miniclusters(spark: SparkSession, path: str) -> DataFrame:
 _OUTPUT_NAME = r"([^/]+?)\.(out|err)$"
 
 
-def _output_columns() -> list:
-    path = F.col("_metadata.file_path")
+def _output_columns(path: Column | None = None) -> list:
+    path = F.col("_metadata.file_path") if path is None else path
     ending = F.regexp_extract(path, _OUTPUT_NAME, 2)
     return [
         F.url_decode(F.regexp_extract(path, _OUTPUT_NAME, 1)).alias("job_id"),
@@ -90,7 +92,8 @@ def read_job_output(spark: SparkSession, path: str, layout: str = "files") -> Da
 
     ``files``: a file is read whole, and a final newline makes an empty last
     line. ``lines``: files of any size, split over tasks; a final newline is then
-    no line of its own. Lines are ordered by (block, line_no) in both. An empty
+    no line of its own. line_no is the line's number in its file in both; block is
+    where the file's part begins that the line was read with. An empty
     file gives no row, and reads as empty output after ``output.with_output``.
     """
     if layout == "files":
@@ -102,12 +105,17 @@ def read_job_output(spark: SparkSession, path: str, layout: str = "files") -> Da
         ).withColumn("line_no", F.col("line_no").cast("bigint"))
     if layout != "lines":
         raise ValueError(f"layout must be files or lines, got {layout!r}")
-    return spark.read.text(path, lineSep="\n").select(
-        *_output_columns(),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line_no"),
-        F.col("value").alias("line"),
-    )
+    lines = numbered_lines(spark, path)
+    return lines.select(*_output_columns(F.col("file")), "block", "line_no", "line")
+
+
+def read_output_tails(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The last ``n`` lines of each ``<job>.out`` and ``<job>.err``: job_id, stream, from_end, line, truncated.
+
+    Only the ends of the files are read. The rows are those of ``output.tail_lines`` over ``read_job_output`` in the
+    ``lines`` layout; an empty file gives none.
+    """
+    return job_files.registered(spark).read.format("job_output").option("lines", n).load(path)
 
 
 def read_scripts(spark: SparkSession, path: str) -> DataFrame:
@@ -133,6 +141,16 @@ def read_commands(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_command_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The commands of lists of any length, one a row: batch_id (the file), task_index (from 0), command.
+
+    The same commands as ``read_commands`` and ``batch.expand_commands`` give, without a row that holds a list.
+    """
+    command = F.col("line").rlike(r"\S") & ~F.col("line").startswith("#")
+    found = numbered_among(spark, path, command)
+    return found.select(F.col("file").alias("batch_id"), F.col("number").alias("task_index"), F.col("line").alias("command"))
+
+
 def read_sensors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema(schemas.SENSORS).csv(path)
 

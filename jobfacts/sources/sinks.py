@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jobfacts import fixed_values as fv
 from jobfacts.operators import prep
+from jobfacts.sources import job_files
 
 
 def list_envelope(page: DataFrame, total: DataFrame) -> DataFrame:
@@ -28,6 +29,16 @@ def list_envelope(page: DataFrame, total: DataFrame) -> DataFrame:
     )
 
 
+def write_job_output(lines: DataFrame, path: str, order: list[str]) -> None:
+    """``<job>.out`` and ``<job>.err`` files of ``lines`` (job_id, stream, line and the columns of ``order``).
+
+    A file is written by one task, line by line, and appears whole or not at all.
+    """
+    job_files.registered(lines.sparkSession)
+    dealt = lines.repartition("job_id", "stream").sortWithinPartitions("job_id", "stream", *order)
+    dealt.select("job_id", "stream", "line").write.format("job_output").mode("append").save(path)
+
+
 def write_splits(table: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Train, validation and test as one parquet folder each."""
     table.write.mode(mode).partitionBy("split").parquet(path)
