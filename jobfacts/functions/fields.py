@@ -16,19 +16,21 @@ def unwrap_number(wrapped: Column) -> Column:
     return F.when(F.coalesce(wrapped["set"], F.lit(True)), wrapped["number"])
 
 
+def _plain_number(text: Column) -> Column:
+    plain = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.when(plain.rlike(NUMBER), plain.try_cast("double"))
+
+
 def numeric_text(text: Column) -> Column:
     """Number in a text that may also be empty, a flag or a wrapped number as JSON."""
     wrapped = F.from_json(text, "set boolean, number double")
-    plain = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.when(text.startswith("{"), unwrap_number(wrapped)).when(
-        plain.rlike(NUMBER), plain.try_cast("double")
-    )
+    return F.when(text.startswith("{"), unwrap_number(wrapped)).otherwise(_plain_number(text))
 
 
 def wrapped_number(text: Column, limited: bool = False) -> Column:
     """The struct that JSON text of a number stands for; a bare number or one in quotes is set."""
     kind = "set boolean, number bigint" + (", infinite boolean" if limited else "")
-    number = numeric_text(F.btrim(text, F.lit('"'))).try_cast("bigint")
+    number = _plain_number(F.btrim(text, F.lit('"'))).try_cast("bigint")
     parts = [number.isNotNull().alias("set"), number.alias("number")]
     plain = F.struct(*parts, *([F.lit(False).alias("infinite")] if limited else []))
     return F.when(text.startswith("{"), F.from_json(text, kind)).when(number.isNotNull(), plain)

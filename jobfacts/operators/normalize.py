@@ -18,10 +18,12 @@ def parse_slurm_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def typed_numbers(jobs: DataFrame) -> DataFrame:
     """Slurm jobs read with ``schemas.slurm_text``: numbers that were wrapped, bare or text as typed structs."""
-    return jobs.withColumns(
-        {n: fields.wrapped_number(F.col(n)) for n in schemas.WRAPPED_TIMES}
-        | {n: fields.wrapped_number(F.col(n), limited=True) for n in schemas.WRAPPED_LIMITS}
-    )
+    typed = {n: fields.wrapped_number(F.col(n)) for n in schemas.WRAPPED_TIMES} | {
+        n: fields.wrapped_number(F.col(n), limited=True) for n in schemas.WRAPPED_LIMITS
+    }
+    named = [typed.get(c, F.col(c)).alias(c) for c in jobs.columns]
+    # a one-row generator, so that a number is parsed once and not in every filter and column that uses it
+    return jobs.select(F.inline(F.array(F.struct(*named))))
 
 
 def _slurm_reject() -> Column:

@@ -20,9 +20,13 @@ PER_ANSWER = 5000
 WRITERS = 64
 
 
-def _page(rows: DataFrame, *columns: str) -> Column:
-    """A page number of each row by hash of the columns, in pages of about PER_ANSWER rows however many rows there are."""
-    return F.pmod(F.xxhash64(*columns), F.lit(-(-rows.count() // PER_ANSWER) or 1))
+def _page(rows: DataFrame, group: str) -> DataFrame:
+    """`rows` with page: at most PER_ANSWER rows of a group and a task have the same, and nothing is counted before.
+
+    A row's place in its task is known as it is read, so a page is a stretch of one task's rows.
+    """
+    place = F.monotonically_increasing_id()
+    return rows.withColumn("page", F.struct(group, F.call_function("div", place, F.lit(PER_ANSWER)).alias("stretch")))
 
 
 def slurm_jobs(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
@@ -47,7 +51,7 @@ def slurm_jobs(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
     if layout == "lines":
         lines.select("value").write.text(folder)
     else:
-        answers = lines.groupBy("partition", _page(lines, "value")).agg(F.concat_ws(",", F.collect_list("value")).alias("jobs"))
+        answers = _page(lines, "partition").groupBy("page").agg(F.concat_ws(",", F.collect_list("value")).alias("jobs"))
         answer = F.concat(F.lit('{"jobs":['), "jobs", F.lit("]}"))
         answers.select(answer.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
     return readers.read_slurm_jobs(spark, folder, layout)
@@ -88,7 +92,7 @@ def minicluster_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "miniclusters")
     specs = views.minicluster_specs(spark, sf_dir)
     item = F.struct(F.struct("name", "namespace").alias("metadata"), "spec")
-    answers = specs.groupBy("namespace", _page(specs, "namespace", "name")).agg(F.collect_list(item).alias("items")).select("items")
+    answers = _page(specs, "namespace").groupBy("page").agg(F.collect_list(item).alias("items")).select("items")
     answers.write.option("maxRecordsPerFile", 1).json(folder)
     return filters.check_miniclusters(readers.read_miniclusters(spark, folder))
 

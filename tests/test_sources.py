@@ -195,3 +195,13 @@ def test_accounting_export_and_sweep_records(spark, tmp_path):
     assert back.exceptAll(rows).count() == 0 and spark.read.json(str(tmp_path / "j")).count() == 2
     assert schemas.JOB_COLUMNS == normalize.normalize_slurm(
         normalize.parse_slurm_lines(spark.createDataFrame([("{}",)], "value string")), as_of()).columns
+
+
+def test_wrapped_numbers_are_parsed_once(spark, sf, plan):
+    """A filter or column that uses a number does not parse it again."""
+    lines = views.slurm_dump(spark, sf).select(F.to_json(F.struct("*")).alias("value"))
+    df = normalize.normalize_slurm(normalize.parse_slurm_lines(lines), as_of()).filter("runtime_seconds > 5")
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    wrapped = len(schemas.WRAPPED_TIMES + schemas.WRAPPED_LIMITS)
+    assert 0 < text.count("from_json") <= wrapped + 1  # and the line itself
+    assert not any("from_json" in line for line in text.splitlines() if line.strip(" +-:").startswith("Filter"))
