@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobfacts.llm.common import mapped, small
+from jobfacts.llm.common import mapped, small, written
 from jobfacts.llm.tokens import encoder
 
 #: Lengths that share a bucket; suffix sums run over bucket totals first, then inside each bucket.
@@ -51,9 +51,10 @@ def limits(hist: DataFrame) -> DataFrame:
     share_shorter (of the documents, those strictly shorter: the quantile at which this length begins).
 
     Sums from the longest length down give all of them exactly. They run in two levels, over buckets of `BUCKET`
-    lengths and then inside each bucket, so no task takes more than the number of buckets or `BUCKET` rows.
+    lengths and then inside each bucket, so no task takes more than the number of buckets or `BUCKET` rows. The
+    histogram is computed once; one without rows gives none.
     """
-    rows = hist.select(
+    rows = written(hist, "lengths").select(  # once: both levels read it
         "length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.floor(F.col("length") / BUCKET).alias("bucket")
     )
     totals = rows.groupBy("bucket").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))

@@ -14,8 +14,6 @@ from jobfacts.llm.common import mapped, spread, written
 
 #: Groups that one differencing takes at once, and partial partitions that are combined at once.
 GROUPS, FAN_IN = 20_000, 64
-#: Rows that one counter of slots numbers.
-SLOT_ROWS = 200_000
 
 
 def difference(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

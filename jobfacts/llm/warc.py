@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobfacts.llm.common import mapped, small, written
+from jobfacts.llm.common import apart, mapped, small, written
 from jobfacts.session import shared_folder
 
 #: Records in one archive, index entries in one task of the merge.
@@ -76,7 +76,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: Co
     )
     owners = rows.groupBy("same").agg(F.max("page_id").alias("owner"))
     revisit = ~F.col("page_id").eqNullSafe(F.col("owner")) & (F.octet_length("html") >= least_bytes)
-    known = rows.join(owners, "same").withColumn("revisit", revisit).drop("same")
+    known = rows.join(apart(owners, "same"), "same").withColumn("revisit", revisit).drop("same")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, "html"):
