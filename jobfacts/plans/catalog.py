@@ -237,6 +237,12 @@ def slurm_answers(spark, sf):
     return _flat(normalize.normalize_slurm(files.slurm_jobs(spark, sf, "envelope"), _as_of()))
 
 
+@query
+def slurm_ranges(spark, sf):
+    """All jobs in one answer, read by the blocks of its file."""
+    return _flat(normalize.normalize_slurm(files.slurm_jobs(spark, sf, "ranges"), _as_of()))
+
+
 @query
 def flux_roundtrip(spark, sf):
     return _flat(normalize.normalize_flux(files.flux_jobs(spark, sf)))

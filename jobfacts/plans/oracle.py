@@ -840,6 +840,7 @@ ORACLE |= {
     for name, same in {
         "slurm_files": "slurm_normalized",
         "slurm_answers": "slurm_normalized",
+        "slurm_ranges": "slurm_normalized",
         "flux_roundtrip": "flux_normalized",
         "flux_short_files": "flux_short_listing",
         "clusters_file": "cluster_types",

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from jobfacts import schemas
 from jobfacts.operators import normalize
-from jobfacts.sources import job_files
+from jobfacts.sources import envelopes, job_files
 from jobfacts.sources.lines import numbered_among, numbered_lines
 
 
@@ -24,12 +24,16 @@ def read_slurm_jobs(spark: SparkSession, path: str, layout: str = "envelope") ->
     """Slurm jobs as typed columns.
 
     ``envelope``: each file is one ``{"jobs": [...]}`` answer, so a file is the
-    unit of work. ``lines``: one job per line, which splits at any size.
+    unit of work. ``ranges``: the same, valid JSON of any size, cut into blocks that
+    many tasks read. ``lines``: one job per line, which splits at any size.
     """
+    if layout == "ranges":
+        records = envelopes.read_records(spark, path, "jobs")
+        return normalize.parse_slurm_lines(records, "text")
     if layout == "lines":
         return normalize.typed_numbers(spark.read.schema(_slurm_struct()).json(path))
     if layout != "envelope":
-        raise ValueError(f"layout must be envelope or lines, got {layout!r}")
+        raise ValueError(f"layout must be envelope, ranges or lines, got {layout!r}")
     envelope = T.StructType([T.StructField("jobs", T.ArrayType(_slurm_struct()))])
     answers = spark.read.schema(envelope).option("multiLine", True).json(path)
     return normalize.typed_numbers(answers.select(F.explode("jobs").alias("job")).select("job.*"))
