@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jobfacts import fixed_values as fv
 from jobfacts.functions import clocks, fields, states
+from jobfacts.operators.keys import apart
 
 _MIB = 1 << 20
 
@@ -55,7 +56,7 @@ def compare_with_similar(jobs: DataFrame) -> DataFrame:
     runtime = F.col("runtime_sum") - mine * F.col("runtime_seconds")
     done = F.col("completed") - (F.col("state") == "COMPLETED").cast("bigint")
     joined = jobs.select("job_id", "cluster", "name", "state", "runtime_seconds").join(
-        _sums(jobs), ["cluster", "name"], "left"
+        apart(_sums(jobs), "cluster", "name"), ["cluster", "name"], "left"
     )
     return joined.select(
         "job_id",

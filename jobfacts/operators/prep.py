@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from jobfacts import fixed_values as fv
 from jobfacts.functions import clocks
+from jobfacts.operators.keys import apart
 
 KEY, TIME, ID, VALUE = "sensor_id", "ts", "reading_id", "value"
 OUTLIER_SIGMAS = 3
@@ -67,7 +68,7 @@ def impute(readings: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """Missing values replaced by the sensor's mean; ``imputed`` marks them."""
     stats = sensor_stats(readings) if stats is None else stats
     return (
-        readings.join(stats.select(KEY, "mean"), KEY, "left")
+        readings.join(apart(stats.select(KEY, "mean"), KEY), KEY, "left")
         .withColumn("imputed", F.col(VALUE).isNull())
         .withColumn(VALUE, F.coalesce(VALUE, "mean"))
         .drop("mean")
@@ -78,7 +79,7 @@ def flag_outliers(readings: DataFrame, stats: DataFrame | None = None) -> DataFr
     """``outlier`` marks values more than three deviations from the sensor's mean."""
     stats = sensor_stats(readings) if stats is None else stats
     return (
-        readings.join(stats.select(KEY, "mean", "std"), KEY, "left")
+        readings.join(apart(stats.select(KEY, "mean", "std"), KEY), KEY, "left")
         .withColumn("outlier", _outlier())
         .drop("mean", "std")
     )
@@ -231,7 +232,7 @@ def min_max_scale(readings: DataFrame, stats: DataFrame | None = None) -> DataFr
     """Value scaled to 0..1 by the sensor's range; 0 where the range is empty."""
     stats = sensor_stats(readings) if stats is None else stats
     return (
-        readings.join(stats.select(KEY, "low", "high"), KEY, "left")
+        readings.join(apart(stats.select(KEY, "low", "high"), KEY), KEY, "left")
         .withColumn("scaled", _scaled())
         .drop("low", "high")
     )
@@ -255,7 +256,7 @@ def clean(readings: DataFrame, low: float, high: float) -> DataFrame:
     """
     unique = deduplicate(accepted(check_ranges(readings, low, high)), [ID])
     return (
-        unique.join(sensor_stats(unique), KEY, "left")
+        unique.join(apart(sensor_stats(unique), KEY), KEY, "left")
         .withColumn("imputed", F.col(VALUE).isNull())
         .withColumn(VALUE, F.coalesce(VALUE, "mean"))
         .withColumn("outlier", _outlier())

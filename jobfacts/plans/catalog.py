@@ -353,6 +353,12 @@ def accounting_range(spark, sf):
     )
 
 
+@query
+def accounting_store(spark, sf):
+    """Jobs written by month of submission, and of that the time ranges of a table."""
+    return files.accounting_ranges(spark, sf)
+
+
 @query
 def accounting_total(spark, sf):
     return accounting.accounting_total(views.jobs(spark, sf), start_time="1997-01-01", user="user-7")

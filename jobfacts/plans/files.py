@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from jobfacts.operators import filters, normalize, prep, resources, scripts
 from jobfacts.plans import views
 from jobfacts.session import shared_folder
-from jobfacts.sources import readers, sinks
+from jobfacts.sources import readers, sinks, store
 
 
 #: About as many rows as one written answer holds at most.
@@ -144,6 +144,23 @@ def script_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("cpu_intensive", "memory_intensive", "io_intensive", "mpi_ranks").agg(F.count(F.lit(1)).alias("scripts"))
 
 
+RANGES = [(1, "1995-01-01", "1995-03-31T12:00:00"), (2, "1995-03-01", "1996-01-15"), (3, "1998-01-01", "1997-01-01"), (4, None, "1996-01-01")]
+
+
+def accounting_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All jobs written to the store by month, and the sums of those in some ranges of time."""
+    folder = shared_folder(spark, "accounting")
+    store.write_accounting(views.jobs(spark, sf_dir).select("job_id", "cluster", "runtime_seconds", "submitted"), folder, unit="month")
+    schema = "job_id string, cluster string, runtime_seconds bigint, submitted timestamp"
+    ranges = spark.createDataFrame(RANGES, "range_id int, start string, end string").select(
+        "range_id", *[F.col(c).cast("timestamp").alias(c) for c in ("start", "end")]
+    )
+    found = store.in_ranges(store.read_accounting(spark, folder, schema, unit="month"), ranges, unit="month")
+    return found.groupBy("range_id", "cluster").agg(
+        F.count(F.lit(1)).alias("jobs"), F.sum("runtime_seconds").alias("runtime_seconds")
+    )
+
+
 def sensor_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "sensors")
     events = views.table(spark, sf_dir, "events")

@@ -852,6 +852,13 @@ ORACLE |= {
     }.items()
 }
 ORACLE |= {
+    "accounting_store": _with(
+        _JOBS,
+        """SELECT range_id, cluster, count(*) AS jobs, CAST(sum(runtime_seconds) AS BIGINT) AS runtime_seconds
+FROM jobs JOIN (VALUES (1::INT, epoch('1995-01-01'::TIMESTAMP), epoch('1995-03-31 12:00:00'::TIMESTAMP)),
+  (2, epoch('1995-03-01'::TIMESTAMP), epoch('1996-01-15'::TIMESTAMP))) AS r(range_id, low, high)
+  ON submit_epoch BETWEEN low AND high GROUP BY range_id, cluster""",
+    ),
     "output_files": _with(
         ["lines"],
         """SELECT native_id, stream, line,
