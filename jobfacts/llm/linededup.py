@@ -7,7 +7,7 @@ from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobfacts.llm.common import apart, mapped, written
@@ -71,13 +71,22 @@ def patience(earlier: list[int], later: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+#: Stands for a line that no other document has.
+ALONE = 0
+
+
 def place_keys(lines: list[int], rare: set[int]) -> list[set[int]]:
-    """For each place what names it in its surroundings: a rare line itself, any other the lines from the next rare one on either side to it."""
+    """For each place what names it in its surroundings: a rare line itself, any other the lines from the next rare one on either side to it.
+
+    No key reaches over a line that is `ALONE`: no other document could have it.
+    """
     out: list[set[int]] = [set() for _ in lines]
     for side, order in enumerate((range(len(lines)), range(len(lines) - 1, -1, -1))):
         held = None
         for j in order:
-            if lines[j] in rare:
+            if lines[j] == ALONE:
+                held = None
+            elif lines[j] in rare:
                 held = lines[j]
             elif held is not None:
                 held = hash((side, held, lines[j]))
@@ -111,41 +120,71 @@ def common_blocks(earlier: list[int], later: list[int], rare: set[int]) -> list[
 MORE = 16
 
 
+def _doc(id_col: str, text_col: str) -> Column:
+    """Names a document by id and text, null without an id; names sort as ids do."""
+    digits = F.lpad((F.col(id_col).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    return F.concat(digits, F.substring(F.md5(F.coalesce(F.col(text_col), F.lit(""))), 1, 16))
+
+
+def _id(doc: Column) -> Column:
+    return (F.substring(doc, 1, 20).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
+
+
 def _hashed(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, hashes of all lines, long (the different hashes of those of min_words words)."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), lines_of(F.col(text_col)).alias("lines")).filter("doc_id IS NOT NULL")
-    return written(
+    """doc, hashes of all lines (`ALONE` for those that one document has), long (the different other ones of min_words words).
+
+    Only documents that share a long line are left, and what a document has alone weighs next to nothing in a shuffle.
+    """
+    narrow = docs.select(_doc(id_col, text_col).alias("doc"), lines_of(F.col(text_col)).alias("lines")).filter("doc IS NOT NULL")
+    every = written(
         narrow.select(
-            "doc_id",
+            "doc",
             F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"),
             F.array_distinct(F.transform(F.filter("lines", lambda x: F.size(F.split(x, r"\s+")) >= min_words), lambda x: F.xxhash64(x))).alias("long"),
-        ).dropDuplicates(["doc_id"]),
+        ).dropDuplicates(["doc"]),
         "line-hashes",
     )
+    each = every.filter(F.size("long") > 0).select("doc", F.explode(F.array_distinct("hashes")).alias("line"))
+    common = each.groupBy("line").agg(F.count("*").alias("n")).filter("n > 1").select("line")
+    shared = each.join(apart(common, "line"), "line").groupBy("doc").agg(F.collect_set("line").alias("shared"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, hashes, long, lines in zip(*(batch.column(c).to_pylist() for c in ("doc", "hashes", "long", "shared"))):
+                lines = set(lines)
+                if held := [x for x in long if x in lines]:
+                    out.append((doc, [x if x in lines else ALONE for x in hashes], held))
+            columns = list(zip(*out)) or [[], [], []]
+            kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc", "hashes", "long"])
+
+    return written(mapped(every.join(shared, "doc"), run, "doc string, hashes array<long>, long array<long>"), "shared-lines")
 
 
 def _aligned(pairs: DataFrame, hashed: DataFrame) -> DataFrame:
-    """doc_id, owner, places that go from each of `pairs` (doc_id, owner, rare)."""
-    later = pairs.join(hashed.select("doc_id", F.col("hashes").alias("later")), "doc_id")
-    both = later.join(hashed.select(F.col("doc_id").alias("owner"), F.col("hashes").alias("earlier")), "owner")
+    """doc, owner, places that go from each of `pairs` (doc, owner, rare)."""
+    later = pairs.join(hashed.select("doc", F.col("hashes").alias("later")), "doc")
+    both = later.join(hashed.select(F.col("doc").alias("owner"), F.col("hashes").alias("earlier")), "owner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "owner", "earlier", "later", "rare"))
-            for doc_id, owner, earlier, after, rare in zip(*columns):
-                if gone := common_blocks(earlier, after, set(rare)):
-                    out.append((doc_id, owner, gone))
+            columns = (batch.column(c).to_pylist() for c in ("doc", "owner", "earlier", "later", "rare"))
+            for doc, owner, earlier, after, rare in zip(*columns):
+                own = [(k,) if x == ALONE else x for k, x in enumerate(earlier)]  # equal to nothing else
+                if gone := common_blocks(own, after, set(rare)):
+                    out.append((doc, owner, gone))
             yield pa.record_batch(
-                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int32()))],
-                names=["doc_id", "owner", "places"],
+                [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.list_(pa.int32()))],
+                names=["doc", "owner", "places"],
             )
 
-    return mapped(both.select("doc_id", "owner", "earlier", "later", "rare"), run, "doc_id long, owner long, places array<int>")
+    return mapped(both.select("doc", "owner", "earlier", "later", "rare"), run, "doc string, owner string, places array<int>")
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, owner, places: lines (from 0) of a document that stand aligned in the earlier document `owner`.
+    """doc, owner, places: lines (from 0) of a document that stand aligned in the earlier document `owner` (see `_doc`).
 
     A line of at least `min_words` words that occurs in more than one document belongs to the one of smallest id, its
     owner; documents overlap where one has a line of the other's. So a line that n documents share makes n - 1 pairs,
@@ -154,44 +193,44 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id",
     `lines_repeated_anywhere`.
     """
     hashed = _hashed(docs, min_words, id_col, text_col)
-    each = hashed.select("doc_id", F.explode("long").alias("line"))
-    owners = each.groupBy("line").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).filter("n > 1")
-    pairs = each.join(apart(owners, "line"), "line").filter("doc_id > owner").groupBy("doc_id", "owner").agg(F.collect_set("line").alias("rare"))
+    each = hashed.select("doc", F.explode("long").alias("line"))
+    owners = each.groupBy("line").agg(F.min("doc").alias("owner"), F.count("*").alias("n")).filter("n > 1")
+    pairs = each.join(apart(owners, "line"), "line").filter("doc > owner").groupBy("doc", "owner").agg(F.collect_set("line").alias("rare"))
     return _aligned(pairs, hashed)
 
 
 def _keys(hashed: DataFrame) -> DataFrame:
-    """doc_id, key: the different `place_keys` of each document."""
+    """doc, key: the different `place_keys` of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                doc_id, lines, long = (batch.column(c)[row].as_py() for c in ("doc_id", "hashes", "long"))
+                doc, lines, long = (batch.column(c)[row].as_py() for c in ("doc", "hashes", "long"))
                 keys = list(set().union(*place_keys(lines, set(long))))
-                yield pa.record_batch([pa.array([doc_id] * len(keys), pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "key"])
+                yield pa.record_batch([pa.array([doc] * len(keys), pa.string()), pa.array(keys, pa.int64())], names=["doc", "key"])
 
-    return mapped(hashed.filter(F.size("long") > 0), run, "doc_id long, key long")
+    return mapped(hashed, run, "doc string, key long")
 
 
 def _left(wanted: DataFrame, found: DataFrame, hashed: DataFrame) -> DataFrame:
-    """doc_id, key: those of `wanted` (doc_id, keys) that name a place which is not among the found ones."""
-    gone = found.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("gone"))
-    rows = wanted.join(gone, "doc_id", "left").join(hashed, "doc_id").select("doc_id", "keys", "gone", "hashes", "long")
+    """doc, key: those of `wanted` (doc, keys) that name a place which is not among the found ones."""
+    gone = found.groupBy("doc").agg(F.flatten(F.collect_list("places")).alias("gone"))
+    rows = wanted.join(gone, "doc", "left").join(hashed, "doc").select("doc", "keys", "gone", "hashes", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                doc_id, keys, gone, lines, long = (batch.column(c)[row].as_py() for c in ("doc_id", "keys", "gone", "hashes", "long"))
+                doc, keys, gone, lines, long = (batch.column(c)[row].as_py() for c in ("doc", "keys", "gone", "hashes", "long"))
                 out = set(gone or ())
                 at = set().union(*(k for j, k in enumerate(place_keys(lines, set(long))) if j not in out))
                 keys = list(at.intersection(keys))
-                yield pa.record_batch([pa.array([doc_id] * len(keys), pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "key"])
+                yield pa.record_batch([pa.array([doc] * len(keys), pa.string()), pa.array(keys, pa.int64())], names=["doc", "key"])
 
-    return mapped(rows, run, "doc_id long, key long")
+    return mapped(rows, run, "doc string, key long")
 
 
-def lines_repeated_anywhere(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, owner, places like `repeated_lines`, with all lines that alignment with any earlier document finds.
+def lines_repeated_anywhere(docs: DataFrame, min_words: int = 5, id_col: str = "doc", text_col: str = "text") -> DataFrame:
+    """doc, owner, places like `repeated_lines`, with all lines that alignment with any earlier document finds.
 
     The places over all owners are those of aligning every pair of documents that share a line of `min_words` words.
     A pair can only add a place if both documents have its key (`place_keys`). So each document is aligned with the
@@ -201,25 +240,25 @@ def lines_repeated_anywhere(docs: DataFrame, min_words: int = 5, id_col: str = "
     """
     hashed = _hashed(docs, min_words, id_col, text_col)
     keys = _keys(hashed)
-    owners = keys.groupBy("key").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).filter("n > 1")
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) * F.col("n")
-    turn = F.when(F.col("doc_id") == F.col("owner"), 0).otherwise(F.ceil(F.log(float(MORE), F.greatest(share, F.lit(1.5)))).cast("int"))
-    shared = written(keys.join(apart(owners, "key"), "key").select("doc_id", "key", "owner", turn.alias("turn")), "shared-keys")
-    later = shared.filter("doc_id > owner")
-    long = hashed.select("doc_id", F.col("long").alias("rare"))
+    owners = keys.groupBy("key").agg(F.min("doc").alias("owner"), F.count("*").alias("n")).filter("n > 1")
+    share = F.pmod(F.xxhash64("doc"), F.lit(1 << 30)) / float(1 << 30) * F.col("n")
+    turn = F.when(F.col("doc") == F.col("owner"), 0).otherwise(F.ceil(F.log(float(MORE), F.greatest(share, F.lit(1.5)))).cast("int"))
+    shared = written(keys.join(apart(owners, "key"), "key").select("doc", "key", "owner", turn.alias("turn")), "shared-keys")
+    later = shared.filter("doc > owner")
+    long = hashed.select("doc", F.col("long").alias("rare"))
 
     def aligned(pairs: DataFrame) -> DataFrame:
-        return written(_aligned(pairs.join(long, "doc_id"), hashed), "aligned")
+        return written(_aligned(pairs.join(long, "doc"), hashed), "aligned")
 
-    found = aligned(later.select("doc_id", "owner").distinct())
+    found = aligned(later.select("doc", "owner").distinct())
     last = shared.agg(F.max("turn")).first()[0] or 0
     todo = later
     for t in range(1, last + 1):
-        todo = written(_left(todo.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), found, hashed), "left-keys")
+        todo = written(_left(todo.groupBy("doc").agg(F.collect_set("key").alias("keys")), found, hashed), "left-keys")
         if todo.isEmpty():
             break
-        sharers = shared.filter(F.col("turn") == t).select("key", F.col("doc_id").alias("owner"))
-        pairs = todo.join(sharers, "key").filter("owner < doc_id").select("doc_id", "owner").distinct()
+        sharers = shared.filter(F.col("turn") == t).select("key", F.col("doc").alias("owner"))
+        pairs = todo.join(sharers, "key").filter("owner < doc").select("doc", "owner").distinct()
         found = found.unionByName(aligned(pairs))
     return found
 
@@ -229,19 +268,19 @@ def without_repeated_lines(docs: DataFrame, min_words: int = 5, id_col: str = "d
 
     Blocks that `find` (`repeated_lines` or `lines_repeated_anywhere`) finds are deleted from the later document; the first document with a line always
     keeps it. All alignments use the texts as they came, so the order of pairs doesn't matter. A null text stays null
-    and has no lines, an empty one has one empty line; a document with a null id neither owns nor loses lines. Rows that repeat an
-    id share the alignment of one of them, so ids are meant to be unique. Other columns are ignored.
+    and has no lines, an empty one has one empty line; a document with a null id neither owns nor loses lines. Of different texts
+    with one id the one of the smaller MD5 is the earlier; equal rows are one document. Other columns are ignored.
     """
     found = find(docs, min_words, id_col, text_col)
-    gone = found.groupBy("doc_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("removed"), F.array_sort(F.collect_set("owner")).alias("owners")
+    gone = found.groupBy("doc").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("removed"), F.array_sort(F.collect_set(_id(F.col("owner")))).alias("owners")
     )
     text = F.col("text")
     lines = F.split(text, "\n")
     nothing = F.array().cast("array<int>")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.coalesce("removed", nothing), i)), "\n")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.join(gone, "doc_id", "left").select(
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _doc(id_col, text_col).alias("doc"))
+    return rows.join(gone, "doc", "left").select(
         "doc_id",
         F.when(F.col("removed").isNull(), text).otherwise(kept).alias("text"),
         F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),

@@ -70,6 +70,20 @@ def test_every_long_line_stays_somewhere(spark):
     assert {x.strip(" ") for t in TEXTS for x in (t or "").split("\n") if len(x.split()) >= 5} <= left
 
 
+def test_rows_that_share_an_id(spark):
+    """Only what an earlier text has goes, whichever id it stands under."""
+    a = "\n".join([LONG[1], LONG[2], "only in a", LONG[9]])
+    b = "\n".join(["first of b", LONG[1], LONG[2], LONG[7], LONG[9]])
+    rows = [(5, a), (5, b), (-3, "\n".join([LONG[9], "x"])), (5, a)]
+    for find in (linededup.repeated_lines, linededup.lines_repeated_anywhere):
+        got = linededup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), find=find).collect()
+        left = {x for r in got for x in r.text.split("\n")}
+        assert left == {x for _, t in rows for x in t.split("\n")} and len(got) == 4
+        assert {r.doc_id: r.n_removed for r in got}[-3] == 0
+        by_size = sorted((r.n_removed, r.n_lines) for r in got if r.doc_id == 5)
+        assert by_size in ([(1, 4), (1, 4), (3, 5)], [(1, 5), (3, 4), (3, 4)])
+
+
 def test_nothing(spark):
     assert linededup.without_repeated_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
