@@ -15,8 +15,9 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray) -> None:
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        # Where the ones of the bit string are: made when a level is opened, not stored.
-        self.ones = np.flatnonzero(np.unpackbits(high.view(np.uint8), bitorder="little"))
+        # Ones before each 64 bits: made when a level is opened, not stored, and a small part of the level.
+        self.ranks = np.cumsum(np.bitwise_count(high), dtype=np.uint32 if n < 1 << 32 else np.int64)
+        self.ranks = np.concatenate([np.zeros(1, self.ranks.dtype), self.ranks[:-1]])
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -37,10 +38,24 @@ class EliasFano:
         np.bitwise_or.at(high, ones >> 6, _ONE << (ones & 63).astype(np.uint64))
         return cls(n, low_bits, low, high)
 
+    def _ones(self, index: np.ndarray) -> np.ndarray:
+        """Where the ones of these numbers are in the bit string: the word by the directory, then halves of it."""
+        word = np.searchsorted(self.ranks, index, "right") - 1
+        left = (index - self.ranks[word]).astype(np.uint64)
+        bits, place = self.high[word].astype(np.uint64), np.zeros(len(index), np.uint64)
+        for half in (32, 16, 8, 4, 2, 1):
+            below = np.bitwise_count(bits & np.uint64((1 << half) - 1)).astype(np.uint64)
+            above = left >= below
+            left -= np.where(above, below, np.uint64(0))
+            step = np.where(above, np.uint64(half), np.uint64(0))
+            bits >>= step
+            place += step
+        return (word << 6) + place.astype(np.int64)
+
     def __getitem__(self, index: np.ndarray) -> np.ndarray:
         """The numbers at many places at once."""
         index = np.asarray(index, np.int64)
-        high = (self.ones[index] - index).astype(np.uint64)
+        high = (self._ones(index) - index).astype(np.uint64)
         if not self.low_bits:
             return high
         place = index * self.low_bits

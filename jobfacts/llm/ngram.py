@@ -291,7 +291,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     for which `held_out` is not true: a bigram's share of its context, interpolated by the context's count with the
     discounted share of the word alone, all of whose discount goes to unknown words. base_score adds one to each count.
 
-    Documents become chunks, a bucketed table, so their tokens are never shuffled. A chunk asks the unigram shards for
+    Documents become chunks, a bucketed table below the shared folder, so their tokens are never shuffled (its name is
+    in the session's catalog only while the job is put together, so that must allow tables). A chunk asks the unigram shards for
     counts and ids of its distinct words, then the bigram shards for its distinct bigrams, with its own training counts
     in the same message; a shard adds up, builds its Elias-Fano trie, and answers each chunk by successor search. Messages
     are arrays, pre-aggregated in the chunk; words go to shards by hash and contexts of many occurrences are split by
@@ -303,7 +304,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = max(8, -(-size // (2 * CHUNK_BYTES)))
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    buckets = min(most, max(8, -(-size // (2 * CHUNK_BYTES))))  # of more text a bucket has more chunks
     name = f"chunks_{uuid.uuid4().hex}"
     made = chunks(docs, held_out, id_col, text_col).write.bucketBy(buckets, "chunk").option("compression", "zstd")
     made.option("path", shared_folder(spark, "chunks")).saveAsTable(name)
@@ -323,4 +325,6 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     known_chunks = all_chunks.join(known, "chunk")
     answers = written(pair_answers(pair_requests(known_chunks, shards), shards), "bigram-codes")
     given = answers.repartition(buckets, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("shard", "codes")).alias("answers"))
-    return _scores(known_chunks.join(given, "chunk", "left"), shards, n, types, discount)
+    scored = _scores(known_chunks.join(given, "chunk", "left"), shards, n, types, discount)
+    spark.sql(f"DROP TABLE {name}")  # the name only: files of an external table stay, and the plan has them
+    return scored

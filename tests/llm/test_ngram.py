@@ -41,6 +41,23 @@ def held(r):
     return r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2
 
 
+def test_buckets_are_limited_and_no_table_stays(spark, docs, monkeypatch):
+    monkeypatch.setattr(ngram, "CHUNK_BYTES", 5_000)
+    want = {tuple(r) for r in ngram.score(docs, queries.held_out(7)).collect()}
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "9")
+    try:
+        got = {tuple(r) for r in ngram.score(docs, queries.held_out(7)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
+    assert got == want and not [t for t in spark.catalog.listTables() if t.name.startswith("chunks_")]
+
+
+def test_a_directory_is_small():
+    values = np.arange(0, 10**6, 7, dtype=np.uint64)
+    level = EliasFano.of(values)
+    assert level.ranks.nbytes < 0.5 * len(values) and len(level.to_bytes()) < 0.8 * len(values)
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_against_dictionaries(docs, monkeypatch, small):
     if small:  # several chunks in a task, several shards, contexts split over shards

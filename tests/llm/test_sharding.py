@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import product
 
 import numpy as np
 from hypothesis import given, settings
@@ -60,3 +61,32 @@ def test_differencing_balances_better_than_in_turn():
     sums[:, 0] = sizes
     total = sharding.difference(sums)[1]
     assert total.max() - total.min() <= 0.002 * sum(sizes) / 8
+
+
+def differenced(sizes, bins):
+    """Karmarkar-Karp as described: plain lists, the two partitions of largest spread first."""
+    parts = [sorted([n] + [0] * (bins - 1)) for n in sizes]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[-1] - p[0])
+        a, b = parts.pop(), parts.pop()
+        parts.append(sorted(x + y for x, y in zip(a, reversed(b), strict=True)))
+    return parts[0]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 10**6), min_size=1, max_size=9, unique=True), st.integers(2, 4))
+def test_spread_of_small_inputs(sizes, bins):
+    """Bins add up as placed; differencing is never worse than twice the best and no worse than the plain method by more than its ties."""
+    sums = np.zeros((len(sizes), bins), np.int64)
+    sums[:, 0] = sizes
+    places, total = sharding.difference(sums)
+    held = [0] * bins
+    for n, place in zip(sizes, places[:, 0].tolist(), strict=True):
+        held[place] += n
+    assert sorted(held) == sorted(total.tolist())
+    best = min(
+        max(sum(n for n, b in zip(sizes, way, strict=True) if b == k) for k in range(bins)) for way in product(range(bins), repeat=len(sizes))
+    ) if len(sizes) <= 7 else max(sizes)
+    assert best <= max(held) <= 2 * max(best, -(-sum(sizes) // bins))
+    if bins == 2:
+        assert sorted(held) == differenced(sizes, 2) or max(held) <= max(differenced(sizes, 2)) + min(sizes)

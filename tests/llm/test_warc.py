@@ -1,12 +1,13 @@
 import gzip
 from collections import defaultdict
 
+import duckdb
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from jobfacts.llm import warc
+from jobfacts.llm import queries, warc
 from jobfacts.session import shared_folder
 
 HTMLS = ["<p>a</p>", "", None, "x\r\n\r\nWARC/1.1\r\n\r\n", "ä" * 70_000, "<p>a</p>", "", "same", "same", "same", "\x00 \r\n"]
@@ -81,3 +82,16 @@ def test_nothing(pages):
 def test_loser_tree_merges(lists):
     got = list(warc.LoserTree([iter(sorted(x)) for x in lists], lambda x: x))
     assert got == sorted(x for part in lists for x in part)
+
+
+def test_query_with_equal_payloads(spark, tmp_path):
+    """The query and its SQL twin where most pages have one payload, some an empty or null one."""
+    rows = [(i, f"http://h{i % 3}.org/{i}", "same" if i % 3 else (None if i % 2 else "")) for i in range(60)]
+    rows += [(100 + i, None, f"own {i}") for i in range(5)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(tuple(r) for r in queries.op5_warc(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    names = "page_id, payload_bytes, payload_digest, record_type, refers_to"
+    want = sorted(con.execute(f"SELECT {names} FROM ({queries.ORACLE['op5_warc']})").fetchall())
+    assert got == want and sum(r[3] == "revisit" for r in got) == 39 + 19
