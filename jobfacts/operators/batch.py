@@ -66,8 +66,8 @@ def _read_specs(batches: DataFrame) -> DataFrame:
     )
 
 
-def expand_arrays(batches: DataFrame) -> DataFrame:
-    """One row per array task: ``batch_id, task_index, task_id``.
+def expand_arrays(batches: DataFrame, cap: int | None = None) -> DataFrame:
+    """One row per array task: ``batch_id, task_index, task_id``; with ``cap`` no more than that of each batch are made.
 
     A range is first cut into at most ``BLOCK`` even pieces, each of at least ``BLOCK``
     tasks, which spread over the cluster. A piece is expanded level by level, so that
@@ -77,10 +77,11 @@ def expand_arrays(batches: DataFrame) -> DataFrame:
         return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
 
     tasks = F.col("__tasks")
+    specs = _read_specs(batches).select("batch_id", "__start", "__step", "__tasks")
+    if cap is not None:
+        specs = specs.withColumn("__tasks", F.least(tasks, F.lit(cap).cast("bigint")))
     rows = (
-        _read_specs(batches)
-        .filter(tasks > 0)
-        .select("batch_id", "__start", "__step", "__tasks")
+        specs.filter(tasks > 0)
         .withColumn("__size", F.greatest(F.lit(BLOCK), div(tasks - 1, BLOCK) + 1))
         .withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("bigint"), div(tasks - 1, F.col("__size")))))
         .repartition("batch_id", "__piece")

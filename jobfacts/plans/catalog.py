@@ -523,7 +523,7 @@ def array_errors(spark, sf):
 
 @query
 def capped_tasks(spark, sf):
-    return batch.cap_tasks(batch.expand_arrays(views.batches(spark, sf)), 3)
+    return batch.expand_arrays(views.batches(spark, sf), cap=3)
 
 
 @query

@@ -149,6 +149,8 @@ def test_array_specs_equal_brute_force(spark):
         assert [got[i] for i in sorted(got)] == ids and sorted(got) == list(range(len(ids))), spec
         assert (key in errors) == bad, spec
         assert (summary[key].submitted, summary[key].failed, summary[key].success) == (len(ids), int(bad), bool(ids))
+    capped = batch.expand_arrays(df, cap=3)
+    assert sorted(map(tuple, capped.collect())) == sorted(map(tuple, batch.cap_tasks(batch.expand_arrays(df), 3).collect()))
 
 
 def test_a_huge_spec_is_expanded_lazily(spark):
