@@ -137,7 +137,7 @@ def output_tails(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
 def script_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A script file per request, classified from its file."""
     folder = shared_folder(spark, "scripts")
-    requests = views.ascii_requests(spark, sf_dir).repartition(WRITERS, "request_id")
+    requests = views.requests(spark, sf_dir).repartition(WRITERS, "request_id")
     requests.select(F.coalesce("script", F.lit("")).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
     read = readers.read_scripts(spark, folder).withColumn("request_id", F.col("path"))
     found = scripts.classify(read.withColumns({"cluster": F.lit(None).cast("string"), "job_name": F.lit("")}))

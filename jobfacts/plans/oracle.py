@@ -155,7 +155,17 @@ def _any(patterns: list[str]) -> str:
     return " OR ".join(f"regexp_matches(lower(script), {_lit(p)})" for p in patterns)
 
 
-_CTES["classes"] = f"""plain AS (SELECT * REPLACE (regexp_replace(script, '[^\\x00-\\x7F]', ' ', 'g') AS script) FROM requests),
+def _plain(text: str) -> str:
+    """The text with a letter, blank or mark of ASCII for all others, as the patterns of this engine know ASCII only.
+
+    No word of the patterns has a j, so no character that becomes one makes a word.
+    """
+    for kind, stand_in in [*((k, "j") for k in ("L", "M", "Nd", "Nl", "Pc")), ("Z", " ")]:
+        text = f"regexp_replace({text}, '[^\\x00-\\x7F\\P{{{kind}}}]', '{stand_in}', 'g')"
+    return f"regexp_replace({text}, '[^\\x00-\\x7F]', ';', 'g')"
+
+
+_CTES["classes"] = f"""plain AS (SELECT * REPLACE ({_plain('script')} AS script) FROM requests),
 classes AS (
   SELECT request_id, cluster, backend, job_name, {_any(fv.CPU_PATTERNS)} AS cpu_intensive,
          {_any(fv.MEMORY_PATTERNS)} AS memory_intensive, {_any(fv.IO_PATTERNS)} AS io_intensive,

@@ -428,11 +428,6 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ascii_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The requests with blanks for all but ASCII: word boundaries beyond it differ between the two engines' patterns."""
-    return requests(spark, sf_dir).withColumn("script", F.regexp_replace("script", r"[^\x00-\x7F]", " "))
-
-
 # ------------------------------------------------------------ status and output
 def event_state() -> Column:
     return states.lookup(EVENT_STATES, F.col("event_type"))
