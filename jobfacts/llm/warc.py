@@ -5,8 +5,8 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import io
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from jobfacts.llm.common import apart, mapped, small, written
 from jobfacts.session import shared_folder
 
-#: Records in one archive, index entries in one task of the merge.
-ARCHIVE_RECORDS, MERGE_ENTRIES = 2000, 100_000
+#: Records and packed bytes in one archive (a larger record has one of its own), index entries in one task of the merge.
+ARCHIVE_RECORDS, ARCHIVE_BYTES, MERGE_ENTRIES = 20_000, 16 << 20, 100_000
+#: Unpacked bytes of a gzip member: below 16 MiB the last byte of the size that closes a member is zero.
+MEMBER_BYTES = (1 << 24) - 1
 END_OF_RECORD = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -58,13 +60,20 @@ def record(page_id: int | None, url: str | None, date: str, html: str, digest: s
     return "\r\n".join(head) + "\r\n\r\n" + block
 
 
+def packed(record: bytes, most: int = MEMBER_BYTES) -> bytes:
+    """A record as a gzip member of its own; one of over `most` bytes as several."""
+    return b"".join(gzip.compress(record[at : at + most], 6, mtime=0) for at in range(0, len(record), most))
+
+
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: Column | None = None) -> None:
-    """Write a gzipped archive for each task's share of `pages` (page_id, url, html).
+    """Write archives of bounded size for each task's share of `pages` (page_id, url, html).
 
     Of records with equal payloads of at least `least_bytes` bytes, that of the largest page_id is a response and the
     others revisit it. Owners of payloads are found by digest before any payload moves; the payloads then meet their
-    owner in a join on the digest, which adaptive execution splits where one payload is very frequent. Spark's text
-    writer closes each record with the two line ends the format asks for, so files arrive whole or not at all.
+    owner in a join on the digest, which adaptive execution splits where one payload is very frequent.
+
+    Each record is a gzip member, so its place in the file is all it takes to read it. An archive is a row that Spark's
+    text writer puts in a file of its own, whole or not at all: the line's end is the zero byte that closes the last member.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(
@@ -79,32 +88,85 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: Co
     known = rows.join(apart(owners, "same"), "same").withColumn("revisit", revisit).drop("same")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members: list[bytes] = []
+        size = 0
+
+        def archive() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([b"".join(members)[:-1]], pa.binary())], names=["value"])
+
         for batch in small(batches, "html"):
-            out = []
             for r in batch.to_pylist():
                 digest = payload_digest(r["html"].encode())
-                out.append(record(r["page_id"], r["url"], r["date"], r["html"], digest, r["owner"] if r["revisit"] else None, r["revisit"]))
-            yield pa.record_batch([pa.array(out, pa.string())], names=["value"])
-
-    mapped(known, run, "value string").write.options(lineSep=END_OF_RECORD, compression="gzip", maxRecordsPerFile=ARCHIVE_RECORDS).text(folder)
+                text = record(r["page_id"], r["url"], r["date"], r["html"], digest, r["owner"] if r["revisit"] else None, r["revisit"])
+                member = packed((text + END_OF_RECORD).encode(), MEMBER_BYTES)
+                if members and (size + len(member) > ARCHIVE_BYTES or len(members) == ARCHIVE_RECORDS):
+                    yield archive()
+                    members, size = [], 0
+                members.append(member)
+                size += len(member)
+        if members:
+            yield archive()
+
+    archives = mapped(known, run, "value binary").select(F.col("value").cast("string"))
+    archives.write.options(lineSep="\0", maxRecordsPerFile=1).text(folder)
+
+
+class Members:
+    """The bytes of a file's gzip members one after the other; one member at a time is unpacked."""
+
+    def __init__(self, body) -> None:
+        self.body, self.at = memoryview(body), 0
+        self.open, self.read_to = b"", 0
+
+    def _next(self) -> bool:
+        if self.at >= len(self.body):
+            return False
+        unpack, out, at = zlib.decompressobj(31), [], self.at
+        while not unpack.eof:
+            if at >= len(self.body):
+                raise ValueError(f"the member at {self.at} is cut short")
+            out.append(unpack.decompress(self.body[at : at + 8192]))
+            at += 8192
+        self.open = b"".join([self.open[self.read_to :], *out])
+        self.read_to, self.at = 0, min(at, len(self.body)) - len(unpack.unused_data)
+        return True
+
+    def read(self, size: int) -> bytes:
+        while len(self.open) - self.read_to < size and self._next():
+            pass
+        part = self.open[self.read_to : self.read_to + size]
+        self.read_to += len(part)
+        return part
+
+    def readline(self) -> bytes:
+        while (end := self.open.find(b"\n", self.read_to)) < 0 and self._next():
+            pass
+        return self.read((len(self.open) if end < 0 else end + 1) - self.read_to)
+
+    def tell(self) -> int:
+        """Where the next member begins, which must be where the next record does."""
+        if self.read_to < len(self.open):
+            raise ValueError(f"a record ends inside the member before {self.at}")
+        return self.at
 
 
 def read_records(stream, archive: str) -> Iterator[tuple]:
-    """The entries (`ENTRY`) of an archive's records; lengths rule, so payloads may contain anything."""
-    at = 0
+    """The entries (`ENTRY`) of an archive's records; lengths rule, so payloads may contain anything.
+
+    Places and lengths are those of `stream.tell()`: of `Members`, bytes of the packed file.
+    """
+    at = stream.tell()
     while first := stream.readline():
         if first.strip() != b"WARC/1.1":
             raise ValueError(f"{archive}: no record at {at}")
-        size, head = len(first), {}
+        head = {}
         while (line := stream.readline()) not in (b"\r\n", b""):
-            size += len(line)
             key, _, value = line.decode().rstrip("\r\n").partition(": ")
             head[key] = value
         block = stream.read(int(head["Content-Length"]))
         close = stream.read(4)
         if len(block) != int(head["Content-Length"]) or close != END_OF_RECORD.encode():
             raise ValueError(f"{archive}: the record at {at} is cut short")
-        size += 2 + len(block) + 4
         payload = block.partition(b"\r\n\r\n")[2]
         digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
         revisit = head["WARC-Type"] == "revisit"
@@ -115,9 +177,9 @@ def read_records(stream, archive: str) -> Iterator[tuple]:
         length = int(head["X-Payload-Length"]) if revisit else len(payload)
         yield (
             url_key(url), re.sub(r"\D", "", head["WARC-Date"]), number("WARC-Record-ID"), head["WARC-Type"],
-            number("WARC-Refers-To"), length, digest, url, archive, at, size,
+            number("WARC-Refers-To"), length, digest, url, archive, at, stream.tell() - at,
         )
-        at += size
+        at = stream.tell()
 
 
 def _order(entry: tuple) -> tuple:
@@ -129,22 +191,49 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def _archives(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
+
+
 def runs(spark: SparkSession, folder: str) -> DataFrame:
     """`ENTRY` and run: the entries of every archive in `folder`, each archive a run in order."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("path", "content")
+    files = _archives(spark, folder)
     schema = _ENTRY.append(pa.field("run", pa.string())).append(pa.field("place", pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 name = batch.column("path")[i].as_py().rpartition("/")[2]
-                with gzip.GzipFile(fileobj=io.BytesIO(batch.column("content")[i].as_buffer())) as stream:
-                    entries = sorted(read_records(stream, name), key=_order)
+                entries = sorted(read_records(Members(batch.column("content")[i].as_buffer()), name), key=_order)
                 yield _table([(*e, name, k) for k, e in enumerate(entries)], schema)
 
     return mapped(files, run, f"{ENTRY}, run string, place long")
 
 
+def payloads(spark: SparkSession, folder: str, entries: DataFrame) -> DataFrame:
+    """`entries` (columns of `ENTRY`) and payload: the bytes of each capture, cut out of its archive by place and length.
+
+    A revisit has no bytes of its own: its payload is null, and `refers_to` names the page to ask for. An entry whose
+    archive is not in `folder` is left out. Only the cut records leave the tasks that read the archives.
+    """
+    files = _archives(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
+    cut = F.substring("content", F.col("offset").cast("int") + 1, F.col("length").cast("int"))
+    rows = entries.select(*_ENTRY.names).join(files, "archive").select(*_ENTRY.names, cut.alias("member"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, "member"):
+            kinds = batch.column("record_type").to_pylist()
+            found = []
+            for kind, member in zip(kinds, batch.column("member")):
+                block = gzip.decompress(member.as_buffer())
+                body = block.split(b"\r\n\r\n", 2)[2][: -len(END_OF_RECORD)]
+                found.append(body if kind == "response" else None)
+            columns = [batch.column(name) for name in _ENTRY.names] + [pa.array(found, pa.binary())]
+            yield pa.record_batch(columns, names=[*_ENTRY.names, "payload"])
+
+    return mapped(rows, run, f"{ENTRY}, payload binary")
+
+
 class LoserTree:
     """Merges sorted iterators: inner nodes keep the loser of each match, so a new head replays one path only."""
 

@@ -1,4 +1,6 @@
 import gzip
+import random
+import zlib
 from collections import defaultdict
 
 import duckdb
@@ -52,16 +54,54 @@ def test_small_payloads_are_all_responses(spark, pages):
     assert "revisit" in {g.record_type for g in got}
 
 
-def test_archives_are_warc(spark, pages):
+def archives(spark, folder):
+    rows = spark.read.format("binaryFile").load(folder).filter("path NOT LIKE '%SUCCESS'").collect()
+    return {r.path.rpartition("/")[2]: bytes(r.content) for r in rows}
+
+
+@pytest.mark.parametrize("member", [warc.MEMBER_BYTES, 700])
+def test_archives_are_warc(spark, pages, monkeypatch, member):
+    """A record is what stands at its place, read alone; an archive is also one gzip file as a whole."""
+    monkeypatch.setattr(warc, "MEMBER_BYTES", member)
     folder = shared_folder(spark, "archive-test")
     warc.write_archives(pages, folder)
     index = warc.runs(spark, folder).collect()
-    for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).collect():
-        body = gzip.decompress(r.content)
-        mine = sorted((x.offset, x.length) for x in index if x.archive == r.path.rpartition("/")[2])
-        assert sum(n for _, n in mine) == len(body)
+    assert len(index) == pages.count()
+    for name, content in archives(spark, folder).items():
+        mine = sorted((x.offset, x.length) for x in index if x.archive == name)
+        assert [at for at, _ in mine] == [0, *(at + n for at, n in mine)][:-1] and sum(n for _, n in mine) == len(content)
+        parts = [gzip.decompress(content[at : at + n]) for at, n in mine]
+        assert b"".join(parts) == gzip.decompress(content)
+        for part in parts:
+            assert part.startswith(b"WARC/1.1\r\nWARC-Type: ") and part.endswith(b"\r\n\r\n")
         for at, n in mine:
-            assert body[at : at + n].startswith(b"WARC/1.1\r\nWARC-Type: ") and body[at : at + n].endswith(b"\r\n\r\n")
+            assert len(zlib.decompressobj(31).decompress(content[at : at + n])) <= member
+
+
+def test_archives_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    rng = random.Random(3)
+    htmls = [rng.randbytes(n).hex() for n in [100] * 40 + [5000] + [100] * 5]
+    pages = spark.createDataFrame(list(enumerate(htmls)), "page_id long, html string").withColumn("url", F.lit("http://a.org/")).coalesce(1)
+    folder = shared_folder(spark, "archive-test")
+    warc.write_archives(pages, folder)
+    files = archives(spark, folder)
+    assert len(files) > 5 and sorted(map(len, files.values()))[-2] <= 3000
+    assert warc.runs(spark, folder).count() == 46
+
+
+def test_payloads_by_place_and_length(spark, pages):
+    folder = shared_folder(spark, "archive-test")
+    warc.write_archives(pages, folder, 0)
+    index = warc.merged(warc.runs(spark, folder))
+    got = {(r.page_id, r.payload_digest): r for r in warc.payloads(spark, folder, index).collect()}
+    for r in pages.collect():
+        body = (r.html or "").encode()
+        g = got[r.page_id, warc.payload_digest(body)]
+        assert g.payload == (body if g.record_type == "response" else None)
+        if g.refers_to is not None:
+            assert got[g.refers_to, g.payload_digest].payload == body
+    assert warc.payloads(spark, folder, index.filter("page_id = 4")).count() == 1
 
 
 def test_damage_is_noticed():
@@ -72,6 +112,11 @@ def test_damage_is_noticed():
     for broken in (text.replace("body", "bodx"), text[:-6], "y" + text):
         with pytest.raises(ValueError):
             list(warc.read_records(io.BytesIO(broken.encode()), "x"))
+    whole = warc.packed(text.encode())
+    assert [e[-2:] for e in warc.read_records(warc.Members(whole * 2), "x")] == [(0, len(whole)), (len(whole), len(whole))]
+    for broken in (whole[:-3], warc.packed((text * 2).encode()), warc.packed(text[:-6].encode())):
+        with pytest.raises(ValueError):
+            list(warc.read_records(warc.Members(broken), "x"))
 
 
 def test_nothing(pages):
