@@ -89,64 +89,103 @@ class EliasFano:
         return cls(n, low_bits, low, high), 32 + 8 * (a + b)
 
 
-class Trie:
-    """Contexts, the range of successors of each, their words, and a quantised probability for each.
+class Level:
+    """The successors of numbered contexts: where each context's range begins, words, a quantised probability each.
 
-    Contexts and pointers rise by themselves. Words rise only within a context, so each range goes on where the one
-    before ended: a stored number is the word plus the last stored number of the range before, plus one. A search for
-    a word is therefore a search for a number relative to its context.
+    Pointers rise by themselves. Words rise only within a context, so each range goes on where the one before ended: a
+    stored number is the word plus the last stored number of the range before, plus one. A search for a word is
+    therefore a search for a number relative to its context.
     """
 
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, words: EliasFano, codes: np.ndarray) -> None:
-        self.contexts, self.pointers, self.words, self.codes = contexts, pointers, words, codes
+    def __init__(self, pointers: EliasFano, words: EliasFano, codes: np.ndarray) -> None:
+        self.pointers, self.words, self.codes = pointers, words, codes
+
+    @classmethod
+    def of(cls, widths: np.ndarray, word: np.ndarray, codes: np.ndarray) -> Level:
+        """From how many successors each context has, and these in order of context, then word."""
+        ends = np.cumsum(widths)
+        last = np.zeros(len(widths), np.int64)
+        some = np.flatnonzero(widths)
+        last[some] = word[ends[some] - 1] + 1
+        offset = np.cumsum(last) - last
+        return cls(EliasFano.of(np.append(0, ends)), EliasFano.of(word.astype(np.int64) + np.repeat(offset, widths)), codes.astype("<u2"))
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The place of each word among its context's successors, -1 where it is none; a context of -1 has none."""
+        out = np.full(len(context), -1, np.int64)
+        use = np.flatnonzero(context >= 0)
+        asked, back = np.unique(context[use], return_inverse=True)
+        begin, end = self.pointers[asked].astype(np.int64), self.pointers[asked + 1].astype(np.int64)
+        offset = np.zeros(len(asked), np.uint64)
+        later = begin > 0
+        offset[later] = self.words[begin[later] - 1] + _ONE
+        target = word[use].astype(np.uint64) + offset[back]
+        place = self.words.successor(target, begin[back], end[back])
+        hit = place < end[back]
+        hit[hit] = self.words[place[hit]] == target[hit]
+        out[use[hit]] = place[hit]
+        return out
+
+    def to_bytes(self) -> bytes:
+        return b"".join([self.pointers.to_bytes(), self.words.to_bytes(), self.codes.tobytes(), b"\0" * (-2 * len(self.codes) % 8)])
+
+    @classmethod
+    def from_buffer(cls, view: memoryview) -> tuple[Level, memoryview]:
+        """A view of what `to_bytes` wrote, and what follows it."""
+        parts = []
+        for _ in range(2):
+            part, size = EliasFano.from_buffer(view)
+            parts.append(part)
+            view = view[size:]
+        n = parts[1].n
+        return cls(*parts, np.frombuffer(view, "<u2", n)), view[-(-n // 4) * 8 :]
+
+
+class Trie:
+    """First words in a rising sequence, then a level for each further order; a place in one is a context of the next."""
+
+    def __init__(self, contexts: EliasFano, levels: list[Level]) -> None:
+        self.contexts, self.levels = contexts, levels
 
     @classmethod
-    def of(cls, context: np.ndarray, word: np.ndarray, codes: np.ndarray) -> Trie:
-        """From n-grams sorted by context, then word."""
+    def of(cls, context: np.ndarray, word: np.ndarray, codes: np.ndarray, *further: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Trie:
+        """From bigrams sorted by context, then word; `further` has what `Level.of` takes, order by order."""
         new = np.ones(len(context), bool)
         new[1:] = context[1:] != context[:-1]
         begins = np.flatnonzero(new)
-        ends = np.append(begins[1:], len(context))
-        last = word[ends - 1].astype(np.int64) + 1
-        offset = np.cumsum(last) - last
-        stored = word.astype(np.int64) + np.repeat(offset, ends - begins)
-        return cls(
-            EliasFano.of(context[begins]), EliasFano.of(np.append(begins, len(context))), EliasFano.of(stored), codes.astype("<u2")
-        )
+        widths = np.diff(np.append(begins, len(context)))
+        return cls(EliasFano.of(context[begins]), [Level.of(widths, word, codes), *(Level.of(*x) for x in further)])
 
-    def lookup(self, context: np.ndarray, word: np.ndarray, absent: int) -> np.ndarray:
-        """The code of each n-gram, `absent` where the trie has none."""
-        out = np.full(len(context), absent, np.uint16)
+    def roots(self, context: np.ndarray) -> np.ndarray:
+        """The place of each first word, -1 where the trie has none."""
         n = self.contexts.n
-        if not n or not len(context):
-            return out
         asked, back = np.unique(context, return_inverse=True)
         at = self.contexts.successor(asked.astype(np.uint64), np.zeros(len(asked), np.int64), np.full(len(asked), n, np.int64))
         known = at < n
         known[known] = self.contexts[at[known]] == asked[known].astype(np.uint64)
-        at = np.where(known, at, 0)
-        begin, end = self.pointers[at].astype(np.int64), self.pointers[at + 1].astype(np.int64)
-        offset = np.zeros(len(asked), np.uint64)
-        later = begin > 0
-        offset[later] = self.words[begin[later] - 1] + _ONE
-        use = np.flatnonzero(known[back])
-        which = back[use]
-        target = word[use].astype(np.uint64) + offset[which]
-        place = self.words.successor(target, begin[which], end[which])
-        hit = place < end[which]
-        hit[hit] = self.words[place[hit]] == target[hit]
-        out[use[hit]] = self.codes[place[hit]]
+        return np.where(known, at, -1)[back]
+
+    def codes(self, order: int, place: np.ndarray, absent: int) -> np.ndarray:
+        """The codes at these places of the level of `order`, `absent` for a place of -1."""
+        out = np.full(len(place), absent, np.uint16)
+        out[place >= 0] = self.levels[order - 2].codes[place[place >= 0]]
         return out
 
+    def lookup(self, context: np.ndarray, word: np.ndarray, absent: int) -> np.ndarray:
+        """The code of each bigram, `absent` where the trie has none."""
+        return self.codes(2, self.levels[0].find(self.roots(context), word), absent)
+
     def to_bytes(self) -> bytes:
-        return b"".join([x.to_bytes() for x in (self.contexts, self.pointers, self.words)] + [self.codes.tobytes()])
+        return b"".join([np.array([len(self.levels)], "<u8").tobytes(), self.contexts.to_bytes(), *(x.to_bytes() for x in self.levels)])
 
     @classmethod
     def from_buffer(cls, buffer) -> Trie:
-        """A view: bytes, an Arrow buffer or a `numpy.memmap` of a level file."""
+        """A view: bytes, an Arrow buffer or a `numpy.memmap` of a file."""
         view, levels = memoryview(buffer), []
-        for _ in range(3):
-            level, size = EliasFano.from_buffer(view)
+        count = int(np.frombuffer(view, "<u8", 1)[0])
+        contexts, size = EliasFano.from_buffer(view[8:])
+        view = view[8 + size :]
+        for _ in range(count):
+            level, view = Level.from_buffer(view)
             levels.append(level)
-            view = view[size:]
-        return cls(*levels, np.frombuffer(view, "<u2", levels[2].n))
+        return cls(contexts, levels)

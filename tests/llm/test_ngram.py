@@ -17,22 +17,25 @@ from jobfacts.llm.eliasfano import EliasFano, Trie
 def model(rows, held):
     """Scores by dictionaries: (tokens, known, N, base, score) for each row in order."""
     tokens = [brute_words(r.text) + [None] for r in rows]
-    c, pairs = Counter(), Counter()
+    c, pairs, triples = Counter(), Counter(), Counter()
     for r, ws in zip(rows, tokens):
         if not held(r):
             c.update(ws)
             pairs.update(zip([None, *ws], ws))
+            triples.update(zip([None, *ws], ws, ws[1:]))
     n, v = sum(c.values()), len(c)
     once, twice = (sum(x == k for x in c.values()) for k in (1, 2))
     d = once / (once + 2 * twice) if once + twice else 0.5
     out = []
     for ws in tokens:
         base = score = 0.0
-        for u, w in zip([None, *ws], ws):
+        for t, u, w in zip([0, None, *ws], [None, *ws], ws):
             base += math.log10((c[w] + 1) / (n + v + 1))
-            weight = ngram.WEIGHT * c[u] / (c[u] + 1)
-            alone = ((c[w] - d) / n if c[w] else d * v / n) if n else 1.0
-            score += math.log10((weight * pairs[u, w] / c[u] if c[u] else 0) + (1 - weight) * alone)
+            chance = ((c[w] - d) / n if c[w] else d * v / n) if n else 1.0
+            for seen, total in ((pairs[u, w], c[u]), (triples[t, u, w], pairs[t, u] if t != 0 else 0)):
+                weight = ngram.WEIGHT * total / (total + 1)
+                chance = (weight * seen / total if total else 0) + (1 - weight) * chance
+            score += math.log10(chance)
         out.append((len(ws), sum(c[w] > 0 for w in ws), n, base, score))
     return out
 
@@ -103,3 +106,36 @@ def test_trie_from_a_mapped_file(tmp_path):
     asked = [(rng.randrange(0, 310), rng.randrange(0, 5001)) for _ in range(3000)] + grams
     got = trie.lookup(*(np.array(x, np.int64) for x in zip(*asked)), ngram.ABSENT)
     assert got.tolist() == [known.get(g, ngram.ABSENT) for g in asked]
+
+
+@given(st.dictionaries(st.tuples(st.integers(1, 9), st.integers(1, 9)), st.lists(st.integers(1, 40), unique=True, max_size=6), max_size=30))
+def test_third_words(following):
+    """Every trigram is found from its bigram's place, also where bigrams have none; others are not."""
+    grams = sorted(following)
+    context, word = (np.array([g[k] for g in grams], np.int64) for k in (0, 1))
+    third = np.array([w for g in grams for w in sorted(following[g])], np.int64)
+    widths = np.array([len(following[g]) for g in grams], np.int64)
+    trie = Trie.of(context, word, np.arange(len(grams)), (widths, third, np.arange(len(third))))
+    trie = Trie.from_buffer(trie.to_bytes())
+    numbers = {(*g, w): i for i, (g, w) in enumerate((g, w) for g in grams for w in sorted(following[g]))}
+    asked = [*numbers, *((u, v, w) for u in (0, 1, 5, 10) for v in (1, 5, 9) for w in (0, 1, 20, 41))]
+    u, v, w = (np.array([x[k] for x in asked], np.int64) for k in range(3))
+    place = trie.levels[0].find(trie.roots(u), v)
+    got = trie.codes(3, trie.levels[1].find(place, w), ngram.ABSENT)
+    assert got.tolist() == [numbers.get(x, ngram.ABSENT) for x in asked]
+
+
+def test_packed_numbers():
+    for values in ([], [0], [1, 255], [256, 3, 65535], [1 << 20, 0, 7], [1 << 40, 1 << 63 - 1 - 8, 5]):
+        assert ngram.unpack_ints(ngram.pack_ints(np.array(values, np.int64))).tolist() == values
+
+
+def test_a_longer_context_helps(docs):
+    """Held-out texts are likelier than under single words, and a text that training knows likelier than a new one of its words."""
+    known = "one two three four five six seven eight nine ten"
+    rows = [(i, known if i < 9 else f"{i} other words here", i == 20) for i in range(20)]
+    rows += [(20, known, True), (21, " ".join(reversed(known.split())), True)]
+    spark = docs.sparkSession
+    made = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    got = {r.doc_id: r for r in ngram.score(made, F.col("held")).collect()}
+    assert got[20].score > got[20].base_score / 2 and got[20].score > got[21].score + 3
