@@ -38,11 +38,12 @@ class EliasFano:
         np.bitwise_or.at(high, ones >> 6, _ONE << (ones & 63).astype(np.uint64))
         return cls(n, low_bits, low, high)
 
-    def _ones(self, index: np.ndarray) -> np.ndarray:
-        """Where the ones of these numbers are in the bit string: the word by the directory, then halves of it."""
-        word = np.searchsorted(self.ranks, index, "right") - 1
-        left = (index - self.ranks[word]).astype(np.uint64)
-        bits, place = self.high[word].astype(np.uint64), np.zeros(len(index), np.uint64)
+    @staticmethod
+    def _select(index: np.ndarray, high: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        """Where the ones of these numbers are in a bit string: the word by the directory, then halves of it."""
+        word = np.searchsorted(ranks, index.astype(ranks.dtype), "right") - 1
+        left = (index - ranks[word]).astype(np.uint64)
+        bits, place = high[word].astype(np.uint64), np.zeros(len(index), np.uint64)
         for half in (32, 16, 8, 4, 2, 1):
             below = np.bitwise_count(bits & np.uint64((1 << half) - 1)).astype(np.uint64)
             above = left >= below
@@ -52,10 +53,18 @@ class EliasFano:
             place += step
         return (word << 6) + place.astype(np.int64)
 
+    def _below(self, high: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        """How many numbers have a high part below these: the zeros of the bit string divide the high parts."""
+        out = np.full(len(high), self.n, np.int64)
+        out[high <= 0] = 0
+        use = np.flatnonzero((high > 0) & (high <= 64 * len(self.high) - self.n))
+        out[use] = self._select(high[use] - 1, ~self.high, ranks) - (high[use] - 1)
+        return out
+
     def __getitem__(self, index: np.ndarray) -> np.ndarray:
         """The numbers at many places at once."""
         index = np.asarray(index, np.int64)
-        high = (self._ones(index) - index).astype(np.uint64)
+        high = (self._select(index, self.high, self.ranks) - index).astype(np.uint64)
         if not self.low_bits:
             return high
         place = index * self.low_bits
@@ -67,7 +76,9 @@ class EliasFano:
 
     def successor(self, target: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The first place in [begin, end) whose number is at least the target, `end` where there is none."""
-        low, high = begin.astype(np.int64).copy(), end.astype(np.int64).copy()
+        part = (target.astype(np.uint64) >> np.uint64(self.low_bits)).astype(np.int64)
+        zeros = np.arange(len(self.high), dtype=np.int64) * 64 - self.ranks
+        low, high = (np.clip(self._below(x, zeros), begin, end).astype(np.int64) for x in (part, part + 1))
         active = np.flatnonzero(low < high)
         while len(active):
             mid = (low[active] + high[active]) // 2
