@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -32,15 +33,41 @@ _WIDTHS = ("<u1", "<u2", "<u4", "<u8")
 
 
 def pack_ints(values: np.ndarray) -> bytes:
-    """Numbers from 0 on in the least width that holds them all, named by the first byte; lowest bytes of all first."""
+    """Numbers from 0 on in the least width that holds them all, lowest bytes of all first, with zstd where that is less."""
     top = int(values.max()) if len(values) else 0
     kind = next(k for k in range(4) if top < 1 << (8 << k))
-    return bytes([kind]) + values.astype(_WIDTHS[kind]).view(np.uint8).reshape(-1, 1 << kind).T.tobytes()
+    planes = values.astype(_WIDTHS[kind]).view(np.uint8).reshape(-1, 1 << kind).T.tobytes()
+    if len(planes) > 64:
+        less = pa.compress(planes, "zstd", asbytes=True)
+        if len(less) + 8 < len(planes):
+            return bytes([kind + 4]) + len(values).to_bytes(8, "little") + less
+    return bytes([kind]) + planes
+
+
+def packed_size(body: bytes) -> int:
+    """How many numbers `pack_ints` was given."""
+    return int.from_bytes(body[1:9], "little") if body[0] >= 4 else (len(body) - 1) >> body[0]
 
 
 def unpack_ints(body: bytes) -> np.ndarray:
-    planes = np.frombuffer(body, np.uint8, offset=1).reshape(1 << body[0], -1)
-    return np.ascontiguousarray(planes.T).view(_WIDTHS[body[0]]).ravel().astype(np.int64)
+    kind, n = body[0] % 4, packed_size(body)
+    planes = pa.decompress(memoryview(body)[9:], n << kind, "zstd") if body[0] >= 4 else memoryview(body)[1:]
+    out = np.empty((n, 1 << kind), np.uint8)
+    out[:] = np.frombuffer(planes, np.uint8).reshape(1 << kind, n).T
+    return out.view(_WIDTHS[kind]).ravel().astype(np.int64)
+
+
+def ordered(*keys: np.ndarray) -> np.ndarray:
+    """The order of rows by the first key, then the next: one sort where the numbers fit into one."""
+    if not len(keys[0]):
+        return np.empty(0, np.int64)
+    spans = [int(k.max()) + 1 for k in keys]
+    if math.prod(spans) >= 1 << 63:
+        return np.lexsort(keys[::-1])
+    one = keys[0].astype(np.int64)
+    for key, span in zip(keys[1:], spans[1:]):
+        one = one * span + key
+    return np.argsort(one)
 
 
 def chunks(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
@@ -176,7 +203,7 @@ class _Grams:
         with np.errstate(over="ignore"):
             part = mix(words[word[use]]) % (self.of_context // SPLIT + 1).astype(np.uint64)
             shard = _shard_of(mix(words[context[use]] + mix(part)), shards)
-        order = np.lexsort((self.word, self.context, shard))
+        order = ordered(shard, self.context, self.word)
         self.use = use[order]
         self.context, self.word, self.of_context = (x[order] for x in (self.context, self.word, self.of_context))
         self.cuts = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -191,7 +218,7 @@ class _Grams:
         place[self.use] = np.arange(len(self.use))
         place, third = place[keys // max(len(words), 1)], ids[keys % max(len(words), 1)]
         use = np.flatnonzero((place >= 0) & (third > 0))
-        self.use3 = use[np.lexsort((third[use], place[use]))]
+        self.use3 = use[ordered(place[use], third[use])]
         self.third = third[self.use3]
         self.width3 = np.bincount(place[self.use3], minlength=len(self.use))
         self.cuts3 = np.append(0, np.cumsum(self.width3))[self.cuts]
@@ -255,9 +282,10 @@ def build_trie(context: np.ndarray, word: np.ndarray, seen: np.ndarray, total: n
 
 def _distinct(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each different pair is first, in order, and the number of each pair among these."""
-    order = np.lexsort((word, context))
+    order = ordered(context, word)
+    context, word = context[order], word[order]
     first = np.ones(len(order), bool)
-    first[1:] = (context[order][1:] != context[order][:-1]) | (word[order][1:] != word[order][:-1])
+    first[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(first) - 1
     return order[first], which
@@ -289,7 +317,7 @@ def gram_answers(requests: DataFrame, shards: int) -> DataFrame:
             codes, codes3 = trie.codes(2, place, ABSENT)[which], trie.codes(3, place3, ABSENT)[which3]
 
             def cut(name: str, values: np.ndarray) -> list[bytes]:
-                cuts = np.cumsum([0, *(len(unpack_ints(m[name])) for m in messages)])
+                cuts = np.cumsum([0, *(packed_size(m[name]) for m in messages)])
                 return [pack_ints(values[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
 
             yield pa.record_batch(
