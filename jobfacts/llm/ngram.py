@@ -383,8 +383,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     bigram's share of its own, and that with the discounted share of the word alone, all of whose discount goes to
     unknown words. A text begins after an end token. base_score adds one to each count.
 
-    Documents become chunks, a bucketed table below the shared folder, so their tokens are never shuffled (its name is
-    in the session's catalog only while the job is put together, so that must allow tables). A chunk asks the unigram shards for
+    Documents become chunks, a bucketed table below the shared folder, so their tokens are never shuffled (its name, and
+    that of the table of known words, is in the session's catalog only while the job is put together, so that must allow tables). A chunk asks the unigram shards for
     counts and ids of its distinct words, then the shards of n-grams for its distinct bigrams and trigrams, with its own training counts
     in the same message; a shard adds up, builds its Elias-Fano trie, and answers each chunk by successor search. The
     tries are written with the answers, below the shared folder. Messages
@@ -399,25 +399,27 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
     buckets = min(most, max(8, -(-size // (2 * CHUNK_BYTES))))  # of more text a bucket has more chunks
-    name = f"chunks_{uuid.uuid4().hex}"
-    made = chunks(docs, held_out, id_col, text_col).write.bucketBy(buckets, "chunk").option("compression", "zstd")
-    made.option("path", shared_folder(spark, "chunks")).saveAsTable(name)
-    all_chunks = spark.table(name)
+    names: list[str] = []
+
+    def bucketed(rows: DataFrame, purpose: str) -> DataFrame:
+        names.append(f"{purpose}_{uuid.uuid4().hex}")
+        made = rows.write.bucketBy(buckets, "chunk").option("compression", "zstd").option("path", shared_folder(spark, purpose))
+        made.saveAsTable(names[-1])
+        return spark.table(names[-1])
+
+    all_chunks = bucketed(chunks(docs, held_out, id_col, text_col), "chunks")
     entries = all_chunks.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
-    words = written(word_counts(all_chunks, int(entries // WORD_SHARD) + 1), "word-counts")
+    # In buckets of their chunk, what is known of words meets the chunk twice without being shuffled again.
+    words = bucketed(word_counts(all_chunks, int(entries // WORD_SHARD) + 1).repartition(buckets, "chunk"), "known_words")
     sums = words.filter("chunk = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("types", "tokens", "once", "twice"))).first()
     types, n, once, twice = map(int, sums)
     discount = once / (once + 2 * twice) if once + twice else 0.5
     shards = n // PAIR_SHARD + 1
-    known = (
-        words.filter("chunk >= 0")
-        .repartition(buckets, "chunk")
-        .groupBy("chunk")
-        .agg(F.collect_list(F.struct("shard", "ids", "counts")).alias("known"))
-    )
+    known = words.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("shard", "ids", "counts")).alias("known"))
     known_chunks = all_chunks.join(known, "chunk")
     answers = written(gram_answers(gram_requests(known_chunks, shards), shards), "gram-codes").filter("chunk >= 0")
     given = answers.repartition(buckets, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("shard", "codes", "codes3")).alias("answers"))
     scored = _scores(known_chunks.join(given, "chunk", "left"), shards, n, types, discount)
-    spark.sql(f"DROP TABLE {name}")  # the name only: files of an external table stay, and the plan has them
+    for name in names:  # the names only: files of an external table stay, and the plan has them
+        spark.sql(f"DROP TABLE {name}")
     return scored
