@@ -16,10 +16,6 @@ from jobfacts.sources import readers, sinks, store
 
 #: About as many rows as one written answer holds at most.
 PER_ANSWER = 5000
-#: Tasks that write files of one row each.
-WRITERS = 64
-#: A file for each row, which tasks put in place themselves: the driver renames none.
-ONE_BY_ONE = {"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}
 
 
 def _page(rows: DataFrame, group: str) -> DataFrame:
@@ -139,9 +135,8 @@ def output_tails(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
 def script_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A script file per request, classified from its file."""
     folder = shared_folder(spark, "scripts")
-    requests = views.requests(spark, sf_dir).repartition(WRITERS, "request_id")
-    requests.select(F.coalesce("script", F.lit("")).alias("value")).write.options(**ONE_BY_ONE).text(folder)
-    read = readers.read_scripts(spark, folder).withColumn("request_id", F.col("path"))
+    sinks.write_scripts(views.requests(spark, sf_dir).repartition("request_id"), folder)
+    read = readers.read_scripts(spark, folder, "folders").withColumn("request_id", F.col("path"))
     found = scripts.classify(read.withColumns({"cluster": F.lit(None).cast("string"), "job_name": F.lit("")}))
     return found.groupBy("cpu_intensive", "memory_intensive", "io_intensive", "mpi_ranks").agg(F.count(F.lit(1)).alias("scripts"))
 

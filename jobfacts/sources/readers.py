@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from jobfacts import schemas
 from jobfacts.operators import normalize
-from jobfacts.sources import envelopes, job_files
+from jobfacts.sources import envelopes, job_files, script_files
 from jobfacts.sources.lines import numbered_among, numbered_lines
 
 
@@ -122,8 +122,16 @@ def read_output_tails(spark: SparkSession, path: str, n: int) -> DataFrame:
     return job_files.registered(spark).read.format("job_output").option("lines", n).load(path)
 
 
-def read_scripts(spark: SparkSession, path: str) -> DataFrame:
-    """Script files: path and whole text."""
+def read_scripts(spark: SparkSession, path: str, layout: str = "files") -> DataFrame:
+    """Script files: path and whole text.
+
+    ``files``: what Spark lists at ``path``, all of it on the driver. ``folders``: folders of files below ``path``, such as
+    ``sinks.write_scripts`` makes, each listed by the task that reads it.
+    """
+    if layout == "folders":
+        return script_files.registered(spark).read.format("script_files").load(path)
+    if layout != "files":
+        raise ValueError(f"layout must be files or folders, got {layout!r}")
     return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("script")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jobfacts import fixed_values as fv
 from jobfacts.operators import prep
-from jobfacts.sources import job_files
+from jobfacts.sources import job_files, script_files
 
 
 def list_envelope(page: DataFrame, total: DataFrame) -> DataFrame:
@@ -39,6 +39,12 @@ def write_job_output(lines: DataFrame, path: str, order: list[str]) -> None:
     dealt.select("job_id", "stream", "line").write.format("job_output").mode("append").save(path)
 
 
+def write_scripts(scripts: DataFrame, path: str) -> None:
+    """A file for each row of ``scripts`` (script), in folders that tasks fill; null is written as empty."""
+    script_files.registered(scripts.sparkSession)
+    scripts.select("script").write.format("script_files").mode("append").save(path)
+
+
 def write_splits(table: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Train, validation and test as one parquet folder each."""
     table.write.mode(mode).partitionBy("split").parquet(path)
