@@ -34,9 +34,10 @@ def read_slurm_jobs(spark: SparkSession, path: str, layout: str = "envelope") ->
         return normalize.typed_numbers(spark.read.schema(_slurm_struct()).json(path))
     if layout != "envelope":
         raise ValueError(f"layout must be envelope, ranges or lines, got {layout!r}")
-    envelope = T.StructType([T.StructField("jobs", T.ArrayType(_slurm_struct()))])
-    answers = spark.read.schema(envelope).option("multiLine", True).json(path)
-    return normalize.typed_numbers(answers.select(F.explode("jobs").alias("job")).select("job.*"))
+    # cut into jobs first: the JSON reader takes each text that stands for an object out of a copy of its whole file
+    answers = spark.read.text(path, wholetext=True)
+    jobs = answers.select(F.explode(F.from_json("value", "jobs array<string>")["jobs"]).alias("text"))
+    return normalize.parse_slurm_lines(jobs, "text")
 
 
 def read_flux_jobs(spark: SparkSession, path: str, fields: int = 11) -> DataFrame:
