@@ -12,6 +12,8 @@ from jobfacts.streaming import changes, timeouts
 
 
 TRIGGERS, FILES = 4, 2
+#: Row groups of at most so many bytes: a file of any size is read by as many tasks as it has.
+ROW_GROUP = 8 << 20
 #: The user of a last event far in the future, with which every timer runs out.
 LAST = -1
 
@@ -29,7 +31,7 @@ def _events(spark: SparkSession, sf_dir: str, days: int = 0) -> DataFrame:
     for k in range(TRIGGERS):
         begin = (low or 0) + k * span
         part = events.filter((at >= begin) & (at < begin + span))
-        part.repartition(FILES).write.mode("append").parquet(folder)
+        part.repartition(FILES).write.mode("append").option("parquet.block.size", ROW_GROUP).parquet(folder)
     if days:
         later = {"ts": F.max("ts") + F.expr(f"interval {days} days"), "user_id": F.lit(LAST), "event_type": F.lit("view")}
         kinds = {f.name: f.dataType for f in events.schema}

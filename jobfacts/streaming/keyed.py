@@ -1,8 +1,8 @@
 """Stateful streams with timers: first matches with and without a deadline, and changes of each key's newest state.
 
 Both keep a row of state for each key that is not yet over in RocksDB and touch only keys that have new rows or a timer
-that runs out, so a trigger's work follows its own rows. Rows are reduced to one per key in every Arrow batch before they
-are shuffled: a key with most of the rows sends one row a batch.
+that runs out, so a trigger's work follows its own rows. Rows are reduced to one per key in every quarter of a million of a
+task before they are shuffled: a key with most of the rows sends few.
 
 The clock is the newest event time up to the trigger before, told by Spark's watermark. The watermark itself is set `HORIZON`
 back, since Spark silently drops what is older; here every row reaches its key, and what comes too late is a row of
@@ -27,6 +27,8 @@ HORIZON_DAYS = 3650
 _HORIZON = HORIZON_DAYS * 1440 * MINUTE
 #: Times are written with 20 digits, so that texts sort as they do.
 _SHIFT = 1 << 62
+#: A task reduces so many rows at once, some 100 bytes each, and hands them on in batches of so many.
+_HELD, _BATCH = 1 << 18, 10_000
 _ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -61,20 +63,31 @@ def _parts(ordered: str) -> tuple[int, str | None]:
 
 
 def _reduced(rows: DataFrame, key: list[str], how: dict[str, str]) -> DataFrame:
-    """`rows` (key and the columns of `how`) with one row per key of each Arrow batch: least or greatest values."""
+    """`rows` (key and the columns of `how`) with one row per key of `_HELD` rows of a task: least or greatest values."""
+
+    def reduced(tables: list[pa.Table]) -> pa.Table:
+        table = pa.concat_tables(tables).group_by(key).aggregate(list(how.items()))
+        return table.select([*key, *[f"{c}_{f}" for c, f in how.items()]]).rename_columns([*key, *how])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, new = [], 0
         for batch in batches:
             if batch.num_rows:
-                table = pa.Table.from_batches([batch]).group_by(key).aggregate(list(how.items()))
-                named = table.select([*key, *[f"{c}_{f}" for c, f in how.items()]]).rename_columns([*key, *how])
-                yield from named.combine_chunks().to_batches()
+                held.append(pa.Table.from_arrays(batch.columns, names=[*key, *how]))
+                new += batch.num_rows
+            if new >= _HELD:
+                held, new = [reduced(held)], 0
+                if held[0].num_rows >= _HELD // 2:  # few rows have a key in common
+                    yield from held.pop().to_batches(_BATCH)
+        if held:
+            yield from reduced(held).to_batches(_BATCH)
 
     return rows.select(*key, *how).mapInArrow(run, rows.select(*key, *how).schema)
 
 
 def _timed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("at", F.timestamp_micros("seen")).withWatermark("at", f"{HORIZON_DAYS} days")
+    """`rows` with the clock set by seen; the time itself is not sent on, since tasks pay for each value of a row."""
+    return rows.withColumn("at", F.timestamp_micros("seen")).withWatermark("at", f"{HORIZON_DAYS} days").drop("at")
 
 
 def _clock(timer_values) -> int | None:

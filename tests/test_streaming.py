@@ -1,9 +1,11 @@
 import datetime as dt
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from jobfacts import schemas
 from jobfacts.operators import queue, status
+from jobfacts.plans import streams
 from jobfacts.streaming import changes, keyed, timeouts
 from jobfacts.streaming.runs import RunLog
 
@@ -144,6 +146,24 @@ def test_a_key_with_most_rows_is_one_row_a_batch(spark):
     assert reduced.agg(F.min("first"), F.max("best")).first() == (0, "0" * 15 + "29999")
 
 
+def test_rows_of_a_key_in_many_batches_of_a_task_are_one(spark):
+    rows = spark.range(300_000).selectExpr("concat('k', id % 20000) AS k", "id AS first", "lpad(id, 20, '0') AS best")
+    reduced = keyed._reduced(rows.coalesce(1), ["k"], {"first": "min", "best": "max"}).cache()
+    assert reduced.count() == 20_000 and reduced.select("k").distinct().count() == 20_000
+    assert reduced.selectExpr("sum(first)", "sum(CAST(best AS BIGINT) - first)").first() == (20_000 * 19_999 // 2, 20_000 * 280_000)
+    apart = keyed._reduced(spark.range(600_000).coalesce(1).selectExpr("id AS k", "id AS first"), ["k"], {"first": "min"})
+    assert apart.selectExpr("count(*)", "count(DISTINCT k)", "sum(first)").first() == (600_000, 600_000, 600_000 * 599_999 // 2)
+
+
+def test_files_of_the_stream_can_be_cut(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "shared_folder", lambda spark, purpose: str(tmp_path / "events"))
+    monkeypatch.setattr(streams, "ROW_GROUP", 2000)
+    streams._events(spark, sf)
+    files = list((tmp_path / "events").glob("*.parquet"))
+    assert len(files) == streams.TRIGGERS * streams.FILES
+    assert all(pq.ParquetFile(f).metadata.num_row_groups > 1 for f in files)
+
+
 def test_ends_are_written_once_and_forgotten(spark, tmp_path):
     src, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
 
