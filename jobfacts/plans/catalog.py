@@ -239,7 +239,7 @@ def slurm_answers(spark, sf):
 
 @query
 def slurm_ranges(spark, sf):
-    """All jobs in one answer, read by the blocks of its file."""
+    """All jobs in one large answer of each task that writes, read by the blocks of their files."""
     return _flat(normalize.normalize_slurm(files.slurm_jobs(spark, sf, "ranges"), _as_of()))
 
 

@@ -5,12 +5,16 @@ Each query writes below the shared folder and reads with the package's own reade
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobfacts.operators import filters, normalize, prep, resources, scripts
 from jobfacts.plans import views
-from jobfacts.session import shared_folder
+from jobfacts.session import shared_folder, shipped
 from jobfacts.sources import readers, sinks, store
 
 
@@ -27,11 +31,31 @@ def _page(rows: DataFrame, group: str) -> DataFrame:
     return rows.withColumn("page", F.struct(group, F.call_function("div", place, F.lit(PER_ANSWER)).alias("stretch")))
 
 
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of an answer that holds all jobs of a task, a job a row."""
+
+    def line(text: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"value": [text]})
+
+    yield line('{"meta":{"note":"a \\"}]{ in a text"},"errors":[{"jobs":[{}]}],"jobs":[')
+    comma = ""
+    for batch in batches:
+        if batch.num_rows:
+            jobs = pc.binary_join_element_wise(",", batch.column("value"), "")
+            if not comma:
+                first = batch.column("value").slice(0, 1)
+                jobs = pa.concat_arrays([first.cast(jobs.type), jobs.slice(1)])
+                comma = ","
+            yield pa.RecordBatch.from_arrays([jobs], names=["value"])
+    yield line('],"warnings":[{"n":1}]}')
+
+
 def slurm_jobs(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
     """The Slurm dump as JSON files: one job per line, or answers of one partition name each, in pages.
 
     Every third number is written bare and every fifth as text, as older dumps have them.
     """
+    shipped(spark)
     folder = shared_folder(spark, f"slurm-{layout}")
     dump = views.slurm_dump(spark, sf_dir)
     key = F.coalesce(F.col("job_id").try_cast("bigint"), F.lit(1))
@@ -48,11 +72,8 @@ def slurm_jobs(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
     lines = written.select("partition", line.alias("value"))
     if layout == "lines":
         lines.select("value").write.text(folder)
-    elif layout == "ranges":  # one answer, however many jobs, with lists and braces that are no jobs
-        first = F.lit('{"meta":{"note":"a \\"}]{ in a text"},"errors":[{"jobs":[{}]}],"jobs":[')
-        body = lines.coalesce(1).select(F.concat(F.when(F.monotonically_increasing_id() == 0, first).otherwise(F.lit(",")), "value").alias("value"))
-        end = spark.range(1).select(F.lit('],"warnings":[{"n":1}]}').alias("value"))
-        body.union(end).coalesce(1).write.text(folder)
+    elif layout == "ranges":  # an answer of all its jobs from each task, with lists and braces that are no jobs
+        lines.select("value").mapInArrow(_answer, "value string").write.text(folder)
     else:
         answers = _page(lines, "partition").groupBy("page").agg(F.concat_ws(",", F.collect_list("value")).alias("jobs"))
         answer = F.concat(F.lit('{"jobs":['), "jobs", F.lit("]}"))

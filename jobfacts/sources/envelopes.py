@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -21,8 +22,12 @@ from jobfacts.session import shipped
 
 _TOKEN = re.compile(r'"((?:[^"\\]|\\.)*)"|[{}\[\]]', re.S)
 _ESCAPED = re.compile(r"\\.", re.S)
+_ESCAPED_BYTE = re.compile(rb"\\.", re.S)
 #: An answer's records are objects in a list of the outermost object.
 _RECORD = 3
+#: How much deeper each byte is, outside strings.
+_DEEPER = np.zeros(256, np.int8)
+_DEEPER[list(b"{[")], _DEEPER[list(b"]}")] = 1, -1
 
 
 def measure(piece: str, inside: bool) -> tuple[bool, int]:
@@ -46,6 +51,47 @@ class Splitter:
         self.held = "cut" if depth >= _RECORD else None
         self.text: list[str] = []
 
+    def feed_all(self, pieces: list[str]) -> Iterator[tuple[str, bool, str | None, bool]]:
+        """What `feed` gives for these pieces in turn, each with key and seen; records of one list are cut out at once."""
+        found = self._cut("}".join(pieces) + "}") if self.depth >= _RECORD - 1 else None
+        for done in map(self.feed, pieces) if found is None else found:
+            if done is not None:
+                yield *done, self.key, self.seen
+
+    def _cut(self, text: str) -> list[tuple[str, bool]] | None:
+        """The records that end in `text`, of which nothing was changed yet if there is more in it than records."""
+        if self.held == "list" or (self.depth < _RECORD and self.inside):
+            return None
+        data = text.encode()
+        marks = np.frombuffer(data, np.uint8)
+        quotes = marks == ord('"')
+        if b"\\" in data:
+            quotes[[m.end() - 1 for m in _ESCAPED_BYTE.finditer(data)]] = False
+        outside = (np.cumsum(quotes, dtype=np.uint8) & 1) == int(self.inside)
+        steps = _DEEPER[marks] * outside
+        depth = np.cumsum(steps, dtype=np.int64) + self.depth
+        if depth.min() < _RECORD - 1 or (quotes & (depth < _RECORD)).any():
+            return None
+        begins = np.flatnonzero((steps == 1) & (depth == _RECORD))
+        ends = np.flatnonzero((steps == -1) & (depth == _RECORD - 1))
+        if (marks[begins] != ord("{")).any() or (marks[ends] != ord("}")).any():
+            return None
+        found, rest = [], 0
+        begins, ends = begins.tolist(), (ends + 1).tolist()
+        if self.depth >= _RECORD:
+            if not ends:
+                self.text.append(text)
+                rest = None
+            else:
+                found.append(("".join(self.text) + data[: ends[0]].decode(), self.held == "record"))
+                ends = ends[1:]
+        if rest is not None:
+            found += [(data[b:e].decode(), True) for b, e in zip(begins, ends, strict=False)]
+            open_ = len(begins) > len(ends)
+            self.held, self.text = ("record", [data[begins[-1] :].decode()]) if open_ else (None, [])
+        self.inside, self.depth = not outside[-1].item(), int(depth[-1])
+        return found
+
     def feed(self, piece: str) -> tuple[str, bool] | None:
         """A record that ends with the piece, and whether it began in this block."""
         if self.depth < _RECORD:
@@ -130,6 +176,18 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], list[str]]]:
+    """The pieces of each block of a batch, whose rows are in order."""
+    files, blocks, pieces = (batch.column(c) for c in ("file", "block", "piece"))
+    at = 0
+    while at < batch.num_rows:
+        key, end = (files[at].as_py(), blocks[at].as_py()), batch.num_rows
+        if (files[end - 1].as_py(), blocks[end - 1].as_py()) != key:
+            end = next(k for k in range(at + 1, end) if (files[k].as_py(), blocks[k].as_py()) != key)
+        yield key, pieces[at:end].to_pylist()
+        at = end
+
+
 def _summed(pieces: DataFrame) -> DataFrame:
     """file, block, odd (quotes), outside, inside: of the pieces of a task, which are in the order of their blocks."""
 
@@ -142,22 +200,26 @@ def _summed(pieces: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
 
         for batch in batches:
-            for file, block, piece in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "piece")), strict=True):
-                if (file, block) != last:
+            for at, pieces in _stretches(batch):
+                if at != last:
                     if last is not None:
                         yield done()
-                    last, ends = (file, block), [(False, 0), (True, 0)]
+                    last, ends = at, [(False, 0), (True, 0)]
+                text = "}".join(pieces) + "}"
                 for k in (0, 1):
-                    opened, deeper = measure(piece, ends[k][0])
-                    ends[k] = opened, ends[k][1] + deeper - (not opened)
+                    opened, deeper = measure(text, ends[k][0])
+                    ends[k] = opened, ends[k][1] + deeper
         if last is not None:
             yield done()
 
     return pieces.select("file", "block", "piece").mapInArrow(run, "file string, block long, odd long, outside long, inside long")
 
 
-def _records(pieces: DataFrame) -> DataFrame:
-    """file, block, kind (whole, head, middle, tail), key, last_key, text of pieces in order, with how their block begins."""
+def _records(pieces: DataFrame, whole: bool) -> DataFrame:
+    """file, block, kind (whole, head, middle, tail), key, last_key, text of pieces in order, with how their block begins.
+
+    Either `whole` records, or all else, a few rows a block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, splitter, out, size, headed = None, None, [], 0, False
@@ -167,6 +229,8 @@ def _records(pieces: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
 
         def finished() -> None:
+            if whole:
+                return
             if splitter.held == "cut":
                 out.append((*last, "middle", splitter.key, splitter.seen, "".join(splitter.text)))
             elif splitter.held is not None:  # of a list in the list: it has no key, and what follows belongs to it
@@ -175,16 +239,17 @@ def _records(pieces: DataFrame) -> DataFrame:
             out.append((*last, "key", splitter.key, splitter.seen, None))
 
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("file", "block", "piece", "open", "depth"))
-            for file, block, piece, opened, depth in zip(*columns, strict=True):
-                if (file, block) != last:
+            first = 0
+            for at, pieces in _stretches(batch):
+                if at != last:
                     if last is not None:
                         finished()
-                    last, splitter = (file, block), Splitter(opened, depth)
-                found = splitter.feed(piece)
-                if found is not None:
-                    out.append((file, block, "whole" if found[1] else "head", splitter.key, splitter.seen, found[0]))
-                    size += len(found[0])
+                    last, splitter = at, Splitter(batch.column("open")[first].as_py(), batch.column("depth")[first].as_py())
+                first += len(pieces)
+                for text, began, key, seen in splitter.feed_all(pieces):
+                    if began == whole:
+                        out.append((*at, "whole" if began else "head", key, seen, text))
+                        size += len(text)
                 if size > 4 << 20:
                     yield table()
                     out, size = [], 0
@@ -210,8 +275,9 @@ def read_records(spark: SparkSession, path: str, key: str) -> DataFrame:
     sums = _summed(pieces).withColumn("open", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1)
     step = F.when(F.col("open"), F.col("inside")).otherwise(F.col("outside"))
     begins = sums.withColumn("step", step).select("file", "block", "open", F.coalesce(F.sum("step").over(before), F.lit(0)).alias("depth"))
-    known = pieces.join(begins, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "row")
-    found = _records(known)
+    # a task read a block's pieces one after the other, so in the order of rows they stand together, and numbers sort fast
+    known = pieces.join(begins, ["file", "block"]).repartition("file", "block").sortWithinPartitions("row")
+    found = _records(known, whole=False)
     upto = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     keys = found.filter("kind = 'key'").withColumn(
         "held", F.last(F.when(F.col("known"), F.struct("key")), ignorenulls=True).over(upto)["key"]
@@ -227,6 +293,6 @@ def read_records(spark: SparkSession, path: str, key: str) -> DataFrame:
         F.bool_or((F.col("kind") == "tail") & F.col("known")).alias("known"),
     )
     cut = joined.select("file", "block", "key", "known", F.array_join(F.transform("texts", lambda t: t["text"]), "").alias("text"))
-    every = found.filter("kind = 'whole'").select("file", "block", "key", "known", "text").unionByName(cut)
+    every = _records(known, whole=True).select("file", "block", "key", "known", "text").unionByName(cut)
     named = every.join(keys, ["file", "block"], "left").withColumn("of", F.when(F.col("known"), F.col("key")).otherwise(F.col("held")))
     return named.filter(F.col("of") == key).select("text")

@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from jobfacts.plans import files, views
 from jobfacts.sources import envelopes
 from jobfacts.sources.envelopes import Splitter, measure
 
@@ -78,3 +79,41 @@ def test_blocks_join_up(seed, size):
         held = (held if splitter.held == "cut" else "") + "".join(splitter.text)
         assert (splitter.inside, splitter.depth) == (opened, depth)
     assert [json.loads(t) for k, t in found if k == "jobs"] == body["jobs"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 40))
+def test_records_cut_at_once_are_those_of_single_pieces(seed, size):
+    rng = random.Random(seed)
+    pieces = json.dumps(answer(rng, 25), ensure_ascii=False, indent=seed % 2 or None).split("}")[:-1]
+    begin = rng.randrange(len(pieces))
+    opened, depth = False, 0
+    for piece in pieces[:begin]:
+        opened, deeper = measure(piece, opened)
+        depth += deeper - (not opened)
+    one, many = Splitter(opened, depth), Splitter(opened, depth)
+    for at in range(begin, len(pieces), size):
+        part = pieces[at : at + size]
+        want = [(*done, one.key, one.seen) for piece in part if (done := one.feed(piece)) is not None]
+        assert list(many.feed_all(part)) == want
+        assert (many.inside, many.depth, many.held, "".join(many.text)) == (one.inside, one.depth, one.held, "".join(one.text))
+
+
+def test_many_records_are_cut_at_once(monkeypatch):
+    calls, feed = [], Splitter.feed
+    monkeypatch.setattr(Splitter, "feed", lambda self, piece: calls.append(piece) or feed(self, piece))
+    pieces = json.dumps({"jobs": [{"job_id": i, "x": {"y": 'a "}" \\ b'}} for i in range(1000)]}).split("}")[:-1]
+    splitter, found = Splitter(False, 0), []
+    for at in range(0, len(pieces), 100):
+        found += [json.loads(text)["job_id"] for text, *_ in splitter.feed_all(pieces[at : at + 100])]
+    assert found == list(range(1000)) and len(calls) <= 300
+
+
+def test_all_jobs_are_in_answers_of_the_tasks_that_write(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "shared_folder", lambda spark, purpose: str(tmp_path / "answers"))
+    dump = views.slurm_dump(spark, sf)
+    monkeypatch.setattr(views, "slurm_dump", lambda spark, sf: dump.repartition(3))
+    got = sorted(r[0] or "" for r in files.slurm_jobs(spark, sf, "ranges").select("job_id").collect())
+    assert got == sorted(r[0] or "" for r in dump.select("job_id").collect())
+    sizes = [len(json.loads(f.read_text())["jobs"]) for f in (tmp_path / "answers").glob("part-*")]
+    assert len(sizes) == 3 and sum(sizes) == len(got) and min(sizes) > 0
