@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from jobfacts.llm.common import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A run of word characters once A-Z may stand for a-z: digits, letters and everything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, which are runs of digits, letters and everything beyond ASCII.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A filter has this many longs of 64 bits, however many keys go in.
 FILTER_LONGS = 1 << 15
@@ -58,7 +57,9 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 def positions(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """row_key, pos, term: every word of every whole text."""
-    exploded = docs.select(row_key(id_col, text_col).alias("row_key"), F.posexplode(words(F.col(text_col))).alias("pos", "word"))
+    # The key hashes the whole text: it is worked out below the generator, once a document and not once a word.
+    keyed = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
+    exploded = keyed.select("row_key", F.posexplode(words(F.col("text"))).alias("pos", "word"))
     return exploded.select("row_key", "pos", lowered(F.col("word")).alias("term"))
 
 
@@ -156,13 +157,14 @@ def find_phrases(
         )
         return F.transform(right, lambda s: F.struct((p["d"] + s).alias("start"), (p["d"] + s + p["n"]).alias("end"), p["item"].alias("item")))
 
-    hits = checked.select("row_key", F.array_distinct(F.flatten(F.transform("places", confirmed))).alias("hits")).filter(F.size("hits") > 0)
+    hits = checked.select("row_key", F.array_distinct(F.flatten(F.transform("places", confirmed))).alias("hits"))
     found = hits.select(
         "row_key",
         F.array_sort(F.array_distinct(F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"))))).alias("spans"),
         F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"]))).alias("found"),
     )
-    return found.dropDuplicates(["row_key"])
+    # Filtered last: below the aggregate the condition would confirm every place a second time.
+    return found.dropDuplicates(["row_key"]).filter(F.size("spans") > 0)
 
 
 def covered(spans: Column) -> Column:
@@ -183,7 +185,7 @@ def contamination(
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, n_hit, spans, items (those that occur), contaminated.
 
-    Words are runs of `WORD` characters with A-Z lower-cased. A word inside any occurrence of an item's window is hit.
+    Words are what `BETWEEN` leaves, with A-Z lower-cased. A word inside any occurrence of an item's window is hit.
     A null text has no words and no hits, a null or wordless item no windows; an item with a null id hits words
     but is not listed. Repeated rows each give the same result, repeated items count once, other columns are ignored.
     """
@@ -191,7 +193,7 @@ def contamination(
     counted = docs.select(
         F.col(id_col).alias("doc_id"),
         row_key(id_col, text_col).alias("row_key"),
-        F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("n_words"),
+        F.size(words(F.col(text_col))).cast("long").alias("n_words"),
     )
     n_hit = F.coalesce(covered(F.col("spans")), F.lit(0).cast("long"))
     return counted.join(found, "row_key", "left").select(

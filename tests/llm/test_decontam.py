@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from brute import contaminated
+from brute import contaminated, window_words
 from pyspark.sql import functions as F
 
 from jobfacts.llm import decontam
@@ -81,3 +81,29 @@ def test_no_python_runs(spark, sf, plan):
 
     assert not any(x in plan(queries.op7_decontamination(spark, sf)) for x in ("Python", "Pandas", "Arrow"))
     assert hashlib.sha256(b"").hexdigest() in {r.items_sha256 for r in queries.op7_decontamination(spark, sf).collect()}
+
+
+def nodes(text, word):
+    """The operators of a formatted plan that name `word`."""
+    return [x for x in text.split("\n\n") if x.startswith("(") and word in x]
+
+
+def test_a_word_costs_no_work_on_its_whole_text(spark, sf, plan):
+    text = plan(decontam.positions(spark.read.parquet(f"{sf}/documents.parquet")))
+    assert len(nodes(text, "xxhash64(")) == 1
+    assert not any("pos#" in x for x in nodes(text, "xxhash64("))  # the document's key is made before its words are
+
+
+def test_places_are_confirmed_once(spark, sf, plan):
+    docs, items = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "benchmark"))
+    text = plan(decontam.contamination(docs, items))
+    assert len(nodes(text, "slice(")) == 1
+    assert not nodes(text, "regexp")  # words are counted as they are split everywhere else
+
+
+def test_number_of_words(spark):
+    texts = [None, "", " ", "...", "a", " a", "a ", ", a--b9 .", "\x00a\x7fb\x80c", "É😀 Z{z}~", "x" * 5000, "\n".join("ab" * 700)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontam.contamination(docs, spark.createDataFrame([(1, "q r s")], "item_id long, text string")).collect()
+    assert {r.doc_id: r.n_words for r in got} == {i: len(window_words(t)) for i, t in enumerate(texts)}
+    assert not any(r.contaminated for r in got) and all(r.spans is None for r in got)
